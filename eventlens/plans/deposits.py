@@ -16,6 +16,14 @@ from eventlens.operators.cohort import user_cohort
 from eventlens.plans.common import scan
 
 OK_STATUSES = ("CAPTURED", "COMPLETED")
+# Amounts are summed and averaged as exact decimals (money), so that
+# HALF_UP rounding of a mean that falls on a tie does not depend on the
+# order of floating-point additions; results are DOUBLE after rounding.
+MONEY = "decimal(30,8)"
+
+
+def _money(c):
+    return F.col(c).cast(MONEY)
 
 
 def _cohort(events: DataFrame, cohort_from: str, cohort_to: str, cutoff: str) -> DataFrame:
@@ -45,14 +53,14 @@ def deposits_by_cohort_per_user(events: DataFrame, deposits: DataFrame, cohort_f
     pay = _payments(deposits, day_from, day_to, business_unit, statuses, positive_only=False)
     per_player = pay.groupBy("player_id", "deposit_date").agg(
         F.count(F.lit(1)).alias("transactions"),
-        F.avg("transaction_amount_EUR").alias("avg_amount"),
-        F.sum("transaction_amount_EUR").alias("total_amount"))
+        F.avg(_money("transaction_amount_EUR")).alias("avg_amount"),
+        F.sum(_money("transaction_amount_EUR")).alias("total_amount"))
     j = per_player.join(_cohort(events, cohort_from, cohort_to, cutoff), "player_id", "inner")
     out = j.groupBy("deposit_date", "user_type").agg(
         F.count_distinct("player_id").alias("users_deposited"),
         F.round(F.avg("transactions"), 3).alias("avg_transactions_per_user"),
-        F.round(F.avg("avg_amount"), 2).alias("avg_amount_per_user"),
-        F.round(F.sum("total_amount"), 2).alias("total_revenue"))
+        F.round(F.avg("avg_amount"), 2).cast("double").alias("avg_amount_per_user"),
+        F.round(F.sum("total_amount"), 2).cast("double").alias("total_revenue"))
     return out.orderBy("deposit_date", "user_type")
 
 
@@ -67,21 +75,23 @@ def deposit_amount_stats_by_cohort(events: DataFrame, deposits: DataFrame, cohor
     x = F.col("transaction_amount_EUR")
     pay = _payments(deposits, day_from, day_to, business_unit, statuses, positive_only=True)
     per_player = pay.groupBy("player_id", "deposit_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+        F.count(F.lit(1)).alias("n"), F.sum(x.cast(MONEY)).alias("s_exact"), F.sum(x).alias("s"),
+        F.min(x).alias("lo"), F.max(x).alias("hi"),
         (F.var_pop(x) * F.count(F.lit(1))).alias("m2"))
     j = per_player.join(_cohort(events, cohort_from, cohort_to, cutoff), "player_id", "inner")
     n, s = F.col("n"), F.col("s")
     g = j.groupBy("deposit_date", "user_type").agg(
         F.count_distinct("player_id").alias("unique_depositors"),
         F.sum(n).cast("long").alias("total_deposit_transactions"),
-        F.sum(s).alias("_s"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"),
+        F.sum("s_exact").alias("_s_exact"), F.sum(s).alias("_s"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"),
         F.sum(F.col("m2") + s * s / n).alias("_q"))
     N, S = F.col("total_deposit_transactions").cast("double"), F.col("_s")
     m2 = F.greatest(F.col("_q") - S * S / N, F.lit(0.0))
     out = g.select(
         "deposit_date", "user_type", "unique_depositors", "total_deposit_transactions",
-        F.round(S / N, 2).alias("avg_deposit_amount_EUR"),
-        F.round(S, 2).alias("total_deposited_EUR"),
+        F.round(F.col("_s_exact") / F.col("total_deposit_transactions"), 2).cast("double")
+        .alias("avg_deposit_amount_EUR"),
+        F.round(F.col("_s_exact"), 2).cast("double").alias("total_deposited_EUR"),
         F.round(F.col("_lo"), 2).alias("min_amount_EUR"),
         F.round(F.col("_hi"), 2).alias("max_amount_EUR"),
         F.round(F.sqrt(F.try_divide(m2, N - F.lit(1.0))), 2).alias("stddev_amount_EUR"))

@@ -1,8 +1,13 @@
 """Null-aware join helpers.
 
 Rows whose join key has a NULL part can never match an equi-join, but a hash
-shuffle still sends all of them to one task.  These helpers route such rows
-around the join and add them back by union with the result they would get.
+shuffle still sends all of them to one task (one hot "NULL" key).  These
+helpers add a salt column to the join keys: 0 for rows with a complete key,
+and a deterministic hash bucket (1..n) of the row for rows with a NULL part.
+The right side carries salt 0, so salted rows spread over ``n`` tasks and still
+match nothing: one pass over the input, no filter-and-union double scan.
+The hash is of the row content, so a recomputed task reproduces the same
+partitioning (no indeterminate shuffle on executor loss).
 """
 
 from __future__ import annotations
@@ -12,39 +17,45 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+NULL_SALT_BUCKETS = 256
+SALT = "_null_salt"
+
 
 def _all_keys_present(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def salt_null_keys(df: DataFrame, keys: Sequence[str], buckets: int = NULL_SALT_BUCKETS) -> DataFrame:
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)) + F.lit(1)
+    return df.withColumn(SALT, F.when(_all_keys_present(keys), F.lit(0)).otherwise(spread).cast("int"))
+
+
+def _right(right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return right.filter(_all_keys_present(keys)).withColumn(SALT, F.lit(0))
+
+
 def left_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``left LEFT JOIN right USING (keys)``; NULL-key left rows bypass the shuffle.
+    """``left LEFT JOIN right USING (keys)`` with NULL-key left rows spread out.
 
-    ``right`` must be unique per key for the result to keep left cardinality
-    (callers pass aggregated tables).  Large left-side keys are split by AQE
-    skew handling; the right side is broadcast by AQE only when its measured
-    size is under the threshold."""
+    ``right`` should be unique per key (callers pass aggregated tables) so the
+    result keeps the left cardinality.  Hot non-NULL keys on the left are split
+    by AQE skew-join handling; the right side is broadcast only when AQE has
+    measured it under the broadcast threshold."""
     keys = list(keys)
-    present = _all_keys_present(keys)
-    joined = left.filter(present).join(right.filter(_all_keys_present(keys)), keys, "left")
-    extra = [c for c in right.columns if c not in keys]
-    nulls = left.filter(~present).select(
-        *left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
-    return joined.unionByName(nulls)
+    out = salt_null_keys(left, keys).join(_right(right, keys), [*keys, SALT], "left")
+    return out.drop(SALT)
 
 
 def anti_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``NOT EXISTS (same keys)``: NULL-key left rows are kept without a shuffle."""
+    """``NOT EXISTS (same keys)``: NULL-key left rows are kept."""
     keys = list(keys)
-    present = _all_keys_present(keys)
-    rkeys = right.select(*keys).filter(_all_keys_present(keys)).distinct()
-    return left.filter(present).join(rkeys, keys, "left_anti").unionByName(left.filter(~present))
+    rkeys = right.select(*keys).distinct()
+    return salt_null_keys(left, keys).join(_right(rkeys, keys), [*keys, SALT], "left_anti").drop(SALT)
 
 
 def exists_flag(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Adds ``name`` = 1 when some right row has the same (non-NULL) keys, else 0."""
     keys = list(keys)
-    rkeys = (right.select(*keys).filter(_all_keys_present(keys)).distinct()
-             .withColumn("_hit", F.lit(1)))
+    rkeys = right.select(*keys).distinct().withColumn("_hit", F.lit(1))
     out = left_join_keyed(left, rkeys, keys)
     return out.withColumn(name, F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit")

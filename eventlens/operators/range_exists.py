@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from eventlens.operators.joins import SALT, salt_null_keys
+
 
 def exists_within(probes: DataFrame, targets: DataFrame, user_col: str, probe_ts: str,
                   target_ts: str, lo_us: int, hi_us: int, flag: str,
@@ -26,23 +28,24 @@ def exists_within(probes: DataFrame, targets: DataFrame, user_col: str, probe_ts
         raise ValueError("need 0 <= lo <= hi and hi - lo < bucket width")
     W = F.lit(bucket_us)
     pcols = probes.columns
-    keyed = probes.filter(F.col(user_col).isNotNull())
-    unkeyed = probes.filter(F.col(user_col).isNull()).withColumn(flag, F.lit(0))
+    # Probes of a NULL user find no target (targets of NULL users are dropped);
+    # they stay in the same pass, salted so that they do not pile up in one task.
+    keyed = salt_null_keys(probes, [user_col])
 
     t = (targets.filter(F.col(user_col).isNotNull() & F.col(target_ts).isNotNull())
          .select(F.col(user_col), F.col(target_ts).alias("_t")))
     t = t.withColumn("_b", F.floor(F.col("_t") / W))
     carry = t.groupBy(user_col, "_b").agg(F.min("_t").alias("_t")).withColumn("_b", F.col("_b") - 1)
-    tgt = t.unionByName(carry).withColumn("_k", F.col("_t")).withColumn("_probe", F.lit(False))
+    tgt = (t.unionByName(carry).withColumn("_k", F.col("_t")).withColumn("_probe", F.lit(False))
+           .withColumn(SALT, F.lit(0)))
 
     p = (keyed.withColumn("_k", F.col(probe_ts) + F.lit(lo_us))
          .withColumn("_b", F.floor(F.col("_k") / W))
          .withColumn("_t", F.lit(None).cast("long"))
          .withColumn("_probe", F.lit(True)))
     both = p.unionByName(tgt, allowMissingColumns=True)
-    w = (Window.partitionBy(user_col, "_b").orderBy("_k")
+    w = (Window.partitionBy(user_col, "_b", SALT).orderBy("_k")
          .rangeBetween(Window.currentRow, Window.unboundedFollowing))
     nxt = F.min("_t").over(w)
     hit = F.when(nxt.isNotNull() & (nxt <= F.col(probe_ts) + F.lit(hi_us)), F.lit(1)).otherwise(F.lit(0))
-    found = both.withColumn(flag, hit).filter(F.col("_probe")).select(*pcols, flag)
-    return found.unionByName(unkeyed.select(*pcols, flag))
+    return both.withColumn(flag, hit).filter(F.col("_probe")).select(*pcols, flag)

@@ -14,6 +14,8 @@ from eventlens.plans.funnel import (
 from eventlens.plans.engagement import banner_return_vs_gameplay_weekly, lobby_bounce_rate
 from eventlens.plans.pages import page_category_breakdown
 from eventlens.plans.deposits import deposits_by_cohort_per_user, deposit_amount_stats_by_cohort
+from eventlens.plans.followups import (
+    tracking_outages, deposit_period_comparison, deposit_vs_banner_correlation)
 
 __all__ = [
     "lobby_volume_by_host_platform", "param_inventory_in_lobby_sessions", "lobby_volume_by_device",
@@ -23,4 +25,5 @@ __all__ = [
     "carousel_friction", "clicker_deposit_conversion", "daily_trend_moving_avg",
     "banner_return_vs_gameplay_weekly", "lobby_bounce_rate", "page_category_breakdown",
     "deposits_by_cohort_per_user", "deposit_amount_stats_by_cohort",
+    "tracking_outages", "deposit_period_comparison", "deposit_vs_banner_correlation",
 ]

@@ -39,6 +39,10 @@ class FixtureParams:
     deposit_from: str = "1998-01-01"
     deposit_to: str = "1998-03-31"
     business_unit: str = "SITE_A"
+    # (label, first day, last day): baseline, onset, full restriction
+    periods: tuple = (("1_baseline", "1998-01-01", "1998-01-07"),
+                      ("2_onset", "1998-01-10", "1998-01-31"),
+                      ("3_full", "1998-02-01", "1998-03-31"))
 
 
 def _s(x) -> Column:

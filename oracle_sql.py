@@ -724,3 +724,48 @@ FROM pd LEFT JOIN user_cohort uc ON pd.player_id = uc.player_id_ga
 WHERE uc.user_type IS NOT NULL
 GROUP BY pd.deposit_date, uc.user_type
 """)
+
+ORACLE["tracking_outages"] = _daily("user_id").replace(
+    "\nSELECT activity_date, operating_system, user_type, COUNT(*) AS sessions,",
+    "\n, daily AS (SELECT activity_date, operating_system, user_type, COUNT(*) AS sessions,", 1) + """
+  ), flagged AS (
+  SELECT activity_date, operating_system, user_type, sessions,
+    (sessions > 0 AND COALESCE(gameplay_anytime_rate, 0) = 0 AND COALESCE(promo_click_rate, 0) = 0
+     AND COALESCE(deposit_window_rate, 0) = 0 AND COALESCE(deposit_initiated_rate, 0) = 0
+     AND COALESCE(deposit_success_rate, 0) = 0) AS is_outage
+  FROM daily
+), marked AS (
+  SELECT *, CASE WHEN LAG(activity_date) OVER w IS NULL
+                   OR activity_date - LAG(activity_date) OVER w <> 1
+                   OR LAG(is_outage) OVER w <> is_outage THEN 1 ELSE 0 END AS s
+  FROM flagged WINDOW w AS (PARTITION BY operating_system, user_type ORDER BY activity_date)
+), runs AS (
+  SELECT *, SUM(s) OVER (PARTITION BY operating_system, user_type ORDER BY activity_date
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_id
+  FROM marked
+)
+SELECT operating_system, user_type, CAST(run_id AS BIGINT) AS run_id, is_outage,
+  MIN(activity_date) AS run_start, MAX(activity_date) AS run_end, COUNT(*) AS run_days,
+  CAST(SUM(sessions) AS BIGINT) AS sessions
+FROM runs GROUP BY operating_system, user_type, run_id, is_outage
+"""
+
+ORACLE["deposit_period_comparison"] = q(DEP_COHORT + """
+, pd AS (
+  SELECT CAST(CAST(date_created AS TIMESTAMP) AS DATE) AS deposit_date, player_id, "transaction_amount_EUR" AS a
+  FROM pay
+  WHERE CAST(CAST(date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
+    AND business_unit_name = 'SITE_A' AND payment_status IN ('CAPTURED', 'COMPLETED') AND a > 0
+), labelled AS (
+  SELECT *, CASE WHEN deposit_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-07' THEN '1_baseline'
+                 WHEN deposit_date BETWEEN DATE '1998-01-10' AND DATE '1998-01-31' THEN '2_onset'
+                 WHEN deposit_date BETWEEN DATE '1998-02-01' AND DATE '1998-03-31' THEN '3_full' END AS period
+  FROM pd
+)
+SELECT period, uc.user_type, COUNT(DISTINCT player_id) AS depositors, COUNT(*) AS transactions,
+  CAST(ROUND(SUM(CAST(a AS DECIMAL(30,8))) / COUNT(*), 2) AS DOUBLE) AS "avg_deposit_amount_EUR",
+  CAST(ROUND(SUM(CAST(a AS DECIMAL(30,8))), 2) AS DOUBLE) AS "total_deposited_EUR"
+FROM labelled l JOIN user_cohort uc ON l.player_id = uc.player_id_ga
+WHERE period IS NOT NULL
+GROUP BY period, uc.user_type
+""")

@@ -21,6 +21,7 @@ CLICKERS = "BANNER_CLICKERS"
 NON_CLICKERS = "NON_CLICKERS"
 RETURN_LO_US = 1_000_000        # TIMESTAMP_DIFF(..., SECOND) > 0
 RETURN_HI_US = 300_999_999      # TIMESTAMP_DIFF(..., SECOND) <= 300
+LOGIN = "login_success"
 
 def _ev():
     return F.col("event_name")
@@ -28,7 +29,8 @@ def _ev():
 
 
 def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to: str,
-                                     section_path: str = "/tr/casino") -> DataFrame:
+                                     section_path: str = "/tr/casino",
+                                     materialize: bool = True) -> DataFrame:
     """Q19: weekly (Sunday weeks) banner clickers' return-within-5-minutes rate
     vs non-clickers' gameplay rate, first-time vs returning users.
 
@@ -37,10 +39,20 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
     (``exists_within``, linear, no pairs).  Non-clickers: distinct (user,
     session, shard date, type) of section events whose (user, session) has no
     banner click (NULL keys kept); gameplay = a gameplay event with the same
-    (user, session).  Rates divide by distinct session ids, as the source."""
+    (user, session).  Rates divide by distinct session ids, as the source.
+
+    Five branches read the same events.  With ``materialize`` the slim
+    projection they need (rows in the section, logins, game starts; no
+    parameter array) is checkpointed once to the shared checkpoint folder, so
+    the parameter arrays of the range are read once, not per branch."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
               ["user_id", "event_name", "event_timestamp", "event_date"])
-    ev = ev.withColumn("_sect", in_section("page_location", section_path))
+    sect = in_section("page_location", section_path)
+    ev = ev.select("user_id", "session_id", "event_name", "event_timestamp", "event_date",
+                   F.coalesce(sect, F.lit(False)).alias("_sect"))
+    ev = ev.filter(F.col("_sect") | _ev().isin(LOGIN, GAMEPLAY))
+    if materialize:
+        ev = ev.checkpoint(eager=True)
     logins = first_login(ev)
     visits = ev.filter(F.col("_sect")).select("user_id", "session_id", "event_timestamp", "event_date")
     clicks = ev.filter(F.col("_sect") & (_ev() == BANNER)).select(

@@ -66,22 +66,28 @@ def _per_session_week(events, cohort_from, cohort_to, date_from, date_to, cutoff
 
 
 def lobby_funnel_weekly(events: DataFrame, cohort_from: str, cohort_to: str, date_from: str,
-                        date_to: str, cutoff: str, section_path: str = "/tr/casino") -> DataFrame:
+                        date_to: str, cutoff: str, section_path: str = "/tr/casino",
+                        corrected: bool = False) -> DataFrame:
     """Q15: weekly funnel of sessions in the lobby section: banner click, gameplay.
 
     ``gameplay_rate_among_banner_clickers`` keeps the source formula: all
-    gameplay sessions divided by (clicked sessions + 1)."""
+    gameplay sessions divided by (clicked sessions + 1).  ``corrected=True``
+    adds ``gameplay_pct_of_clicked_sessions``: sessions with both a banner
+    click and a game, over clicked sessions."""
     s = _per_session_week(events, cohort_from, cohort_to, date_from, date_to, cutoff, section_path,
                           {"had_banner_click": _ev() == BANNER, "had_gameplay": _ev() == GAMEPLAY})
     c = s.groupBy("user_type", "week_num").agg(
         F.count(F.lit(1)).alias("total_casino_sessions"),
         F.sum("had_banner_click").cast("long").alias("sessions_banner_clicked"),
-        F.sum("had_gameplay").cast("long").alias("sessions_gameplay_initiated"))
+        F.sum("had_gameplay").cast("long").alias("sessions_gameplay_initiated"),
+        F.sum(F.col("had_banner_click") * F.col("had_gameplay")).cast("long").alias("_clicked_and_played"))
     tot, clk, gp = F.col("total_casino_sessions"), F.col("sessions_banner_clicked"), F.col("sessions_gameplay_initiated")
     out = c.select("week_num", "user_type", tot, clk,
                    pct(clk, tot).alias("pct_sessions_clicked_banner"), gp,
                    pct(gp, tot).alias("pct_sessions_gameplay"),
-                   pct(gp, clk + 1).alias("gameplay_rate_among_banner_clickers"))
+                   pct(gp, clk + 1).alias("gameplay_rate_among_banner_clickers"),
+                   *([pct(F.col("_clicked_and_played"), clk).alias("gameplay_pct_of_clicked_sessions")]
+                     if corrected else []))
     return out.orderBy("week_num", "user_type")
 
 

@@ -136,12 +136,13 @@ def fast_game_start_rates(events: DataFrame, date_from: str, date_to: str,
 
 
 def weekly_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
-                     lobby_path: str = "/tr/casino") -> DataFrame:
+                     lobby_path: str = "/tr/casino", by_identity: bool = False) -> DataFrame:
     """Q11: weekly (Monday weeks of the first lobby view, UTC) KPI trend.
 
     As in the source, the per-session stage groups by (week, OS, user type,
     session start) without the session identity, so sessions that share a
-    start microsecond merge (``by_identity`` is not applied)."""
+    start microsecond merge.  ``by_identity=True`` keeps every session as its
+    own row (the corrected form)."""
     ev = _lobby_events(events, date_from, date_to)
     sess = lobby_session_rollup(
         ev, _lobby_row(lobby_root("page_location", lobby_path)),
@@ -156,10 +157,11 @@ def weekly_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
                  "has_search_window": _has(_ev() == SEARCH)})
     flags = ["has_deposit_success", "has_deposit_initiated", "has_deposit_window_opened",
              "has_scroll", "has_search_window"]
+    identity = ["user_id", "session_id"] if by_identity else []
     merged = sess.groupBy(
         week_monday(utc_date("lobby_first_ts")).alias("week_start"), "operating_system",
         user_type_by_session_number().alias("user_type"),
-        F.col("lobby_first_ts").alias("session_start_ts")).agg(
+        F.col("lobby_first_ts").alias("session_start_ts"), *identity).agg(
         F.min("first_gameplay_ts").alias("first_gameplay_ts"),
         F.min("first_promo_ts").alias("first_promo_ts"),
         *[F.max(c).alias(c) for c in flags])

@@ -12,8 +12,15 @@ from eventlens.plans.common import BANNER, PAGE_VIEW, flag, scan, session_key
 from eventlens.sources.events import shard_range
 
 
+def _distinct(col, rsd):
+    """Exact ``COUNT(DISTINCT)`` or, with ``rsd``, HyperLogLog++ with that
+    relative standard deviation (mergeable, no shuffle of the distinct values)."""
+    return F.count_distinct(col) if rsd is None else F.approx_count_distinct(col, rsd)
+
+
 def lobby_volume_by_host_platform(events: DataFrame, date_from: str, date_to: str,
-                                  lobby_path: str = "/tr/casino") -> DataFrame:
+                                  lobby_path: str = "/tr/casino",
+                                  approx_rsd: float | None = None) -> DataFrame:
     """Q01: lobby-root sessions and users per host and platform."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
               ["user_id", "event_name", "platform"])
@@ -21,8 +28,8 @@ def lobby_volume_by_host_platform(events: DataFrame, date_from: str, date_to: st
                    & lobby_root("page_location", lobby_path))
     ev = ev.select("user_id", "session_id", "platform", host_of("page_location").alias("host"))
     out = ev.groupBy("host", "platform").agg(
-        F.count_distinct(session_key()).alias("sessions"),
-        F.count_distinct("user_id").alias("users"))
+        _distinct(session_key(), approx_rsd).alias("sessions"),
+        _distinct(F.col("user_id"), approx_rsd).alias("users"))
     return out.orderBy(F.desc("sessions"), "host", "platform")
 
 
@@ -50,7 +57,7 @@ def param_inventory_in_lobby_sessions(events: DataFrame, date_from: str, date_to
 
 
 def lobby_volume_by_device(events: DataFrame, date_from: str, date_to: str,
-                           lobby_path: str = "/tr/casino") -> DataFrame:
+                           lobby_path: str = "/tr/casino", approx_rsd: float | None = None) -> DataFrame:
     """Q03: lobby-root sessions by host, brand, platform, device category and OS."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "brand", "page_location"],
               ["user_id", "event_name", "platform", "device_category", "operating_system"])
@@ -58,8 +65,8 @@ def lobby_volume_by_device(events: DataFrame, date_from: str, date_to: str,
                    & lobby_root("page_location", lobby_path))
     keys = ["host", "brand", "platform", "device_category", "operating_system"]
     out = ev.withColumn("host", host_of("page_location")).groupBy(*keys).agg(
-        F.count_distinct(session_key()).alias("sessions"),
-        F.count_distinct("user_id").alias("users"))
+        _distinct(session_key(), approx_rsd).alias("sessions"),
+        _distinct(F.col("user_id"), approx_rsd).alias("users"))
     return out.orderBy(F.desc("sessions"), *keys)
 
 
@@ -95,7 +102,8 @@ def banner_combination_topk(events: DataFrame, date_from: str, date_to: str,
 
 
 def lobby_sessions_by_url_variant(events: DataFrame, date_from: str, date_to: str,
-                                  locale: str = "tr", section: str = "casino") -> DataFrame:
+                                  locale: str = "tr", section: str = "casino",
+                                  approx_rsd: float | None = None) -> DataFrame:
     """Q06: mobile lobby sessions by URL variant (with or without locale), brand, host, OS."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "brand", "page_location"],
               ["user_id", "event_name", "device_category", "operating_system"])
@@ -105,8 +113,8 @@ def lobby_sessions_by_url_variant(events: DataFrame, date_from: str, date_to: st
     keys = ["host", "brand", "lobby_path_variant", "operating_system"]
     ev = ev.withColumn("host", host_of("page_location")) \
            .withColumn("lobby_path_variant", lobby_path_variant("page_location", locale, section))
-    out = ev.groupBy(*keys).agg(F.count_distinct(session_key()).alias("sessions"),
-                                F.count_distinct("user_id").alias("users"))
+    out = ev.groupBy(*keys).agg(_distinct(session_key(), approx_rsd).alias("sessions"),
+                                _distinct(F.col("user_id"), approx_rsd).alias("users"))
     return out.orderBy(F.desc("sessions"), *keys)
 
 

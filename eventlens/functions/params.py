@@ -1,10 +1,13 @@
 """Typed lookups into the repeated ``event_params`` field.
 
 The scalar form ``(SELECT value.int_value FROM UNNEST(event_params) WHERE key=k)``
-becomes a higher-order ``filter`` plus a NULL-safe ``get``: no join, no
-explode, evaluated inside whole-stage codegen.  A key that occurs twice yields
-its first entry (the scalar subquery would fail); an absent key, an empty or a
-NULL array yield NULL.
+becomes ``array_position`` over the key array plus a NULL-safe ``get`` on the
+value-slot array: no join, no explode, and no lambda (higher-order functions
+fall back to interpreted evaluation inside generated code; these expressions
+are fully code-generated).  Nested schema pruning reads only
+``event_params.key`` and the one value slot used.  A key that occurs twice
+yields its first entry (the scalar subquery would fail); an absent key, an
+empty or a NULL array yield NULL.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from eventlens.schema import param_slot
 def param(key: str, slot: str | None = None, params: str | Column = "event_params") -> Column:
     arr = F.col(params) if isinstance(params, str) else params
     slot = slot or param_slot(key)
-    hit = F.get(F.filter(arr, lambda p: p["key"] == F.lit(key)), 0)
-    return hit["value"][slot]
+    pos = F.array_position(arr["key"], F.lit(key)).cast("int")   # 1-based, 0 when absent
+    return F.get(arr["value"][slot], pos - F.lit(1))
 
 
 def param_int(key: str, params: str | Column = "event_params") -> Column:

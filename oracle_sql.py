@@ -6,6 +6,13 @@ then states the analysis in its original relational form: join back to
 sessions, left joins, EXISTS / NOT EXISTS, NOT IN, ROW_NUMBER.  Nothing here is
 shared with the Spark code, so agreement checks the Spark rewrites.
 
+Money (payment amounts, two decimals) is summed in integer cents and means
+are rounded half up with integer division: DuckDB's parallel DOUBLE summation
+order varies between runs and its AVG/division of DECIMALs return DOUBLE, so a
+mean that falls exactly on a rounding tie (e.g. 352.115) would round either
+way from run to run.  The mean of per-player means (Q22) keeps 12 and then 16
+decimals, the scales of SQL decimal AVG.
+
 Conventions (DuckDB differs from the source dialect): ``||`` instead of
 ``concat`` (NULL-propagating), ``NULLIF(regexp_extract(..), '')`` for the
 host, BIGINT casts on integer sums, ``100.0::DOUBLE``, ``date_sub('second')``
@@ -690,18 +697,28 @@ DEP_COHORT = f"""
 ORACLE["deposits_by_cohort_per_user"] = q(DEP_COHORT + """
 , sd AS (
   SELECT player_id, CAST(CAST(date_created AS TIMESTAMP) AS DATE) AS deposit_date, uc.user_type,
-    COUNT(*) AS transactions, AVG("transaction_amount_EUR") AS avg_amount, SUM("transaction_amount_EUR") AS total_amount
+    COUNT(*) AS transactions,
+    SUM(CAST(round("transaction_amount_EUR" * 100) AS HUGEINT)) AS cents
   FROM pay pd LEFT JOIN user_cohort uc ON pd.player_id = uc.player_id_ga
   WHERE CAST(CAST(pd.date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
     AND business_unit_name = 'SITE_A' AND payment_status IN ('CAPTURED', 'COMPLETED')
     AND uc.user_type IS NOT NULL
   GROUP BY player_id, deposit_date, uc.user_type
+), per AS (
+  -- mean amount per player in 1e-12 EUR, rounded half up (exact integer arithmetic)
+  SELECT *, (2 * cents * 10000000000 + transactions) // (2 * transactions) AS avg_e12 FROM sd
+), g AS (
+  SELECT deposit_date, user_type, COUNT(DISTINCT player_id) AS users_deposited,
+    ROUND(AVG(transactions), 3) AS avg_transactions_per_user,
+    -- mean of the per-player means in 1e-16 EUR, half up
+    (2 * SUM(avg_e12) * 10000 + COUNT(*)) // (2 * COUNT(*)) AS mean_e16,
+    SUM(cents) AS cents
+  FROM per GROUP BY deposit_date, user_type
 )
-SELECT deposit_date, user_type, COUNT(DISTINCT player_id) AS users_deposited,
-  ROUND(AVG(transactions), 3) AS avg_transactions_per_user,
-  ROUND(AVG(avg_amount), 2) AS avg_amount_per_user,
-  ROUND(SUM(total_amount), 2) AS total_revenue
-FROM sd GROUP BY deposit_date, user_type
+SELECT deposit_date, user_type, users_deposited, avg_transactions_per_user,
+  CAST((2 * mean_e16 + 100000000000000) // 200000000000000 AS DOUBLE) / 100 AS avg_amount_per_user,
+  CAST(cents AS DOUBLE) / 100 AS total_revenue
+FROM g
 """)
 
 ORACLE["deposit_amount_stats_by_cohort"] = q(DEP_COHORT + """
@@ -715,8 +732,9 @@ ORACLE["deposit_amount_stats_by_cohort"] = q(DEP_COHORT + """
 SELECT pd.deposit_date, uc.user_type,
   COUNT(DISTINCT pd.player_id) AS unique_depositors,
   COUNT(*) AS total_deposit_transactions,
-  ROUND(AVG(pd."transaction_amount_EUR"), 2) AS "avg_deposit_amount_EUR",
-  ROUND(SUM(pd."transaction_amount_EUR"), 2) AS "total_deposited_EUR",
+  CAST((2 * SUM(CAST(round(pd."transaction_amount_EUR" * 100) AS HUGEINT)) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 100
+    AS "avg_deposit_amount_EUR",
+  CAST(SUM(CAST(round(pd."transaction_amount_EUR" * 100) AS HUGEINT)) AS DOUBLE) / 100 AS "total_deposited_EUR",
   ROUND(MIN(pd."transaction_amount_EUR"), 2) AS "min_amount_EUR",
   ROUND(MAX(pd."transaction_amount_EUR"), 2) AS "max_amount_EUR",
   ROUND(STDDEV_SAMP(pd."transaction_amount_EUR"), 2) AS "stddev_amount_EUR"
@@ -763,8 +781,8 @@ ORACLE["deposit_period_comparison"] = q(DEP_COHORT + """
   FROM pd
 )
 SELECT period, uc.user_type, COUNT(DISTINCT player_id) AS depositors, COUNT(*) AS transactions,
-  CAST(ROUND(SUM(CAST(a AS DECIMAL(30,8))) / COUNT(*), 2) AS DOUBLE) AS "avg_deposit_amount_EUR",
-  CAST(ROUND(SUM(CAST(a AS DECIMAL(30,8))), 2) AS DOUBLE) AS "total_deposited_EUR"
+  CAST((2 * SUM(CAST(round(a * 100) AS HUGEINT)) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 100 AS "avg_deposit_amount_EUR",
+  CAST(SUM(CAST(round(a * 100) AS HUGEINT)) AS DOUBLE) / 100 AS "total_deposited_EUR"
 FROM labelled l JOIN user_cohort uc ON l.player_id = uc.player_id_ga
 WHERE period IS NOT NULL
 GROUP BY period, uc.user_type

@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.functions.identity import user_type_by_session_number
-from eventlens.functions.predicates import (
-    host_of, lobby_root, lobby_root_any_locale, mobile_or_tablet)
+from eventlens.functions.predicates import lobby_root, lobby_root_any_locale, mobile_or_tablet
 from eventlens.functions.timeutil import secs_between, utc_date, week_monday
 from eventlens.operators.sessions import NOT_KEYED, lobby_session_rollup
 from eventlens.plans.common import BANNER, GAMEPLAY, PAGE_VIEW, PROMO_AREA, flag, scan
@@ -37,25 +36,25 @@ def _is_promo():
 
 
 
-def _first(cond: Column) -> tuple[Column, object]:
+def _first(cond: Column) -> tuple[str, Column, object]:
     """``MIN(IF(cond, ts, NULL))``."""
-    return F.min(F.when(cond, _ts())), NOT_KEYED
+    return "min", F.when(cond, _ts()), NOT_KEYED
 
 
-def _has(cond: Column) -> tuple[Column, object]:
+def _has(cond: Column) -> tuple[str, Column, object]:
     """``MAX(IF(cond, 1, 0))``: 0 when nothing matched."""
-    return F.max(flag(cond)), 0
+    return "max", flag(cond), 0
 
 
-def _count(cond: Column) -> tuple[Column, object]:
+def _count(cond: Column) -> tuple[str, Column, object]:
     """``COUNTIF(cond)``."""
-    return F.count_if(cond), 0
+    return "count_if", cond, 0
 
 
-def _any(cond: Column, names: Sequence[str]) -> tuple[Column, object]:
+def _any(cond: Column, names: Sequence[str]) -> tuple[str, Column, object]:
     """``LOGICAL_OR(cond)`` over the session events restricted to ``names``:
     NULL when the session has none of them, three-valued otherwise."""
-    return F.bool_or(F.when(_ev().isin(*names), cond)), NOT_KEYED
+    return "bool_or", F.when(_ev().isin(*names), cond), NOT_KEYED
 
 
 def _lobby_events(events: DataFrame, date_from: str, date_to: str, user_col: str = "user_id",
@@ -74,14 +73,14 @@ def lobby_session_baseline(events: DataFrame, date_from: str, date_to: str,
                            accuracy: int = 10000) -> DataFrame:
     """Q07: session KPI baseline (gameplay, promo, discovery, deposit guardrails,
     median and p75 time to first game) by user type and OS."""
-    ev = _lobby_events(events, date_from, date_to, extra_keys=["brand"])
+    ev = _lobby_events(events, date_from, date_to)
     lobby = _lobby_row(lobby_root_any_locale("page_location", locale, section))
     sess = lobby_session_rollup(
         ev, lobby,
+        # brand, host and device category of the source's per-session stage
+        # are functionally dependent on the session and never reach the
+        # output, so they are not computed.
         attrs={"operating_system": (F.col("operating_system"), "min"),
-               "device_category": (F.col("device_category"), "min"),
-               "brand": (F.col("brand"), "min"),
-               "host": (host_of("page_location"), "min"),
                "ga_session_number": (F.col("ga_session_number"), "max")},
         metrics={"first_gameplay_ts": _first(_ev() == GAMEPLAY),
                  "gameplay_events": _count(_ev() == GAMEPLAY),

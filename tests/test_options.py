@@ -89,8 +89,8 @@ def test_rollup_equals_join_back_model(spark):
             F.get(F.filter("event_params", lambda p: p["key"] == "page_location"), 0)["value"]["string_value"].alias("pl"))
         lobby = (F.col("event_name") == "page_view") & F.col("pl").rlike(r"/tr/casino\z")
         got = lobby_session_rollup(df, lobby, metrics={
-            "first_game": (F.min(F.when(F.col("event_name") == "gameplay_initiated", F.col("event_timestamp"))), NOT_KEYED),
-            "games": (F.count_if(F.col("event_name") == "gameplay_initiated"), 0),
-            "scrolled": (F.max(F.when(F.col("event_name") == "scroll", 1).otherwise(0)), 0)}).collect()
+            "first_game": ("min", F.when(F.col("event_name") == "gameplay_initiated", F.col("event_timestamp")), NOT_KEYED),
+            "games": ("count_if", F.col("event_name") == "gameplay_initiated", 0),
+            "scrolled": ("max", F.when(F.col("event_name") == "scroll", 1).otherwise(0), 0)}).collect()
         got = {(r.user_id, r.session_id): (r.lobby_first_ts, r.first_game, r.games, r.scrolled) for r in got}
         assert got == _model(rows)

@@ -146,12 +146,19 @@ def identifier_coverage(events: DataFrame, date_from: str, date_to: str,
     ev = ev.filter((F.col("event_name") == PAGE_VIEW) & mobile_or_tablet("device_category")
                    & lobby_root("page_location", lobby_path))
     present = lambda c: F.max(flag(F.nullif(F.col(c), F.lit("")).isNotNull()))
-    sess = ev.groupBy("user_id", "session_id").agg(
+    flags = ["has_enhancedUserId", "has_customer_guid", "has_ssguid"]
+    # MIN(operating_system) as a grouping key first: the page views are
+    # hash-aggregated (string buffers would force a sort of every row), and
+    # the few (session, OS) rows are merged per session afterwards.
+    per_os = ev.groupBy("user_id", "session_id", "operating_system").agg(
+        F.max("ga_session_number").alias("ga_session_number"),
+        present("enhancedUserId").alias(flags[0]),
+        present("customer_guid").alias(flags[1]),
+        present("ssguid").alias(flags[2]))
+    sess = per_os.groupBy("user_id", "session_id").agg(
         F.max("ga_session_number").alias("ga_session_number"),
         F.min("operating_system").alias("operating_system"),
-        present("enhancedUserId").alias("has_enhancedUserId"),
-        present("customer_guid").alias("has_customer_guid"),
-        present("ssguid").alias("has_ssguid"))
+        *[F.max(c).alias(c) for c in flags])
     sess = sess.filter(F.col("session_id").isNotNull())
     out = sess.groupBy(user_type_by_session_number().alias("user_type"), "operating_system").agg(
         F.count(F.lit(1)).alias("lobby_sessions"),

@@ -15,6 +15,7 @@ from eventlens.operators.joins import left_join_keyed
 from eventlens.operators.login import first_login, first_time_label
 from eventlens.operators.range_exists import exists_within
 from eventlens.plans.common import BANNER, GAMEPLAY, flag, scan
+from eventlens.session import checkpoint_dir
 
 # Fixed labels.
 CLICKERS = "BANNER_CLICKERS"
@@ -52,6 +53,7 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
                    F.coalesce(sect, F.lit(False)).alias("_sect"))
     ev = ev.filter(F.col("_sect") | _ev().isin(LOGIN, GAMEPLAY))
     if materialize:
+        checkpoint_dir(ev.sparkSession)   # shared folder, or a clear error on a cluster without one
         ev = ev.checkpoint(eager=True)
     logins = first_login(ev)
     visits = ev.filter(F.col("_sect")).select("user_id", "session_id", "event_timestamp", "event_date")

@@ -24,3 +24,18 @@ def test_stream_matches_batch(spark):
     want = {r.event_name: r.event_count for r in plans.lobby_event_inventory(events, "20231231", "20240131").collect()}
     assert got == want
     assert read_event_stream(spark, src).isStreaming
+
+
+def test_stream_parquet_snapshot_sink(spark):
+    events, _ = load_fixture(spark, SF)
+    src = events.inputFiles()[0].split("/event_date=")[0]
+    base = tempfile.mkdtemp(prefix="eventlens-stream-", dir=os.environ.get("EVENTLENS_SCRATCH", "/tmp"))
+    q = start_event_inventory(spark, src, "20231231", "20240131", query_name="inv_snap",
+                              checkpoint=base + "/ckpt", sink=base + "/out")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r.event_name: r.event_count for r in spark.read.parquet(base + "/out").collect()}
+    want = {r.event_name: r.event_count for r in plans.lobby_event_inventory(events, "20231231", "20240131").collect()}
+    assert got == want

@@ -41,6 +41,8 @@ def param_inventory_in_lobby_sessions(events: DataFrame, date_from: str, date_to
     Banner events are exploded and pre-aggregated per (user, session, key)
     before the semi-join to the lobby session keys, so the join input is
     bounded by sessions x keys whatever the skew of the raw events."""
+    if "event_params" not in events.columns:
+        raise ValueError("the parameter-key inventory needs the nested export (event_params)")
     ranged = shard_range(events, date_from, date_to)
     lobby = (scan(ranged, date_from, date_to, ["ga_session_id", "page_location"], ["user_id", "event_name"])
              .filter((F.col("event_name") == PAGE_VIEW) & lobby_root("page_location", lobby_path)

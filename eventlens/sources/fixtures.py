@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,7 +22,7 @@ from eventlens.session import checkpoint_dir
 from eventlens.sources.deposits import read_deposits
 from eventlens.sources.events import read_events
 
-FIXTURE_VERSION = "fixture-v1"
+FIXTURE_VERSION = "fixture-v2"
 
 # Fixed values of the fixture formulas.
 BUCKET_US = 259_200_000_000          # 3-day session bucket
@@ -157,10 +158,32 @@ _LOCK = threading.Lock()
 _MEMO: dict = {}   # (session, table root) -> resolved DataFrames; no data is held
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _publish(spark: SparkSession, df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Write ``df`` to a unique temporary folder and rename it to ``path``.
+
+    The rename is atomic on HDFS and local file systems, so concurrent runs
+    never see a half-written table; if another run published first, its
+    table is used and the temporary copy is left to the folder's cleanup."""
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    w = df.write.mode("error")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(tmp)
+    fs, src = _fs(spark, tmp)
+    _, dst = _fs(spark, path)
+    if not fs.rename(src, dst) and not fs.exists(dst):
+        raise RuntimeError(f"could not publish {path}")
 
 
 def _fingerprint(sf_dir: str) -> str:
@@ -191,10 +214,10 @@ def load_fixture(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
             return hit
         ev_path, dep_path = f"{root}/events", f"{root}/deposits"
         if not _fs_exists(spark, f"{ev_path}/_SUCCESS"):
-            (fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")).repartition("event_date")
-             .write.mode("overwrite").partitionBy("event_date").parquet(ev_path))
+            _publish(spark, fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")).repartition("event_date"),
+                     ev_path, "event_date")
         if not _fs_exists(spark, f"{dep_path}/_SUCCESS"):
-            fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet")).write.mode("overwrite").parquet(dep_path)
+            _publish(spark, fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet")), dep_path)
         out = (read_events(spark, ev_path), read_deposits(spark, dep_path))
         _MEMO[memo_key] = out
         return out

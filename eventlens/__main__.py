@@ -3,6 +3,8 @@
     python -m eventlens <analysis> --events PATH [--deposits PATH] --out PATH
         [--format csv|parquet] [--show] name=value ...
 
+``--flat`` reads the flat typed layout written by
+``eventlens.sources.layout.write_flat_events`` instead of the nested export.
 ``name=value`` pairs are the analysis' own parameters (see ``--help-params``),
 e.g. ``date_from=20250101 date_to=20260128``; lists are comma-separated and
 periods are ``label:first:last,...``.  The events path is the nested
@@ -18,6 +20,7 @@ import sys
 from eventlens import plans
 from eventlens.session import build_session
 from eventlens.sources import read_deposits, read_events, write_csv, write_parquet
+from eventlens.sources.layout import read_flat_events
 
 SKIP = {"events", "deposits"}
 
@@ -47,6 +50,7 @@ def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="python -m eventlens")
     ap.add_argument("analysis", choices=sorted(fns))
     ap.add_argument("--events", required=True)
+    ap.add_argument("--flat", action="store_true", help="--events is the flat layout (sources.layout)")
     ap.add_argument("--deposits")
     ap.add_argument("--out")
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
@@ -63,7 +67,7 @@ def main(argv=None) -> int:
                 print(p.name, "" if p.default is inspect.Parameter.empty else f"(default {p.default!r})")
         return 0
     spark = build_session(a.master, app=f"eventlens-{a.analysis}")
-    kwargs = {"events": read_events(spark, a.events)}
+    kwargs = {"events": read_flat_events(spark, a.events) if a.flat else read_events(spark, a.events)}
     if "deposits" in sig.parameters:
         if not a.deposits:
             ap.error("--deposits is required for " + a.analysis)

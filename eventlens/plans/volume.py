@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from eventlens.functions.identity import identity_key, user_type_by_session_number
-from eventlens.functions.params import explode_params, param_int
+from eventlens.functions.params import param_int, param_str
 from eventlens.functions.predicates import (
     host_of, lobby_path_variant, lobby_root, lobby_root_any_locale, mobile_or_tablet)
 from eventlens.plans.common import BANNER, PAGE_VIEW, flag, scan, session_key
@@ -38,22 +38,26 @@ def param_inventory_in_lobby_sessions(events: DataFrame, date_from: str, date_to
                                       event_name: str = BANNER) -> DataFrame:
     """Q02: parameter keys on banner events of sessions that saw the lobby.
 
-    Banner events are exploded and pre-aggregated per (user, session, key)
-    before the semi-join to the lobby session keys, so the join input is
-    bounded by sessions x keys whatever the skew of the raw events."""
+    One scan: every banner event contributes its parameter keys and every
+    lobby page view a marker row, pre-aggregated per (user, session, key).
+    Whether the session saw the lobby is then a window over the session's
+    few pre-aggregated rows, which replaces the semi-join (no second scan,
+    and a hot session is at most #keys + 1 rows after map-side combine).
+    An event with an empty array contributes nothing, as the lateral join."""
     if "event_params" not in events.columns:
         raise ValueError("the parameter-key inventory needs the nested export (event_params)")
-    ranged = shard_range(events, date_from, date_to)
-    lobby = (scan(ranged, date_from, date_to, ["ga_session_id", "page_location"], ["user_id", "event_name"])
-             .filter((F.col("event_name") == PAGE_VIEW) & lobby_root("page_location", lobby_path)
-                     & F.col("user_id").isNotNull() & F.col("session_id").isNotNull())
-             .select("user_id", "session_id"))
-    banner = ranged.filter(F.col("event_name") == event_name).select(
-        "user_id", param_int("ga_session_id").alias("session_id"), "event_params")
-    banner = banner.filter(F.col("user_id").isNotNull() & F.col("session_id").isNotNull())
-    per_key = (explode_params(banner, ["user_id", "session_id"])
-               .groupBy("user_id", "session_id", "param_key").agg(F.count(F.lit(1)).alias("n")))
-    hit = per_key.join(lobby, ["user_id", "session_id"], "left_semi")
+    ev = shard_range(events, date_from, date_to).filter(F.col("event_name").isin(PAGE_VIEW, event_name))
+    is_lobby = (F.col("event_name") == PAGE_VIEW) & lobby_root(param_str("page_location"), lobby_path)
+    rows = ev.select("user_id", param_int("ga_session_id").alias("session_id"),
+                     F.coalesce(is_lobby, F.lit(False)).alias("_marker"),
+                     (F.col("event_name") == event_name).alias("_banner"), "event_params")
+    rows = rows.filter(F.col("user_id").isNotNull() & F.col("session_id").isNotNull()
+                       & (F.col("_marker") | F.col("_banner")))
+    keys = F.when(F.col("_marker"), F.array(F.lit(None).cast("string"))).otherwise(F.col("event_params.key"))
+    per_key = (rows.select("user_id", "session_id", "_marker", F.explode(keys).alias("param_key"))
+               .groupBy("user_id", "session_id", "_marker", "param_key").agg(F.count(F.lit(1)).alias("n")))
+    seen = F.max(F.col("_marker").cast("int")).over(Window.partitionBy("user_id", "session_id"))
+    hit = per_key.withColumn("_seen", seen).filter((F.col("_seen") == 1) & ~F.col("_marker"))
     out = hit.groupBy("param_key").agg(F.sum("n").alias("occurrences"))
     return out.orderBy(F.desc("occurrences"), "param_key")
 

@@ -34,7 +34,9 @@ def _cohort(events: DataFrame, cohort_from: str, cohort_to: str, cutoff: str) ->
 
 def _payments(deposits: DataFrame, day_from: str, day_to: str, business_unit: str,
               statuses: Sequence[str], positive_only: bool) -> DataFrame:
-    day = F.to_timestamp_ntz(F.col("date_created")).cast("date")
+    # ``DATE(CAST(date_created AS TIMESTAMP))``; an unparsable value becomes
+    # NULL (and falls out of the date filter) instead of failing the job.
+    day = F.col("date_created").try_cast("timestamp_ntz").cast("date")
     p = deposits.select("player_id", day.alias("deposit_date"), "transaction_amount_EUR",
                         "payment_status", "business_unit_name")
     cond = (F.col("deposit_date").between(F.lit(day_from).cast("date"), F.lit(day_to).cast("date"))

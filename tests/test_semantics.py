@@ -201,3 +201,13 @@ def test_h17_zero_amounts_kept_in_q22_dropped_in_q23(spark):
     q23 = plans.deposit_amount_stats_by_cohort(events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U").first()
     assert (q22.avg_transactions_per_user, q22.avg_amount_per_user, q22.total_revenue) == (2.0, 5.0, 10.0)
     assert (q23.total_deposit_transactions, q23.avg_deposit_amount_EUR, q23.stddev_amount_EUR) == (1, 10.0, None)
+
+
+def test_dirty_payment_timestamp_is_skipped(spark):
+    events = events_df(spark, [ev("7", T0, pl=None)])
+    dep = spark.createDataFrame(
+        [("7", "2025-11-05 10:00:00", 10.0, "CAPTURED", "U"), ("7", "not a time", 5.0, "CAPTURED", "U")],
+        "player_id string, date_created string, transaction_amount_EUR double, payment_status string, "
+        "business_unit_name string")
+    r = plans.deposit_amount_stats_by_cohort(events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U").collect()
+    assert [(x.total_deposit_transactions, x.total_deposited_EUR) for x in r] == [(1, 10.0)]

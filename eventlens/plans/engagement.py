@@ -56,13 +56,15 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
         checkpoint_dir(ev.sparkSession)   # shared folder, or a clear error on a cluster without one
         ev = ev.checkpoint(eager=True)
     logins = first_login(ev)
-    visits = ev.filter(F.col("_sect")).select("user_id", "session_id", "event_timestamp", "event_date")
-    clicks = ev.filter(F.col("_sect") & (_ev() == BANNER)).select(
-        "user_id", "session_id", F.col("event_timestamp").alias("click_ts"))
-
-    c = left_join_keyed(clicks, logins, ["user_id"])
-    c = c.select("user_id", "session_id", "click_ts",
-                 first_time_label("click_ts").alias("user_type")).distinct()
+    visits = ev.filter(F.col("_sect")).select("user_id", "session_id", "event_timestamp", "event_date",
+                                              (_ev() == BANNER).alias("_click"))
+    # Banner clicks are section events: one join to the first logins labels
+    # both groups (the click time and the visit time are the event time).
+    labelled = left_join_keyed(visits, logins, ["user_id"]).withColumn(
+        "user_type", first_time_label("event_timestamp"))
+
+    c = (labelled.filter(F.col("_click"))
+         .select("user_id", "session_id", F.col("event_timestamp").alias("click_ts"), "user_type").distinct())
     c = exists_within(c, visits, "user_id", "click_ts", "event_timestamp",
                       RETURN_LO_US, RETURN_HI_US, "returned_within_5min")
     cw = c.groupBy(F.date_format(week_sunday(utc_date("click_ts")), "yyyy-MM-dd").alias("week_start"),
@@ -78,9 +80,8 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
                    .groupBy("user_id", "session_id").agg(
                        F.max(flag(F.col("_sect") & (_ev() == BANNER))).alias("_clicked"),
                        F.max(flag(_ev() == GAMEPLAY)).alias("_played")))
-    v = left_join_keyed(visits, logins, ["user_id"])
-    v = v.select("user_id", "session_id", date_from_shard("event_date").alias("event_date"),
-                 first_time_label("event_timestamp").alias("user_type")).distinct()
+    v = labelled.select("user_id", "session_id", date_from_shard("event_date").alias("event_date"),
+                        "user_type").distinct()
     v = left_join_keyed(v, per_session, ["user_id", "session_id"])
     v = v.filter(F.coalesce(F.col("_clicked"), F.lit(0)) == 0) \
          .withColumn("initiated_gameplay", F.coalesce(F.col("_played"), F.lit(0)))

@@ -70,3 +70,22 @@ def test_partition_count_invariance(spark, name):
         assert run(1) == run(7)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_time_helpers_over_many_days(spark):
+    import datetime as dt
+    from eventlens.functions import utc_date, week_monday, week_num_sunday, week_sunday
+    start = dt.date(2019, 1, 1)
+    days = [start + dt.timedelta(days=i) for i in range(2600)]
+    rnd = random.Random(7)
+    micros = [int(dt.datetime(d.year, d.month, d.day, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+              + rnd.randrange(0, 86_400_000_000) for d in days]
+    df = spark.createDataFrame(list(zip(days, micros)), "d date, us long")
+    got = df.select("d", week_num_sunday("d").alias("w"), week_sunday("d").alias("sun"),
+                    week_monday("d").alias("mon"), utc_date("us").alias("ud")).collect()
+    for r, us in zip(sorted(got, key=lambda r: r.d), micros):
+        d = r.d
+        assert r.w == int(d.strftime("%U"))
+        assert r.sun == d - dt.timedelta(days=(d.weekday() + 1) % 7)
+        assert r.mon == d - dt.timedelta(days=d.weekday())
+        assert r.ud == dt.datetime.fromtimestamp(us / 1e6, tz=dt.timezone.utc).date() == d

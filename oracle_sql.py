@@ -2,9 +2,13 @@
 
 Each statement derives the flat logical event view ``ev`` (and payments view
 ``pay``) from the driver tables with the fixture formulas (FIXTURES.md §3-4),
-then states the analysis in its original relational form: join back to
-sessions, left joins, EXISTS / NOT EXISTS, NOT IN, ROW_NUMBER.  Nothing here is
-shared with the Spark code, so agreement checks the Spark rewrites.
+then computes the analysis from its specification (SURVEY §2N) in plain
+DuckDB SQL, deliberately by other means than the Spark code: lobby sessions
+joined to their events with FILTER aggregates (Spark: one aggregation, no
+join), an ASOF join for the 5-minute return (Spark: bucketed window), EXCEPT
+for non-clickers (Spark: per-user flags), anti-joins by NULL-marker left
+joins, nearest-rank percentiles by ROW_NUMBER.  Nothing here is shared with
+the Spark code, so agreement checks it.
 
 Money (payment amounts, two decimals) is summed in integer cents and means
 are rounded half up with integer division: DuckDB's parallel DOUBLE summation
@@ -108,33 +112,81 @@ RX_TR = r"'/tr/casino/?(\?.*)?$'"
 RX_ANY = r"'/(tr/)?casino/?(\?.*)?$'"
 RX_BARE = r"'/casino/?(\?.*)?$'"
 HOST = r"NULLIF(regexp_extract(page_location, 'https?://([^/]+)/', 1), '')"
-RANGE = f"event_date BETWEEN '{LO}' AND '{HI}'"
-CUT_US = "epoch_us(TIMESTAMP '2024-01-09 00:00:00')"
+IN_RANGE = f"event_date BETWEEN '{LO}' AND '{HI}'"
+CUT_US = f"epoch_us(TIMESTAMP '{CUTOFF} 00:00:00')"
+MOBILE = "device_category IN ('mobile', 'tablet')"
+SECTION = "page_location LIKE '%/tr/casino/%'"
+DAY_US = "86400000000"
 
 
 def q(body: str) -> str:
     return BASE + body
 
 
+def nearest_rank(src: str, keys: str, val: str, p: float, name: str) -> str:
+    """CTE ``name(keys…, v)``: per group the value at rank ceil(p·n) of the
+    non-NULL ``val`` (the nearest-rank percentile)."""
+    return f"""
+, {name} AS (
+  SELECT {keys}, min(v) FILTER (WHERE r = CAST(ceil({p} * n) AS BIGINT)) AS v
+  FROM (SELECT {keys}, {val} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {val}) AS r,
+               count(*) OVER (PARTITION BY {keys}) AS n
+        FROM {src} WHERE {val} IS NOT NULL)
+  GROUP BY ALL
+)"""
+
+
+def lobby_visits(regex: str, user: str = "user_id") -> str:
+    """CTE ``visits``: one row per (user, session) with a lobby page view
+    (mobile/tablet); NULL keys are groups too."""
+    return f"""
+, visits AS (
+  SELECT {user}, session_id, min(event_timestamp) AS t0, min(operating_system) AS os,
+         max(ga_session_number) AS sn
+  FROM ev
+  WHERE {IN_RANGE} AND event_name = 'page_view' AND {MOBILE} AND regexp_matches(page_location, {regex})
+  GROUP BY ALL
+)"""
+
+
+def with_events(cols: str, user: str = "user_id", names: str | None = None) -> str:
+    """CTE ``facts``: every lobby session with aggregates over the events of
+    the same (user, session) in range, one LEFT JOIN (no match for NULL keys)."""
+    only = f" AND e.event_name IN ({names})" if names else ""
+    return f"""
+, facts AS (
+  SELECT v.{user}, v.session_id, v.t0, v.os,
+         CASE WHEN v.sn = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type,
+         {cols}
+  FROM visits v
+  LEFT JOIN ev e ON e.{user} = v.{user} AND e.session_id = v.session_id AND e.{IN_RANGE}{only}
+  GROUP BY ALL
+)"""
+
+
+GAME_TS = "min(e.event_timestamp) FILTER (WHERE e.event_name = 'gameplay_initiated') AS game_ts"
+PROMO = "e.event_name = 'dynamic_content' AND e.navigation_selection = 'Promotion Area'"
+
+
+def has(cond: str, name: str) -> str:
+    return f"CASE WHEN count(*) FILTER (WHERE {cond}) > 0 THEN 1 ELSE 0 END AS {name}"
+
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["lobby_volume_by_host_platform"] = q(f"""
-, lobby_pageviews AS (
-  SELECT user_id, session_id, platform, page_location FROM ev
-  WHERE {RANGE} AND event_name = 'page_view' AND regexp_matches(page_location, {RX_TR})
-), lobby_sessions AS (
-  SELECT DISTINCT user_id, session_id, platform, {HOST} AS host
-  FROM lobby_pageviews WHERE session_id IS NOT NULL
-)
-SELECT host, platform,
-  COUNT(DISTINCT user_id || '-' || CAST(session_id AS VARCHAR)) AS sessions,
-  COUNT(DISTINCT user_id) AS users
-FROM lobby_sessions GROUP BY host, platform
+SELECT {HOST} AS host, platform,
+       count(DISTINCT user_id || '-' || session_id::VARCHAR) AS sessions,
+       count(DISTINCT user_id) AS users
+FROM ev
+WHERE {IN_RANGE} AND event_name = 'page_view' AND session_id IS NOT NULL
+  AND regexp_matches(page_location, {RX_TR})
+GROUP BY ALL
 """)
 
 ORACLE["param_inventory_in_lobby_sessions"] = q(f"""
-, params AS (
-  SELECT eid, 'ga_session_id' AS key FROM ev WHERE session_id IS NOT NULL
+, present_keys AS (
+            SELECT eid, 'ga_session_id' AS k FROM ev WHERE session_id IS NOT NULL
   UNION ALL SELECT eid, 'ga_session_number' FROM ev WHERE ga_session_number IS NOT NULL
   UNION ALL SELECT eid, 'page_location' FROM ev WHERE page_location IS NOT NULL
   UNION ALL SELECT eid, 'brand' FROM ev WHERE brand IS NOT NULL
@@ -146,644 +198,456 @@ ORACLE["param_inventory_in_lobby_sessions"] = q(f"""
   UNION ALL SELECT eid, 'enhancedUserId' FROM ev WHERE "enhancedUserId" IS NOT NULL
   UNION ALL SELECT eid, 'customer_guid' FROM ev WHERE customer_guid IS NOT NULL
   UNION ALL SELECT eid, 'ssguid' FROM ev WHERE ssguid IS NOT NULL
-), lobby_sessions AS (
+), saw_lobby AS (
   SELECT DISTINCT user_id, session_id FROM ev
-  WHERE {RANGE} AND event_name = 'page_view' AND regexp_matches(page_location, {RX_TR})
-), dce AS (
-  SELECT p.key AS param_key
-  FROM ev e
-  JOIN lobby_sessions ls ON e.user_id = ls.user_id AND e.session_id = ls.session_id
-  JOIN params p ON p.eid = e.eid
-  WHERE e.{RANGE} AND e.event_name = 'dynamic_content'
+  WHERE {IN_RANGE} AND event_name = 'page_view' AND regexp_matches(page_location, {RX_TR})
 )
-SELECT param_key, COUNT(*) AS occurrences FROM dce GROUP BY param_key
+SELECT pk.k AS param_key, count(*) AS occurrences
+FROM ev b JOIN present_keys pk ON pk.eid = b.eid
+WHERE b.{IN_RANGE} AND b.event_name = 'dynamic_content'
+  AND EXISTS (SELECT 1 FROM saw_lobby s WHERE s.user_id = b.user_id AND s.session_id = b.session_id)
+GROUP BY ALL
 """)
 
 ORACLE["lobby_volume_by_device"] = q(f"""
-, lp AS (
-  SELECT user_id, session_id, platform, device_category, operating_system, brand, {HOST} AS host
-  FROM ev WHERE {RANGE} AND event_name = 'page_view' AND regexp_matches(page_location, {RX_TR})
-)
-SELECT host, brand, platform, device_category, operating_system,
-  COUNT(DISTINCT user_id || '-' || CAST(session_id AS VARCHAR)) AS sessions,
-  COUNT(DISTINCT user_id) AS users
-FROM lp WHERE session_id IS NOT NULL
-GROUP BY host, brand, platform, device_category, operating_system
+SELECT {HOST} AS host, brand, platform, device_category, operating_system,
+       count(DISTINCT user_id || '-' || session_id::VARCHAR) AS sessions,
+       count(DISTINCT user_id) AS users
+FROM ev
+WHERE {IN_RANGE} AND event_name = 'page_view' AND session_id IS NOT NULL
+  AND regexp_matches(page_location, {RX_TR})
+GROUP BY ALL
 """)
 
 ORACLE["lobby_event_inventory"] = q(f"""
-SELECT event_name, COUNT(*) AS event_count FROM ev
-WHERE {RANGE} AND platform = 'WEB' AND device_category IN ('mobile', 'tablet')
-  AND regexp_matches(page_location, {RX_TR})
-GROUP BY event_name
+SELECT event_name, count(*) AS event_count
+FROM ev
+WHERE {IN_RANGE} AND platform = 'WEB' AND {MOBILE} AND regexp_matches(page_location, {RX_TR})
+GROUP BY ALL
 """)
 
 ORACLE["banner_combination_topk"] = q(f"""
-, dc AS (
-  SELECT brand, content_type, user_interaction, click_target, navigation_selection, idx, COUNT(*) AS events
-  FROM ev
-  WHERE {RANGE} AND event_name = 'dynamic_content' AND platform = 'WEB'
-    AND device_category IN ('mobile', 'tablet') AND regexp_matches(page_location, {RX_TR})
-  GROUP BY brand, content_type, user_interaction, click_target, navigation_selection, idx
-)
-SELECT * FROM dc
-ORDER BY events DESC, brand ASC NULLS FIRST, content_type ASC NULLS FIRST, user_interaction ASC NULLS FIRST,
-  click_target ASC NULLS FIRST, navigation_selection ASC NULLS FIRST, idx ASC NULLS FIRST
+SELECT brand, content_type, user_interaction, click_target, navigation_selection, idx, count(*) AS events
+FROM ev
+WHERE {IN_RANGE} AND event_name = 'dynamic_content' AND platform = 'WEB' AND {MOBILE}
+  AND regexp_matches(page_location, {RX_TR})
+GROUP BY ALL
+ORDER BY events DESC, brand NULLS FIRST, content_type NULLS FIRST, user_interaction NULLS FIRST,
+         click_target NULLS FIRST, navigation_selection NULLS FIRST, idx NULLS FIRST
 LIMIT 100
 """)
 
 ORACLE["lobby_sessions_by_url_variant"] = q(f"""
-, lp AS (
-  SELECT user_id, session_id, operating_system, brand, page_location, {HOST} AS host
-  FROM ev WHERE {RANGE} AND event_name = 'page_view' AND device_category IN ('mobile', 'tablet')
-    AND regexp_matches(page_location, {RX_ANY})
-)
-SELECT host, brand,
-  CASE WHEN regexp_matches(page_location, {RX_TR}) THEN 'tr/casino'
-       WHEN regexp_matches(page_location, {RX_BARE}) THEN 'casino' ELSE 'other' END AS lobby_path_variant,
-  operating_system,
-  COUNT(DISTINCT user_id || '-' || CAST(session_id AS VARCHAR)) AS sessions,
-  COUNT(DISTINCT user_id) AS users
-FROM lp WHERE session_id IS NOT NULL
+SELECT {HOST} AS host, brand,
+       CASE WHEN regexp_matches(page_location, {RX_TR}) THEN 'tr/casino'
+            WHEN regexp_matches(page_location, {RX_BARE}) THEN 'casino'
+            ELSE 'other' END AS lobby_path_variant,
+       operating_system,
+       count(DISTINCT user_id || '-' || session_id::VARCHAR) AS sessions,
+       count(DISTINCT user_id) AS users
+FROM ev
+WHERE {IN_RANGE} AND event_name = 'page_view' AND {MOBILE} AND session_id IS NOT NULL
+  AND regexp_matches(page_location, {RX_ANY})
 GROUP BY ALL
 """)
 
-
-def _pct_rank(src: str, keys: str, val: str, p: float, name: str) -> str:
-    """Nearest-rank percentile per group (value at rank ceil(p*n), NULLs ignored)."""
-    return f"""
-{name} AS (
-  SELECT {keys}, MIN(CASE WHEN rn = CAST(ceil({p} * n) AS BIGINT) THEN v END) AS v
-  FROM (SELECT {keys}, {val} AS v,
-               ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY {val}) AS rn,
-               COUNT(*) OVER (PARTITION BY {keys}) AS n
-        FROM {src} WHERE {val} IS NOT NULL) t
-  GROUP BY {keys}
-)"""
-
-
-ORACLE["lobby_session_baseline"] = q(f"""
-, lobby_sessions AS (
-  SELECT user_id, session_id, MIN(event_timestamp) AS lobby_first_ts,
-    MIN(operating_system) AS operating_system, MIN(device_category) AS device_category,
-    MIN(brand) AS brand, MIN({HOST}) AS host, MAX(ga_session_number) AS ga_session_number
-  FROM ev
-  WHERE {RANGE} AND event_name = 'page_view' AND device_category IN ('mobile', 'tablet')
-    AND regexp_matches(page_location, {RX_ANY})
-  GROUP BY user_id, session_id
-), session_events AS (
-  SELECT e.user_id, e.session_id, e.event_name, e.event_timestamp, e.navigation_selection
-  FROM ev e JOIN lobby_sessions ls ON e.user_id = ls.user_id AND e.session_id = ls.session_id
-  WHERE e.{RANGE}
-), per_session AS (
-  SELECT ls.user_id, ls.session_id, ls.brand, ls.host, ls.operating_system,
-    CASE WHEN ls.ga_session_number = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type,
-    ls.lobby_first_ts AS session_start_ts,
-    MIN(CASE WHEN se.event_name = 'gameplay_initiated' THEN se.event_timestamp END) AS first_gameplay_ts,
-    COUNT(CASE WHEN se.event_name = 'gameplay_initiated' THEN 1 END) AS gameplay_events,
-    MAX(CASE WHEN se.event_name = 'gameplay_initiated' THEN 1 ELSE 0 END) AS has_gameplay,
-    COUNT(CASE WHEN se.event_name = 'dynamic_content' AND se.navigation_selection = 'Promotion Area' THEN 1 END) AS promo_click_events,
-    MAX(CASE WHEN se.event_name = 'dynamic_content' AND se.navigation_selection = 'Promotion Area' THEN 1 ELSE 0 END) AS has_promo_click,
-    MAX(CASE WHEN se.event_name = 'search_window_initiated' THEN 1 ELSE 0 END) AS has_search_window,
-    MAX(CASE WHEN se.event_name = 'scroll' THEN 1 ELSE 0 END) AS has_scroll,
-    MAX(CASE WHEN se.event_name = 'deposit_window_opened' THEN 1 ELSE 0 END) AS has_deposit_window_opened,
-    MAX(CASE WHEN se.event_name = 'deposit_success' THEN 1 ELSE 0 END) AS has_deposit_success
-  FROM lobby_sessions ls
-  LEFT JOIN session_events se ON ls.user_id = se.user_id AND ls.session_id = se.session_id
-  GROUP BY ls.user_id, ls.session_id, ls.brand, ls.host, ls.operating_system, user_type, session_start_ts
-), scored AS (
-  SELECT *, (first_gameplay_ts - session_start_ts) / 1000000.0 AS ttf FROM per_session
-),
-{_pct_rank('scored', 'user_type, operating_system', 'ttf', 0.5, 'p50')},
-{_pct_rank('scored', 'user_type, operating_system', 'ttf', 0.75, 'p75')},
-agg AS (
-  SELECT user_type, operating_system, COUNT(*) AS lobby_sessions,
-    AVG(has_gameplay) AS gameplay_session_rate,
-    AVG(gameplay_events) AS avg_gameplay_events_per_session,
-    AVG(has_promo_click) AS promo_click_session_rate,
-    AVG(promo_click_events) AS avg_promo_clicks_per_session,
-    AVG(has_scroll) AS pct_sessions_with_scroll,
-    AVG(has_search_window) AS pct_sessions_with_search,
-    AVG(has_deposit_window_opened) AS pct_sessions_deposit_window,
-    AVG(has_deposit_success) AS pct_sessions_deposit_success
-  FROM scored GROUP BY user_type, operating_system
-)
-SELECT a.*, p50.v AS median_time_to_first_gameplay_sec, p75.v AS p75_time_to_first_gameplay_sec
-FROM agg a
-LEFT JOIN p50 ON a.user_type = p50.user_type AND a.operating_system IS NOT DISTINCT FROM p50.operating_system
-LEFT JOIN p75 ON a.user_type = p75.user_type AND a.operating_system IS NOT DISTINCT FROM p75.operating_system
+ORACLE["lobby_session_baseline"] = q(lobby_visits(RX_ANY) + with_events(f"""{GAME_TS},
+         count(*) FILTER (WHERE e.event_name = 'gameplay_initiated') AS games,
+         count(*) FILTER (WHERE {PROMO}) AS promos,
+         {has('e.event_name = ' + repr('scroll'), 'scrolled')},
+         {has('e.event_name = ' + repr('search_window_initiated'), 'searched')},
+         {has('e.event_name = ' + repr('deposit_window_opened'), 'dep_window')},
+         {has('e.event_name = ' + repr('deposit_success'), 'dep_ok')}""") + """
+, timed AS (SELECT *, (game_ts - t0) / 1000000.0 AS to_game FROM facts)
+""" + nearest_rank("timed", "user_type, os", "to_game", 0.5, "med")
+  + nearest_rank("timed", "user_type, os", "to_game", 0.75, "p75") + """
+SELECT t.user_type, t.os AS operating_system, count(*) AS lobby_sessions,
+       avg(CASE WHEN t.games > 0 THEN 1 ELSE 0 END) AS gameplay_session_rate,
+       avg(t.games) AS avg_gameplay_events_per_session,
+       avg(CASE WHEN t.promos > 0 THEN 1 ELSE 0 END) AS promo_click_session_rate,
+       avg(t.promos) AS avg_promo_clicks_per_session,
+       avg(t.scrolled) AS pct_sessions_with_scroll,
+       avg(t.searched) AS pct_sessions_with_search,
+       avg(t.dep_window) AS pct_sessions_deposit_window,
+       avg(t.dep_ok) AS pct_sessions_deposit_success,
+       any_value(med.v) AS median_time_to_first_gameplay_sec,
+       any_value(p75.v) AS p75_time_to_first_gameplay_sec
+FROM timed t
+LEFT JOIN med ON med.user_type = t.user_type AND med.os IS NOT DISTINCT FROM t.os
+LEFT JOIN p75 ON p75.user_type = t.user_type AND p75.os IS NOT DISTINCT FROM t.os
+GROUP BY t.user_type, t.os
 """)
 
 ORACLE["multi_host_exposure"] = q(f"""
-, lobby_hits AS (
-  SELECT DISTINCT
-    COALESCE(NULLIF("enhancedUserId", ''), NULLIF(customer_guid, ''), NULLIF(ssguid, ''), user_id) AS identity_key,
-    {HOST} AS host
+, per_identity AS (
+  SELECT coalesce(nullif("enhancedUserId", ''), nullif(customer_guid, ''), nullif(ssguid, ''), user_id) AS who,
+         count(DISTINCT {HOST}) AS distinct_hosts
   FROM ev
-  WHERE {RANGE} AND event_name = 'page_view' AND device_category IN ('mobile', 'tablet')
-    AND regexp_matches(page_location, {RX_TR})
-), per_identity AS (
-  SELECT identity_key, COUNT(DISTINCT host) AS distinct_hosts FROM lobby_hits GROUP BY identity_key
+  WHERE {IN_RANGE} AND event_name = 'page_view' AND {MOBILE} AND regexp_matches(page_location, {RX_TR})
+  GROUP BY 1
 )
-SELECT distinct_hosts, COUNT(*) AS identities FROM per_identity GROUP BY distinct_hosts
+SELECT distinct_hosts, count(*) AS identities FROM per_identity GROUP BY ALL
 """)
 
-
-def _lobby_sessions_short(rx: str, user: str = "user_id") -> str:
-    return f"""
-, lobby_sessions AS (
-  SELECT {user}, session_id, MIN(event_timestamp) AS lobby_first_ts,
-    MIN(operating_system) AS operating_system, MAX(ga_session_number) AS ga_session_number
-  FROM ev
-  WHERE {RANGE} AND event_name = 'page_view' AND device_category IN ('mobile', 'tablet')
-    AND regexp_matches(page_location, {rx})
-  GROUP BY {user}, session_id
-)"""
-
-
-ORACLE["fast_game_start_rates"] = q(_lobby_sessions_short(RX_TR) + f"""
-, session_events AS (
-  SELECT e.user_id, e.session_id, e.event_name, e.event_timestamp, e.navigation_selection
-  FROM ev e JOIN lobby_sessions ls ON e.user_id = ls.user_id AND e.session_id = ls.session_id
-  WHERE e.{RANGE}
-), per_session AS (
-  SELECT ls.user_id, ls.session_id, ls.operating_system,
-    CASE WHEN ls.ga_session_number = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type,
-    ls.lobby_first_ts AS session_start_ts,
-    MIN(CASE WHEN se.event_name = 'gameplay_initiated' THEN se.event_timestamp END) AS first_gameplay_ts,
-    MIN(CASE WHEN se.event_name = 'dynamic_content' AND se.navigation_selection = 'Promotion Area'
-             THEN se.event_timestamp END) AS first_promo_click_ts
-  FROM lobby_sessions ls
-  LEFT JOIN session_events se ON ls.user_id = se.user_id AND ls.session_id = se.session_id
-  GROUP BY ls.user_id, ls.session_id, ls.operating_system, user_type, session_start_ts
-), scored AS (
-  SELECT user_type, operating_system,
-    (first_gameplay_ts - session_start_ts) / 1000000.0 AS ttf_gameplay_sec,
-    first_gameplay_ts IS NOT NULL AS has_gameplay,
-    first_promo_click_ts IS NOT NULL AS has_promo_click,
-    (first_promo_click_ts IS NOT NULL AND first_gameplay_ts IS NOT NULL
-     AND first_promo_click_ts < first_gameplay_ts) AS promo_before_gameplay
-  FROM per_session
-)
-SELECT user_type, operating_system, COUNT(*) AS sessions,
-  AVG(CAST(has_gameplay AS INTEGER)) AS gameplay_anytime_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 10 THEN 1 ELSE 0 END) AS gameplay_within_10s_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 15 THEN 1 ELSE 0 END) AS gameplay_within_15s_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 30 THEN 1 ELSE 0 END) AS gameplay_within_30s_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 60 THEN 1 ELSE 0 END) AS gameplay_within_60s_rate,
-  AVG(CAST(has_promo_click AS INTEGER)) AS promo_click_anytime_rate,
-  AVG(CAST(promo_before_gameplay AS INTEGER)) AS promo_click_before_gameplay_rate
-FROM scored GROUP BY user_type, operating_system
+ORACLE["fast_game_start_rates"] = q(lobby_visits(RX_TR) + with_events(f"""{GAME_TS},
+         min(e.event_timestamp) FILTER (WHERE {PROMO}) AS promo_ts""") + """
+, timed AS (SELECT *, (game_ts - t0) / 1000000.0 AS to_game FROM facts)
+SELECT user_type, os AS operating_system, count(*) AS sessions,
+       avg((game_ts IS NOT NULL)::INTEGER) AS gameplay_anytime_rate,
+       avg(CASE WHEN game_ts IS NOT NULL AND to_game <= 10 THEN 1 ELSE 0 END) AS gameplay_within_10s_rate,
+       avg(CASE WHEN game_ts IS NOT NULL AND to_game <= 15 THEN 1 ELSE 0 END) AS gameplay_within_15s_rate,
+       avg(CASE WHEN game_ts IS NOT NULL AND to_game <= 30 THEN 1 ELSE 0 END) AS gameplay_within_30s_rate,
+       avg(CASE WHEN game_ts IS NOT NULL AND to_game <= 60 THEN 1 ELSE 0 END) AS gameplay_within_60s_rate,
+       avg((promo_ts IS NOT NULL)::INTEGER) AS promo_click_anytime_rate,
+       avg(coalesce(promo_ts < game_ts, false)::INTEGER) AS promo_click_before_gameplay_rate
+FROM timed GROUP BY ALL
 """)
 
 ORACLE["identifier_coverage"] = q(f"""
-, lobby_sessions AS (
-  SELECT user_id, session_id, MAX(ga_session_number) AS ga_session_number,
-    MIN(operating_system) AS operating_system,
-    MAX(CASE WHEN NULLIF("enhancedUserId", '') IS NOT NULL THEN 1 ELSE 0 END) AS "has_enhancedUserId",
-    MAX(CASE WHEN NULLIF(customer_guid, '') IS NOT NULL THEN 1 ELSE 0 END) AS has_customer_guid,
-    MAX(CASE WHEN NULLIF(ssguid, '') IS NOT NULL THEN 1 ELSE 0 END) AS has_ssguid
+, per_session AS (
+  SELECT user_id, session_id, max(ga_session_number) AS sn, min(operating_system) AS os,
+         bool_or(coalesce("enhancedUserId", '') <> '')::INTEGER AS e,
+         bool_or(coalesce(customer_guid, '') <> '')::INTEGER AS c,
+         bool_or(coalesce(ssguid, '') <> '')::INTEGER AS s
   FROM ev
-  WHERE {RANGE} AND event_name = 'page_view' AND device_category IN ('mobile', 'tablet')
+  WHERE {IN_RANGE} AND event_name = 'page_view' AND {MOBILE} AND session_id IS NOT NULL
     AND regexp_matches(page_location, {RX_TR})
   GROUP BY user_id, session_id
 )
-SELECT CASE WHEN ga_session_number = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type,
-  operating_system, COUNT(*) AS lobby_sessions,
-  AVG("has_enhancedUserId") AS "pct_sessions_with_enhancedUserId",
-  AVG(has_customer_guid) AS pct_sessions_with_customer_guid,
-  AVG(has_ssguid) AS pct_sessions_with_ssguid
-FROM lobby_sessions WHERE session_id IS NOT NULL
-GROUP BY 1, 2
+SELECT CASE WHEN sn = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type, os AS operating_system,
+       count(*) AS lobby_sessions, avg(e) AS "pct_sessions_with_enhancedUserId",
+       avg(c) AS pct_sessions_with_customer_guid, avg(s) AS pct_sessions_with_ssguid
+FROM per_session GROUP BY ALL
 """)
 
-ORACLE["weekly_lobby_kpi"] = q(_lobby_sessions_short(RX_TR) + f"""
-, session_events AS (
-  SELECT e.user_id, e.session_id, e.event_name, e.event_timestamp, e.navigation_selection
-  FROM ev e JOIN lobby_sessions ls ON e.user_id = ls.user_id AND e.session_id = ls.session_id
-  WHERE e.{RANGE} AND e.event_name IN ('gameplay_initiated', 'dynamic_content', 'deposit_success',
-    'deposit_initiated', 'deposit_window_opened', 'scroll', 'search_window_initiated')
-), per_session AS (
-  SELECT CAST(date_trunc('week', CAST(make_timestamp(ls.lobby_first_ts) AS DATE)) AS DATE) AS week_start,
-    ls.operating_system,
-    CASE WHEN ls.ga_session_number = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type,
-    ls.lobby_first_ts AS session_start_ts,
-    MIN(CASE WHEN se.event_name = 'gameplay_initiated' THEN se.event_timestamp END) AS first_gameplay_ts,
-    MIN(CASE WHEN se.event_name = 'dynamic_content' AND se.navigation_selection = 'Promotion Area'
-             THEN se.event_timestamp END) AS first_promo_ts,
-    MAX(CASE WHEN se.event_name = 'deposit_success' THEN 1 ELSE 0 END) AS has_deposit_success,
-    MAX(CASE WHEN se.event_name = 'deposit_initiated' THEN 1 ELSE 0 END) AS has_deposit_initiated,
-    MAX(CASE WHEN se.event_name = 'deposit_window_opened' THEN 1 ELSE 0 END) AS has_deposit_window_opened,
-    MAX(CASE WHEN se.event_name = 'scroll' THEN 1 ELSE 0 END) AS has_scroll,
-    MAX(CASE WHEN se.event_name = 'search_window_initiated' THEN 1 ELSE 0 END) AS has_search_window
-  FROM lobby_sessions ls
-  LEFT JOIN session_events se ON ls.user_id = se.user_id AND ls.session_id = se.session_id
-  GROUP BY week_start, ls.operating_system, user_type, session_start_ts
-), scored AS (
-  SELECT week_start, operating_system, user_type,
-    first_gameplay_ts IS NOT NULL AS has_gameplay,
-    (first_gameplay_ts - session_start_ts) / 1000000.0 AS ttf_gameplay_sec,
-    first_promo_ts IS NOT NULL AS has_promo_event,
-    (first_promo_ts IS NOT NULL AND first_gameplay_ts IS NOT NULL AND first_promo_ts < first_gameplay_ts) AS promo_before_gameplay,
-    has_deposit_success, has_deposit_initiated, has_deposit_window_opened, has_scroll, has_search_window
-  FROM per_session
+WEEKLY_NAMES = ("'gameplay_initiated', 'dynamic_content', 'deposit_success', 'deposit_initiated', "
+                "'deposit_window_opened', 'scroll', 'search_window_initiated'")
+
+ORACLE["weekly_lobby_kpi"] = q(lobby_visits(RX_TR) + with_events(f"""{GAME_TS},
+         min(e.event_timestamp) FILTER (WHERE {PROMO}) AS promo_ts,
+         {has("e.event_name = 'deposit_success'", 'dep_ok')},
+         {has("e.event_name = 'deposit_initiated'", 'dep_init')},
+         {has("e.event_name = 'deposit_window_opened'", 'dep_window')},
+         {has("e.event_name = 'scroll'", 'scrolled')},
+         {has("e.event_name = 'search_window_initiated'", 'searched')}""", names=WEEKLY_NAMES) + """
+, merged AS (  -- sessions sharing week, OS, type and start microsecond count once
+  SELECT CAST(date_trunc('week', CAST(make_timestamp(t0) AS DATE)) AS DATE) AS week_start, os, user_type, t0,
+         min(game_ts) AS game_ts, min(promo_ts) AS promo_ts, max(dep_ok) AS dep_ok, max(dep_init) AS dep_init,
+         max(dep_window) AS dep_window, max(scrolled) AS scrolled, max(searched) AS searched
+  FROM facts GROUP BY ALL
 )
-SELECT week_start, operating_system, user_type, COUNT(*) AS sessions,
-  AVG(CAST(has_gameplay AS INTEGER)) AS gameplay_anytime_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 15 THEN 1 ELSE 0 END) AS gameplay_within_15s_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 30 THEN 1 ELSE 0 END) AS gameplay_within_30s_rate,
-  AVG(CAST(has_promo_event AS INTEGER)) AS promo_event_rate,
-  AVG(CAST(promo_before_gameplay AS INTEGER)) AS promo_before_gameplay_rate,
-  AVG(has_deposit_window_opened) AS deposit_window_rate,
-  AVG(has_deposit_initiated) AS deposit_initiated_rate,
-  AVG(has_deposit_success) AS deposit_success_rate,
-  AVG(has_scroll) AS scroll_rate,
-  AVG(has_search_window) AS search_rate
-FROM scored GROUP BY week_start, operating_system, user_type
+SELECT week_start, os AS operating_system, user_type, count(*) AS sessions,
+       avg((game_ts IS NOT NULL)::INTEGER) AS gameplay_anytime_rate,
+       avg(CASE WHEN game_ts - t0 <= 15000000 THEN 1 ELSE 0 END) AS gameplay_within_15s_rate,
+       avg(CASE WHEN game_ts - t0 <= 30000000 THEN 1 ELSE 0 END) AS gameplay_within_30s_rate,
+       avg((promo_ts IS NOT NULL)::INTEGER) AS promo_event_rate,
+       avg(coalesce(promo_ts < game_ts, false)::INTEGER) AS promo_before_gameplay_rate,
+       avg(dep_window) AS deposit_window_rate, avg(dep_init) AS deposit_initiated_rate,
+       avg(dep_ok) AS deposit_success_rate, avg(scrolled) AS scroll_rate, avg(searched) AS search_rate
+FROM merged GROUP BY ALL
 """)
 
+DAILY_NAMES = "'gameplay_initiated', 'dynamic_content', 'deposit_success', 'deposit_initiated', 'deposit_window_opened'"
 
-def _daily(user: str) -> str:
-    return q(_lobby_sessions_short(RX_TR, user) + f"""
-, session_events AS (
-  SELECT e.{user}, e.session_id, e.event_name, e.event_timestamp, e.navigation_selection
-  FROM ev e JOIN lobby_sessions ls ON e.{user} = ls.{user} AND e.session_id = ls.session_id
-  WHERE e.{RANGE} AND e.event_name IN ('gameplay_initiated', 'dynamic_content', 'deposit_success',
-    'deposit_initiated', 'deposit_window_opened')
-), per_session AS (
-  SELECT ls.{user}, ls.session_id,
-    CAST(make_timestamp(ls.lobby_first_ts) AS DATE) AS activity_date,
-    ls.operating_system,
-    CASE WHEN ls.ga_session_number = 1 THEN 'NEW_USER' ELSE 'RETURNING_USER' END AS user_type,
-    ls.lobby_first_ts AS session_start_ts,
-    MIN(CASE WHEN se.event_name = 'gameplay_initiated' THEN se.event_timestamp END) AS first_gameplay_ts,
-    bool_or(se.event_name = 'gameplay_initiated') AS has_gameplay,
-    bool_or(se.event_name = 'dynamic_content' AND se.navigation_selection = 'Promotion Area') AS has_promo_click,
-    bool_or(se.event_name = 'deposit_window_opened') AS has_deposit_window,
-    bool_or(se.event_name = 'deposit_initiated') AS has_deposit_initiated,
-    bool_or(se.event_name = 'deposit_success') AS has_deposit_success
-  FROM lobby_sessions ls
-  LEFT JOIN session_events se ON ls.{user} = se.{user} AND ls.session_id = se.session_id
-  GROUP BY ls.{user}, ls.session_id, activity_date, ls.operating_system, user_type, session_start_ts
-), scored AS (
-  SELECT activity_date, operating_system, user_type, has_gameplay,
-    CAST(first_gameplay_ts - session_start_ts AS DOUBLE) / 1000000.0 AS ttf_gameplay_sec,
-    has_promo_click, has_deposit_window, has_deposit_initiated, has_deposit_success
-  FROM per_session
-)
-SELECT activity_date, operating_system, user_type, COUNT(*) AS sessions,
-  AVG(CAST(has_gameplay AS INTEGER)) AS gameplay_anytime_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 15 THEN 1 ELSE 0 END) AS gameplay_within_15s_rate,
-  AVG(CASE WHEN has_gameplay AND ttf_gameplay_sec <= 30 THEN 1 ELSE 0 END) AS gameplay_within_30s_rate,
-  AVG(CAST(has_promo_click AS INTEGER)) AS promo_click_rate,
-  AVG(CAST(has_deposit_window AS INTEGER)) AS deposit_window_rate,
-  AVG(CAST(has_deposit_initiated AS INTEGER)) AS deposit_initiated_rate,
-  AVG(CAST(has_deposit_success AS INTEGER)) AS deposit_success_rate
-FROM scored GROUP BY activity_date, operating_system, user_type
-""")
+
+def daily_kpi(user: str) -> str:
+    return q(lobby_visits(RX_TR, user) + with_events(f"""{GAME_TS},
+         bool_or(e.event_name = 'gameplay_initiated') AS g,
+         bool_or({PROMO}) AS p,
+         bool_or(e.event_name = 'deposit_window_opened') AS w,
+         bool_or(e.event_name = 'deposit_initiated') AS i,
+         bool_or(e.event_name = 'deposit_success') AS d""", user=user, names=DAILY_NAMES) + """
+, daily AS (
+  SELECT CAST(make_timestamp(t0) AS DATE) AS activity_date, os AS operating_system, user_type, count(*) AS sessions,
+         avg(g::INTEGER) AS gameplay_anytime_rate,
+         avg(CASE WHEN g AND (game_ts - t0) / 1000000.0 <= 15 THEN 1 ELSE 0 END) AS gameplay_within_15s_rate,
+         avg(CASE WHEN g AND (game_ts - t0) / 1000000.0 <= 30 THEN 1 ELSE 0 END) AS gameplay_within_30s_rate,
+         avg(p::INTEGER) AS promo_click_rate, avg(w::INTEGER) AS deposit_window_rate,
+         avg(i::INTEGER) AS deposit_initiated_rate, avg(d::INTEGER) AS deposit_success_rate
+  FROM facts GROUP BY ALL
+)""")
 
 
-ORACLE["daily_lobby_kpi"] = _daily("user_id")
-ORACLE["daily_lobby_kpi_pseudo_id"] = _daily("user_pseudo_id")
+ORACLE["daily_lobby_kpi"] = daily_kpi("user_id") + "\nSELECT * FROM daily\n"
+ORACLE["daily_lobby_kpi_pseudo_id"] = daily_kpi("user_pseudo_id") + "\nSELECT * FROM daily\n"
 
 COHORT = f"""
-, user_cohort AS (
+, cohort AS (
   SELECT user_id,
-    CASE WHEN MIN(event_timestamp) < {CUT_US} THEN 'RETURNING_USER' ELSE 'NEW_USER' END AS user_type
-  FROM ev WHERE {RANGE} GROUP BY user_id
+         CASE WHEN min(event_timestamp) < {CUT_US} THEN 'RETURNING_USER' ELSE 'NEW_USER' END AS user_type
+  FROM ev WHERE {IN_RANGE} GROUP BY user_id
 )"""
 
-ORACLE["user_segmentation"] = q(f"""
-, first_user_appearance AS (
-  SELECT user_id, CAST(make_timestamp(MIN(event_timestamp)) AS DATE) AS first_date
-  FROM ev WHERE {RANGE} GROUP BY user_id
-), user_cohort AS (
-  SELECT user_id, CASE WHEN first_date < DATE '{CUTOFF}' THEN 'RETURNING_USER' ELSE 'NEW_USER' END AS user_type
-  FROM first_user_appearance
-)
-SELECT user_type, COUNT(DISTINCT user_id) AS total_users,
-  COUNT(DISTINCT user_id) * 100.0::DOUBLE / SUM(COUNT(DISTINCT user_id)) OVER () AS pct_of_all_users
-FROM user_cohort GROUP BY user_type
+ORACLE["user_segmentation"] = q(COHORT + """
+SELECT user_type, count(user_id) AS total_users,
+       count(user_id) * 100.0::DOUBLE / sum(count(user_id)) OVER () AS pct_of_all_users
+FROM cohort GROUP BY ALL
 """)
 
-WEEKNUM = "CAST(strftime(make_timestamp(e.event_timestamp), '%U') AS BIGINT)"
-
-ORACLE["lobby_funnel_weekly"] = q(COHORT + f"""
-, cls AS (
-  SELECT e.user_id, uc.user_type, e.session_id, {WEEKNUM} AS week_num, e.event_name
-  FROM ev e JOIN user_cohort uc ON e.user_id = uc.user_id
-  WHERE e.{RANGE} AND e.page_location LIKE '%/tr/casino/%'
-), sa AS (
-  SELECT user_type, week_num, user_id || '-' || CAST(session_id AS VARCHAR) AS session_key,
-    MAX(CASE WHEN event_name = 'dynamic_content' THEN 1 ELSE 0 END) AS had_banner_click,
-    MAX(CASE WHEN event_name = 'gameplay_initiated' THEN 1 ELSE 0 END) AS had_gameplay
-  FROM cls GROUP BY user_type, week_num, session_key
-), sc AS (
-  SELECT user_type, week_num, COUNT(*) AS total_casino_sessions,
-    CAST(SUM(had_banner_click) AS BIGINT) AS sessions_banner_clicked,
-    CAST(SUM(had_gameplay) AS BIGINT) AS sessions_gameplay_initiated
-  FROM sa GROUP BY user_type, week_num
+SECTION_EVENTS = f"""
+, section AS (
+  SELECT e.*, c.user_type, CAST(strftime(make_timestamp(e.event_timestamp), '%U') AS BIGINT) AS week_num
+  FROM ev e JOIN cohort c ON c.user_id = e.user_id
+  WHERE e.{IN_RANGE} AND e.{SECTION}
+)"""
+
+ORACLE["lobby_funnel_weekly"] = q(COHORT + SECTION_EVENTS + """
+, weekly_sessions AS (
+  SELECT user_type, week_num, user_id || '-' || session_id::VARCHAR AS sk,
+         bool_or(event_name = 'dynamic_content')::INTEGER AS clicked,
+         bool_or(event_name = 'gameplay_initiated')::INTEGER AS played
+  FROM section GROUP BY ALL
+), t AS (
+  SELECT week_num, user_type, count(*) AS n, sum(clicked)::BIGINT AS c, sum(played)::BIGINT AS g
+  FROM weekly_sessions GROUP BY ALL
 )
-SELECT week_num, user_type, total_casino_sessions, sessions_banner_clicked,
-  ROUND(100.0::DOUBLE * sessions_banner_clicked / NULLIF(total_casino_sessions, 0), 2) AS pct_sessions_clicked_banner,
-  sessions_gameplay_initiated,
-  ROUND(100.0::DOUBLE * sessions_gameplay_initiated / NULLIF(total_casino_sessions, 0), 2) AS pct_sessions_gameplay,
-  ROUND(100.0::DOUBLE * sessions_gameplay_initiated / NULLIF(sessions_banner_clicked + 1, 0), 2) AS gameplay_rate_among_banner_clickers
-FROM sc
+SELECT week_num, user_type, n AS total_casino_sessions, c AS sessions_banner_clicked,
+       round(100.0::DOUBLE * c / nullif(n, 0), 2) AS pct_sessions_clicked_banner,
+       g AS sessions_gameplay_initiated,
+       round(100.0::DOUBLE * g / nullif(n, 0), 2) AS pct_sessions_gameplay,
+       round(100.0::DOUBLE * g / nullif(c + 1, 0), 2) AS gameplay_rate_among_banner_clickers
+FROM t
 """)
 
-ORACLE["carousel_friction"] = q(COHORT + f"""
-, cs AS (
-  SELECT e.user_id, uc.user_type, e.session_id, e.event_name, {WEEKNUM} AS week_num
-  FROM ev e JOIN user_cohort uc ON e.user_id = uc.user_id
-  WHERE e.{RANGE} AND e.page_location LIKE '%/tr/casino/%'
-), sb AS (
-  SELECT user_type, week_num, user_id || '-' || CAST(session_id AS VARCHAR) AS session_key,
-    MAX(CASE WHEN event_name IN ('menu_click', 'carousel_next', 'carousel_prev') THEN 1 ELSE 0 END) AS had_carousel_interaction,
-    MAX(CASE WHEN event_name = 'gameplay_initiated' THEN 1 ELSE 0 END) AS reached_gameplay
-  FROM cs GROUP BY user_type, week_num, session_key
-), fa AS (
-  SELECT week_num, user_type, had_carousel_interaction, COUNT(*) AS session_count,
-    CAST(SUM(reached_gameplay) AS BIGINT) AS sessions_with_gameplay,
-    ROUND(100.0::DOUBLE * SUM(reached_gameplay) / NULLIF(COUNT(*), 0), 2) AS gameplay_conversion_pct
-  FROM sb GROUP BY week_num, user_type, had_carousel_interaction
-), lab AS (
-  SELECT *, CASE WHEN had_carousel_interaction = 1 THEN 'With Carousel Interaction'
-                 ELSE 'No Carousel Interaction' END AS carousel_engagement FROM fa
+ORACLE["carousel_friction"] = q(COHORT + SECTION_EVENTS + """
+, weekly_sessions AS (
+  SELECT user_type, week_num, user_id || '-' || session_id::VARCHAR AS sk,
+         bool_or(event_name IN ('menu_click', 'carousel_next', 'carousel_prev')) AS carousel,
+         bool_or(event_name = 'gameplay_initiated')::INTEGER AS played
+  FROM section GROUP BY ALL
+), t AS (
+  SELECT week_num, user_type,
+         CASE WHEN carousel THEN 'With Carousel Interaction' ELSE 'No Carousel Interaction' END AS carousel_engagement,
+         count(*) AS session_count, sum(played)::BIGINT AS sessions_with_gameplay,
+         round(100.0::DOUBLE * sum(played) / count(*), 2) AS gameplay_conversion_pct
+  FROM weekly_sessions GROUP BY ALL
 )
-SELECT week_num, user_type, carousel_engagement, session_count, sessions_with_gameplay, gameplay_conversion_pct,
-  ROW_NUMBER() OVER (PARTITION BY week_num, user_type
-                     ORDER BY gameplay_conversion_pct DESC, carousel_engagement ASC) AS conversion_rank
-FROM lab
+SELECT *, row_number() OVER (PARTITION BY week_num, user_type
+                             ORDER BY gameplay_conversion_pct DESC, carousel_engagement) AS conversion_rank
+FROM t
 """)
 
 ORACLE["clicker_deposit_conversion"] = q(COHORT + f"""
-, banner_clickers AS (
-  SELECT DISTINCT e.user_id, uc.user_type FROM ev e JOIN user_cohort uc ON e.user_id = uc.user_id
-  WHERE e.{RANGE} AND e.event_name = 'dynamic_content' AND e.page_location LIKE '%/tr/casino/%'
-), non_clickers AS (
-  SELECT DISTINCT e.user_id, uc.user_type FROM ev e JOIN user_cohort uc ON e.user_id = uc.user_id
-  WHERE e.{RANGE} AND e.page_location LIKE '%/tr/casino/%'
-    AND e.user_id NOT IN (SELECT user_id FROM banner_clickers)
-), user_deposits AS (
-  SELECT DISTINCT user_id FROM ev WHERE {RANGE} AND event_name = 'deposit_success'
-), ca AS (
-  SELECT bc.user_type, 'BANNER_CLICKER' AS group_type, COUNT(DISTINCT bc.user_id) AS total_users,
-    CAST(SUM(CASE WHEN ud.user_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS users_deposited
-  FROM banner_clickers bc LEFT JOIN user_deposits ud ON bc.user_id = ud.user_id GROUP BY bc.user_type
-), na AS (
-  SELECT nc.user_type, 'NON_CLICKER' AS group_type, COUNT(DISTINCT nc.user_id) AS total_users,
-    CAST(SUM(CASE WHEN ud.user_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS users_deposited
-  FROM non_clickers nc LEFT JOIN user_deposits ud ON nc.user_id = ud.user_id GROUP BY nc.user_type
+, clickers AS (
+  SELECT DISTINCT user_id FROM ev
+  WHERE {IN_RANGE} AND event_name = 'dynamic_content' AND {SECTION} AND user_id IS NOT NULL
+), others AS (
+  SELECT user_id FROM ev WHERE {IN_RANGE} AND {SECTION} AND user_id IS NOT NULL
+  EXCEPT
+  SELECT user_id FROM clickers
+), depositors AS (
+  SELECT DISTINCT user_id FROM ev WHERE {IN_RANGE} AND event_name = 'deposit_success'
+), grouped AS (
+  SELECT 'BANNER_CLICKER' AS group_type, user_id FROM clickers
+  UNION ALL
+  SELECT 'NON_CLICKER', user_id FROM others
 )
-SELECT user_type, group_type, total_users, users_deposited,
-  ROUND(100.0::DOUBLE * users_deposited / NULLIF(total_users, 0), 2) AS deposit_conversion_rate_pct
-FROM (SELECT * FROM ca UNION ALL SELECT * FROM na)
+SELECT c.user_type, g.group_type, count(*) AS total_users,
+       count(*) FILTER (WHERE g.user_id IN (SELECT user_id FROM depositors)) AS users_deposited,
+       round(100.0::DOUBLE * count(*) FILTER (WHERE g.user_id IN (SELECT user_id FROM depositors)) / count(*), 2)
+         AS deposit_conversion_rate_pct
+FROM grouped g JOIN cohort c USING (user_id)
+GROUP BY ALL
 """)
 
 ORACLE["daily_trend_moving_avg"] = q(COHORT + f"""
-, dca AS (
-  SELECT CAST(make_timestamp(e.event_timestamp) AS DATE) AS activity_date, uc.user_type,
-    COUNT(DISTINCT e.user_id || '-' || CAST(e.session_id AS VARCHAR)) AS total_casino_sessions,
-    CAST(SUM(CASE WHEN e.event_name = 'dynamic_content' THEN 1 ELSE 0 END) AS BIGINT) AS banner_clicks,
-    CAST(SUM(CASE WHEN e.event_name = 'gameplay_initiated' THEN 1 ELSE 0 END) AS BIGINT) AS gameplay_initiations,
-    CAST(SUM(CASE WHEN e.event_name = 'deposit_success' THEN 1 ELSE 0 END) AS BIGINT) AS deposits
-  FROM ev e JOIN user_cohort uc ON e.user_id = uc.user_id
-  WHERE e.{RANGE} AND e.page_location LIKE '%/tr/casino/%'
-  GROUP BY activity_date, uc.user_type
+, daily AS (
+  SELECT CAST(make_timestamp(e.event_timestamp) AS DATE) AS activity_date, c.user_type,
+         count(DISTINCT e.user_id || '-' || e.session_id::VARCHAR) AS total_casino_sessions,
+         count(*) FILTER (WHERE e.event_name = 'dynamic_content') AS banner_clicks,
+         count(*) FILTER (WHERE e.event_name = 'gameplay_initiated') AS gameplay_initiations,
+         count(*) FILTER (WHERE e.event_name = 'deposit_success') AS deposits
+  FROM ev e JOIN cohort c ON c.user_id = e.user_id
+  WHERE e.{IN_RANGE} AND e.{SECTION}
+  GROUP BY ALL
 )
 SELECT activity_date, user_type, total_casino_sessions, banner_clicks,
-  ROUND(100.0::DOUBLE * banner_clicks / NULLIF(total_casino_sessions, 0), 2) AS banner_click_rate_pct,
-  gameplay_initiations,
-  ROUND(100.0::DOUBLE * gameplay_initiations / NULLIF(total_casino_sessions, 0), 2) AS gameplay_rate_pct,
-  deposits,
-  AVG(100.0::DOUBLE * gameplay_initiations / NULLIF(total_casino_sessions, 0)) OVER (
-    PARTITION BY user_type ORDER BY activity_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS gameplay_rate_7day_ma
-FROM dca
+       round(100.0::DOUBLE * banner_clicks / nullif(total_casino_sessions, 0), 2) AS banner_click_rate_pct,
+       gameplay_initiations,
+       round(100.0::DOUBLE * gameplay_initiations / nullif(total_casino_sessions, 0), 2) AS gameplay_rate_pct,
+       deposits,
+       avg(100.0::DOUBLE * gameplay_initiations / nullif(total_casino_sessions, 0))
+         OVER (PARTITION BY user_type ORDER BY activity_date ROWS 6 PRECEDING) AS gameplay_rate_7day_ma
+FROM daily
 """)
 
-FIRST_LOGIN = f"""
-, login_events AS (
-  SELECT user_id, make_timestamp(event_timestamp) AS event_timestamp,
-    ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_timestamp) AS login_sequence
-  FROM ev WHERE {RANGE} AND event_name = 'login_success'
-), first_login AS (
-  SELECT user_id, event_timestamp AS first_login_timestamp FROM login_events WHERE login_sequence = 1
+LOGIN = f"""
+, login AS (
+  SELECT user_id, min(event_timestamp) AS t_login
+  FROM ev WHERE {IN_RANGE} AND event_name = 'login_success' AND user_id IS NOT NULL GROUP BY user_id
 )"""
 
-ORACLE["banner_return_vs_gameplay_weekly"] = q(FIRST_LOGIN + f"""
-, casino_visits AS (
-  SELECT user_id, make_timestamp(event_timestamp) AS event_timestamp, session_id, event_date
-  FROM ev WHERE {RANGE} AND page_location LIKE '%/tr/casino/%'
-), banner_clicks AS (
-  SELECT user_id, make_timestamp(event_timestamp) AS banner_click_time, session_id
-  FROM ev WHERE {RANGE} AND event_name = 'dynamic_content' AND page_location LIKE '%/tr/casino/%'
-), gameplay AS (
-  SELECT user_id, session_id FROM ev WHERE {RANGE} AND event_name = 'gameplay_initiated'
-), cps AS (
-  SELECT DISTINCT bc.user_id, bc.session_id, bc.banner_click_time,
-    CASE WHEN fl.user_id IS NOT NULL AND bc.banner_click_time >= fl.first_login_timestamp
-          AND bc.banner_click_time <= fl.first_login_timestamp + INTERVAL 1 DAY
-         THEN 'FIRST-TIME' ELSE 'RETURNING' END AS user_type
-  FROM banner_clicks bc LEFT JOIN first_login fl ON bc.user_id = fl.user_id
-), cr AS (
-  SELECT cs.*, CASE WHEN EXISTS (
-      SELECT 1 FROM casino_visits cv WHERE cv.user_id = cs.user_id
-        AND date_sub('second', cs.banner_click_time, cv.event_timestamp) > 0
-        AND date_sub('second', cs.banner_click_time, cv.event_timestamp) <= 300) THEN 1 ELSE 0 END AS returned_within_5min
-  FROM cps cs
-), ncps AS (
-  SELECT DISTINCT cv.user_id, cv.session_id, strptime(cv.event_date, '%Y%m%d')::DATE AS event_date,
-    CASE WHEN fl.user_id IS NOT NULL AND cv.event_timestamp >= fl.first_login_timestamp
-          AND cv.event_timestamp <= fl.first_login_timestamp + INTERVAL 1 DAY
-         THEN 'FIRST-TIME' ELSE 'RETURNING' END AS user_type
-  FROM casino_visits cv LEFT JOIN first_login fl ON cv.user_id = fl.user_id
-  WHERE NOT EXISTS (SELECT 1 FROM banner_clicks bc WHERE bc.user_id = cv.user_id AND bc.session_id = cv.session_id)
-), ncg AS (
-  SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM gameplay gi WHERE gi.user_id = n.user_id AND gi.session_id = n.session_id)
-                   THEN 1 ELSE 0 END AS initiated_gameplay
-  FROM ncps n
-), cw AS (
-  SELECT strftime(CAST(banner_click_time AS DATE) - CAST(dayofweek(CAST(banner_click_time AS DATE)) AS INTEGER), '%Y-%m-%d') AS week_start,
-    user_type, 'BANNER_CLICKERS' AS group_type,
-    COUNT(DISTINCT session_id) AS sessions, COUNT(DISTINCT user_id) AS unique_users,
-    CAST(SUM(returned_within_5min) AS BIGINT) AS returned_within_5min,
-    ROUND(100 * SUM(returned_within_5min) / COUNT(DISTINCT session_id), 2) AS return_rate_pct
-  FROM cr GROUP BY week_start, user_type
-), nw AS (
-  SELECT strftime(event_date - CAST(dayofweek(event_date) AS INTEGER), '%Y-%m-%d') AS week_start,
-    user_type, 'NON_CLICKERS' AS group_type,
-    COUNT(DISTINCT session_id) AS sessions, COUNT(DISTINCT user_id) AS unique_users,
-    CAST(SUM(initiated_gameplay) AS BIGINT) AS initiated_gameplay,
-    ROUND(100 * SUM(initiated_gameplay) / COUNT(DISTINCT session_id), 2) AS gameplay_rate_pct
-  FROM ncg GROUP BY week_start, user_type
-)
-SELECT week_start, user_type, group_type, sessions, unique_users,
-  COALESCE(returned_within_5min, initiated_gameplay) AS key_metric,
-  COALESCE(return_rate_pct, gameplay_rate_pct) AS engagement_rate_pct
-FROM (
-  SELECT week_start, user_type, group_type, sessions, unique_users, returned_within_5min, return_rate_pct,
-    NULL::BIGINT AS initiated_gameplay, NULL::DOUBLE AS gameplay_rate_pct FROM cw
-  UNION ALL
-  SELECT week_start, user_type, group_type, sessions, unique_users, NULL, NULL, initiated_gameplay, gameplay_rate_pct FROM nw
+
+def first_time(t: str) -> str:
+    return (f"CASE WHEN {t} BETWEEN l.t_login AND l.t_login + {DAY_US} THEN 'FIRST-TIME' "
+            f"ELSE 'RETURNING' END")
+
+
+ORACLE["banner_return_vs_gameplay_weekly"] = q(LOGIN + f"""
+, sect AS (
+  SELECT user_id, session_id, event_name, event_date, make_timestamp(event_timestamp) AS ts,
+         event_timestamp AS t
+  FROM ev WHERE {IN_RANGE} AND {SECTION}
+), labelled AS (
+  SELECT s.*, {first_time('s.t')} AS user_type FROM sect s LEFT JOIN login l ON l.user_id = s.user_id
+), clicks AS (
+  SELECT DISTINCT user_id, session_id, ts AS click_ts, ts + INTERVAL 1 SECOND AS from_ts, user_type
+  FROM labelled WHERE event_name = 'dynamic_content'
+), next_visit AS (          -- first section event of the same user at least one whole second later
+  SELECT c.*, v.ts AS next_ts
+  FROM clicks c ASOF LEFT JOIN sect v ON c.user_id = v.user_id AND c.from_ts <= v.ts
+), clicked_sessions AS (
+  SELECT DISTINCT user_id AS cu, session_id AS cs FROM sect WHERE event_name = 'dynamic_content'
+), played_sessions AS (
+  SELECT DISTINCT user_id AS pu, session_id AS ps FROM ev WHERE {IN_RANGE} AND event_name = 'gameplay_initiated'
+), quiet AS (
+  SELECT DISTINCT l.user_id, l.session_id, strptime(l.event_date, '%Y%m%d')::DATE AS d, l.user_type
+  FROM labelled l LEFT JOIN clicked_sessions k ON k.cu = l.user_id AND k.cs = l.session_id
+  WHERE k.cu IS NULL
+), quiet_played AS (
+  SELECT q.*, (p.pu IS NOT NULL)::INTEGER AS played
+  FROM quiet q LEFT JOIN played_sessions p ON p.pu = q.user_id AND p.ps = q.session_id
 )
+SELECT strftime(CAST(click_ts AS DATE) - dayofweek(CAST(click_ts AS DATE))::INTEGER, '%Y-%m-%d') AS week_start,
+       user_type, 'BANNER_CLICKERS' AS group_type,
+       count(DISTINCT session_id) AS sessions, count(DISTINCT user_id) AS unique_users,
+       count(*) FILTER (WHERE date_sub('second', click_ts, next_ts) <= 300) AS key_metric,
+       round(100 * count(*) FILTER (WHERE date_sub('second', click_ts, next_ts) <= 300)
+             / count(DISTINCT session_id), 2) AS engagement_rate_pct
+FROM next_visit GROUP BY ALL
+UNION ALL
+SELECT strftime(d - dayofweek(d)::INTEGER, '%Y-%m-%d'), user_type, 'NON_CLICKERS',
+       count(DISTINCT session_id), count(DISTINCT user_id), sum(played)::BIGINT,
+       round(100 * sum(played) / count(DISTINCT session_id), 2)
+FROM quiet_played GROUP BY ALL
 """)
 
-ORACLE["lobby_bounce_rate"] = q(FIRST_LOGIN + f"""
-, cvr AS (
-  SELECT user_id, make_timestamp(event_timestamp) AS event_timestamp, session_id, event_name
-  FROM ev WHERE {RANGE} AND page_location LIKE '%/tr/casino/%'
-), cs AS (
-  SELECT user_id, session_id, COUNT(*) AS session_events, MIN(event_timestamp) AS session_start_time
-  FROM cvr WHERE session_id IS NOT NULL GROUP BY user_id, session_id
-), uc AS (
-  SELECT c.user_id, c.session_id, c.session_events,
-    CASE WHEN fl.user_id IS NOT NULL AND c.session_start_time >= fl.first_login_timestamp
-          AND c.session_start_time <= fl.first_login_timestamp + INTERVAL 1 DAY
-         THEN 'FIRST-TIME' ELSE 'RETURNING' END AS user_type
-  FROM cs c LEFT JOIN first_login fl ON c.user_id = fl.user_id
-),
-{_pct_rank('uc', 'user_type', 'session_events', 0.5, 'med')},
-agg AS (
-  SELECT user_type, COUNT(DISTINCT session_id) AS total_sessions, COUNT(DISTINCT user_id) AS unique_users,
-    CAST(SUM(CASE WHEN session_events <= 2 THEN 1 ELSE 0 END) AS BIGINT) AS low_engagement_sessions,
-    ROUND(100 * SUM(CASE WHEN session_events <= 2 THEN 1 ELSE 0 END) / NULLIF(COUNT(DISTINCT session_id), 0), 2) AS bounce_rate_pct,
-    ROUND(AVG(session_events), 2) AS avg_events_per_session
-  FROM uc WHERE session_id IS NOT NULL GROUP BY user_type
-)
-SELECT a.*, ROUND(CAST(m.v AS DOUBLE), 2) AS median_events_per_session
-FROM agg a LEFT JOIN med m ON a.user_type = m.user_type
+ORACLE["lobby_bounce_rate"] = q(LOGIN + f"""
+, sess AS (
+  SELECT user_id, session_id, count(*) AS n, min(event_timestamp) AS t_start
+  FROM ev WHERE {IN_RANGE} AND {SECTION} AND session_id IS NOT NULL
+  GROUP BY user_id, session_id
+), labelled AS (
+  SELECT s.*, {first_time('s.t_start')} AS user_type FROM sess s LEFT JOIN login l ON l.user_id = s.user_id
+)""" + nearest_rank("labelled", "user_type", "n", 0.5, "med") + """
+SELECT b.user_type, count(DISTINCT b.session_id) AS total_sessions, count(DISTINCT b.user_id) AS unique_users,
+       count(*) FILTER (WHERE b.n <= 2) AS low_engagement_sessions,
+       round(100 * count(*) FILTER (WHERE b.n <= 2) / nullif(count(DISTINCT b.session_id), 0), 2)
+         AS bounce_rate_pct,
+       round(avg(b.n), 2) AS avg_events_per_session,
+       round(any_value(m.v)::DOUBLE, 2) AS median_events_per_session
+FROM labelled b LEFT JOIN med m ON m.user_type = b.user_type
+GROUP BY b.user_type
 """)
 
 ORACLE["page_category_breakdown"] = q(f"""
-, page_data AS (
-  SELECT user_id, page_location, COUNT(*) AS count
-  FROM ev WHERE {RANGE} AND user_id IS NOT NULL AND page_location IS NOT NULL
-  GROUP BY user_id, page_location
-), categorized AS (
-  SELECT user_id, page_location,
+, hits AS (
+  SELECT user_id, page_location AS url, count(*) AS n
+  FROM ev WHERE {IN_RANGE} AND user_id IS NOT NULL AND page_location IS NOT NULL
+  GROUP BY ALL
+), labelled AS (
+  SELECT *,
     CASE
-      WHEN page_location LIKE '{HOME}/' OR page_location LIKE '{HOME}/tr' OR page_location LIKE '{HOME}/en' THEN 'Home'
-      WHEN page_location LIKE '%/canli-casino%' THEN 'Live Casino'
-      WHEN page_location LIKE '%/casino%' THEN 'Casino'
-      WHEN page_location LIKE '%/bahis%' OR page_location LIKE '%/sportsbook%' THEN 'Sportsbook'
-      WHEN page_location LIKE '%/canli-bahis%' THEN 'Live Betting'
-      WHEN page_location LIKE '%/virtual-football%' OR page_location LIKE '%/oyun-penceresi%'
-        OR page_location LIKE '%/game-iframe%' THEN 'Virtual Sports'
-      WHEN page_location LIKE '%/account%' OR page_location LIKE '%modal:deposit%'
-        OR page_location LIKE '%modal:pending-withdrawals%' THEN 'Account'
-      WHEN page_location LIKE '%/destek%' OR page_location LIKE '%/support%' THEN 'Support'
-      WHEN page_location LIKE '%/kampanyalar%' OR page_location LIKE '%bonus%' THEN 'Promotions'
-      WHEN page_location LIKE '%/kayit-ol%' THEN 'Registration'
-      WHEN page_location LIKE '%/login%' OR page_location LIKE '%session_expired%' THEN 'Login/Session'
+      WHEN url LIKE '{HOME}/' OR url LIKE '{HOME}/tr' OR url LIKE '{HOME}/en' THEN 'Home'
+      WHEN url LIKE '%/canli-casino%' THEN 'Live Casino'
+      WHEN url LIKE '%/casino%' THEN 'Casino'
+      WHEN url LIKE '%/bahis%' OR url LIKE '%/sportsbook%' THEN 'Sportsbook'
+      WHEN url LIKE '%/canli-bahis%' THEN 'Live Betting'
+      WHEN url LIKE '%/virtual-football%' OR url LIKE '%/oyun-penceresi%' OR url LIKE '%/game-iframe%'
+        THEN 'Virtual Sports'
+      WHEN url LIKE '%/account%' OR url LIKE '%modal:deposit%' OR url LIKE '%modal:pending-withdrawals%'
+        THEN 'Account'
+      WHEN url LIKE '%/destek%' OR url LIKE '%/support%' THEN 'Support'
+      WHEN url LIKE '%/kampanyalar%' OR url LIKE '%bonus%' THEN 'Promotions'
+      WHEN url LIKE '%/kayit-ol%' THEN 'Registration'
+      WHEN url LIKE '%/login%' OR url LIKE '%session_expired%' THEN 'Login/Session'
       ELSE 'Other'
-    END AS page_category, count
-  FROM page_data
+    END AS page_category
+  FROM hits
 )
-SELECT page_category, COUNT(DISTINCT page_location) AS unique_pages,
-  CAST(SUM(count) AS BIGINT) AS total_page_views,
-  COUNT(DISTINCT user_id) AS unique_users_in_category,
-  ROUND(100 * SUM(count) / SUM(SUM(count)) OVER (), 1) AS percent_of_all_page_views
-FROM categorized GROUP BY page_category
+SELECT page_category, count(DISTINCT url) AS unique_pages, sum(n)::BIGINT AS total_page_views,
+       count(DISTINCT user_id) AS unique_users_in_category,
+       round(100 * sum(n) / sum(sum(n)) OVER (), 1) AS percent_of_all_page_views
+FROM labelled GROUP BY ALL
 """)
 
-DEP_COHORT = f"""
-, user_cohort AS (
-  SELECT user_id AS player_id_ga,
-    CASE WHEN MIN(event_timestamp) < {CUT_US} THEN 'RETURNING_USER' ELSE 'NEW_USER' END AS user_type
-  FROM ev WHERE {RANGE} GROUP BY user_id
+PAY_COHORT = f"""
+, known AS (
+  SELECT user_id AS player_id,
+         CASE WHEN min(event_timestamp) < {CUT_US} THEN 'RETURNING_USER' ELSE 'NEW_USER' END AS user_type
+  FROM ev WHERE {IN_RANGE} AND user_id IS NOT NULL GROUP BY user_id
 )"""
 
-ORACLE["deposits_by_cohort_per_user"] = q(DEP_COHORT + """
-, sd AS (
-  SELECT player_id, CAST(CAST(date_created AS TIMESTAMP) AS DATE) AS deposit_date, uc.user_type,
-    COUNT(*) AS transactions,
-    SUM(CAST(round("transaction_amount_EUR" * 100) AS HUGEINT)) AS cents
-  FROM pay pd LEFT JOIN user_cohort uc ON pd.player_id = uc.player_id_ga
-  WHERE CAST(CAST(pd.date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
-    AND business_unit_name = 'SITE_A' AND payment_status IN ('CAPTURED', 'COMPLETED')
-    AND uc.user_type IS NOT NULL
-  GROUP BY player_id, deposit_date, uc.user_type
-), per AS (
-  -- mean amount per player in 1e-12 EUR, rounded half up (exact integer arithmetic)
-  SELECT *, (2 * cents * 10000000000 + transactions) // (2 * transactions) AS avg_e12 FROM sd
-), g AS (
-  SELECT deposit_date, user_type, COUNT(DISTINCT player_id) AS users_deposited,
-    ROUND(AVG(transactions), 3) AS avg_transactions_per_user,
-    -- mean of the per-player means in 1e-16 EUR, half up
-    (2 * SUM(avg_e12) * 10000 + COUNT(*)) // (2 * COUNT(*)) AS mean_e16,
-    SUM(cents) AS cents
-  FROM per GROUP BY deposit_date, user_type
+
+def paid(extra: str = "") -> str:
+    """CTE ``paid``: successful payments of the unit in the window, amount in
+    integer cents, joined to the cohort (players without events drop out)."""
+    return f"""
+, paid AS (
+  SELECT p.player_id, k.user_type, CAST(CAST(p.date_created AS TIMESTAMP) AS DATE) AS deposit_date,
+         CAST(round(p."transaction_amount_EUR" * 100) AS HUGEINT) AS cents
+  FROM pay p JOIN known k ON k.player_id = p.player_id
+  WHERE CAST(CAST(p.date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
+    AND p.business_unit_name = 'SITE_A' AND p.payment_status IN ('CAPTURED', 'COMPLETED'){extra}
+)"""
+
+
+ORACLE["deposits_by_cohort_per_user"] = q(PAY_COHORT + paid() + """
+, per_player AS (   -- mean per player in 1e-12 EUR, rounded half up
+  SELECT deposit_date, user_type, player_id, count(*) AS k, sum(cents) AS cents,
+         (2 * sum(cents) * 10000000000 + count(*)) // (2 * count(*)) AS mean_e12
+  FROM paid GROUP BY ALL
+), per_day AS (     -- mean of means in 1e-16 EUR, rounded half up
+  SELECT deposit_date, user_type, count(*) AS users_deposited, round(avg(k), 3) AS avg_transactions_per_user,
+         (2 * sum(mean_e12) * 10000 + count(*)) // (2 * count(*)) AS mean_e16, sum(cents) AS cents
+  FROM per_player GROUP BY ALL
 )
 SELECT deposit_date, user_type, users_deposited, avg_transactions_per_user,
-  CAST((2 * mean_e16 + 100000000000000) // 200000000000000 AS DOUBLE) / 100 AS avg_amount_per_user,
-  CAST(cents AS DOUBLE) / 100 AS total_revenue
-FROM g
+       ((2 * mean_e16 + 100000000000000) // 200000000000000)::DOUBLE / 100 AS avg_amount_per_user,
+       cents::DOUBLE / 100 AS total_revenue
+FROM per_day
 """)
 
-ORACLE["deposit_amount_stats_by_cohort"] = q(DEP_COHORT + """
-, pd AS (
-  SELECT CAST(CAST(date_created AS TIMESTAMP) AS DATE) AS deposit_date, player_id, "transaction_amount_EUR"
-  FROM pay
-  WHERE CAST(CAST(date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
-    AND business_unit_name = 'SITE_A' AND payment_status IN ('CAPTURED', 'COMPLETED')
-    AND "transaction_amount_EUR" > 0
-)
-SELECT pd.deposit_date, uc.user_type,
-  COUNT(DISTINCT pd.player_id) AS unique_depositors,
-  COUNT(*) AS total_deposit_transactions,
-  CAST((2 * SUM(CAST(round(pd."transaction_amount_EUR" * 100) AS HUGEINT)) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 100
-    AS "avg_deposit_amount_EUR",
-  CAST(SUM(CAST(round(pd."transaction_amount_EUR" * 100) AS HUGEINT)) AS DOUBLE) / 100 AS "total_deposited_EUR",
-  ROUND(MIN(pd."transaction_amount_EUR"), 2) AS "min_amount_EUR",
-  ROUND(MAX(pd."transaction_amount_EUR"), 2) AS "max_amount_EUR",
-  ROUND(STDDEV_SAMP(pd."transaction_amount_EUR"), 2) AS "stddev_amount_EUR"
-FROM pd LEFT JOIN user_cohort uc ON pd.player_id = uc.player_id_ga
-WHERE uc.user_type IS NOT NULL
-GROUP BY pd.deposit_date, uc.user_type
+ORACLE["deposit_amount_stats_by_cohort"] = q(PAY_COHORT + paid(' AND p."transaction_amount_EUR" > 0') + """
+SELECT deposit_date, user_type, count(DISTINCT player_id) AS unique_depositors,
+       count(*) AS total_deposit_transactions,
+       ((2 * sum(cents) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS "avg_deposit_amount_EUR",
+       sum(cents)::DOUBLE / 100 AS "total_deposited_EUR",
+       min(cents)::DOUBLE / 100 AS "min_amount_EUR",
+       max(cents)::DOUBLE / 100 AS "max_amount_EUR",
+       round(stddev_samp(cents::DOUBLE / 100), 2) AS "stddev_amount_EUR"
+FROM paid GROUP BY ALL
 """)
 
-ORACLE["tracking_outages"] = _daily("user_id").replace(
-    "\nSELECT activity_date, operating_system, user_type, COUNT(*) AS sessions,",
-    "\n, daily AS (SELECT activity_date, operating_system, user_type, COUNT(*) AS sessions,", 1) + """
-  ), flagged AS (
-  SELECT activity_date, operating_system, user_type, sessions,
-    (sessions > 0 AND COALESCE(gameplay_anytime_rate, 0) = 0 AND COALESCE(promo_click_rate, 0) = 0
-     AND COALESCE(deposit_window_rate, 0) = 0 AND COALESCE(deposit_initiated_rate, 0) = 0
-     AND COALESCE(deposit_success_rate, 0) = 0) AS is_outage
+ORACLE["tracking_outages"] = daily_kpi("user_id") + """
+, marked AS (
+  SELECT *, sessions > 0 AND coalesce(gameplay_anytime_rate, 0) = 0 AND coalesce(promo_click_rate, 0) = 0
+              AND coalesce(deposit_window_rate, 0) = 0 AND coalesce(deposit_initiated_rate, 0) = 0
+              AND coalesce(deposit_success_rate, 0) = 0 AS is_outage
   FROM daily
-), marked AS (
-  SELECT *, CASE WHEN LAG(activity_date) OVER w IS NULL
-                   OR activity_date - LAG(activity_date) OVER w <> 1
-                   OR LAG(is_outage) OVER w <> is_outage THEN 1 ELSE 0 END AS s
-  FROM flagged WINDOW w AS (PARTITION BY operating_system, user_type ORDER BY activity_date)
+), breaks AS (
+  SELECT *, CASE WHEN lag(activity_date) OVER w = activity_date - 1 AND lag(is_outage) OVER w = is_outage
+                 THEN 0 ELSE 1 END AS new_run
+  FROM marked WINDOW w AS (PARTITION BY operating_system, user_type ORDER BY activity_date)
 ), runs AS (
-  SELECT *, SUM(s) OVER (PARTITION BY operating_system, user_type ORDER BY activity_date
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_id
-  FROM marked
+  SELECT *, sum(new_run) OVER (PARTITION BY operating_system, user_type ORDER BY activity_date) AS run_id
+  FROM breaks
 )
-SELECT operating_system, user_type, CAST(run_id AS BIGINT) AS run_id, is_outage,
-  MIN(activity_date) AS run_start, MAX(activity_date) AS run_end, COUNT(*) AS run_days,
-  CAST(SUM(sessions) AS BIGINT) AS sessions
-FROM runs GROUP BY operating_system, user_type, run_id, is_outage
+SELECT operating_system, user_type, run_id::BIGINT AS run_id, is_outage,
+       min(activity_date) AS run_start, max(activity_date) AS run_end, count(*) AS run_days,
+       sum(sessions)::BIGINT AS sessions
+FROM runs GROUP BY ALL
 """
 
-ORACLE["deposit_period_comparison"] = q(DEP_COHORT + """
-, pd AS (
-  SELECT CAST(CAST(date_created AS TIMESTAMP) AS DATE) AS deposit_date, player_id, "transaction_amount_EUR" AS a
-  FROM pay
-  WHERE CAST(CAST(date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
-    AND business_unit_name = 'SITE_A' AND payment_status IN ('CAPTURED', 'COMPLETED') AND a > 0
-), labelled AS (
+ORACLE["deposit_period_comparison"] = q(PAY_COHORT + paid(' AND p."transaction_amount_EUR" > 0') + """
+, labelled AS (
   SELECT *, CASE WHEN deposit_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-07' THEN '1_baseline'
                  WHEN deposit_date BETWEEN DATE '1998-01-10' AND DATE '1998-01-31' THEN '2_onset'
                  WHEN deposit_date BETWEEN DATE '1998-02-01' AND DATE '1998-03-31' THEN '3_full' END AS period
-  FROM pd
+  FROM paid
 )
-SELECT period, uc.user_type, COUNT(DISTINCT player_id) AS depositors, COUNT(*) AS transactions,
-  CAST((2 * SUM(CAST(round(a * 100) AS HUGEINT)) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 100 AS "avg_deposit_amount_EUR",
-  CAST(SUM(CAST(round(a * 100) AS HUGEINT)) AS DOUBLE) / 100 AS "total_deposited_EUR"
-FROM labelled l JOIN user_cohort uc ON l.player_id = uc.player_id_ga
-WHERE period IS NOT NULL
-GROUP BY period, uc.user_type
+SELECT period, user_type, count(DISTINCT player_id) AS depositors, count(*) AS transactions,
+       ((2 * sum(cents) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS "avg_deposit_amount_EUR",
+       sum(cents)::DOUBLE / 100 AS "total_deposited_EUR"
+FROM labelled WHERE period IS NOT NULL GROUP BY ALL
 """)

@@ -103,3 +103,11 @@ def test_identity_and_user_type(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "n long")
     assert [r[0] for r in df.select(user_type_by_session_number("n")).collect()] == [
         "NEW_USER", "RETURNING_USER", "RETURNING_USER"]
+
+
+def test_explode_params_lateral_semantics(spark):
+    from eventlens.functions import explode_params
+    p = {"key": "k", "value": {"string_value": "v", "int_value": None}}
+    rows = [ev("a", raw_params=[p, p]), ev("b", raw_params=[]), ev("c") | {"event_params": None}]
+    out = explode_params(events_df(spark, rows), ["user_id"]).collect()
+    assert [(r.user_id, r.param_key, r.param_string_value) for r in out] == [("a", "k", "v"), ("a", "k", "v")]

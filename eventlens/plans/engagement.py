@@ -2,7 +2,8 @@
 
 First-time vs returning is the 24-hour rule against the first login in the
 scanned range.  The per-user first-login table is an aggregate; it is joined
-to session-level rows, with NULL users routed around the join.
+to event- or session-level rows whose NULL users are salted (spread over many
+tasks, never matching).
 """
 
 from __future__ import annotations

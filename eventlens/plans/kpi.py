@@ -2,7 +2,8 @@
 
 All five share one shape: lobby sessions (page views on the lobby page,
 mobile and tablet) with metrics over every event of the session.  They are
-built on ``lobby_session_rollup`` (one aggregation, no join back); see
+built on ``lobby_session_rollup`` (hash aggregation per session, no join
+back; a second small pass merges the string attribute OS); see
 ``eventlens.operators.sessions`` for why that equals the join form, NULL-key
 sessions included (they stay in the denominators with no-match metrics).
 """

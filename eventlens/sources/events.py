@@ -20,5 +20,5 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shard_range(events: DataFrame, date_from: str, date_to: str) -> DataFrame:
-    """``_TABLE_SUFFIX BETWEEN date_from AND date_to`` (inclusive, yyyyMMdd text)."""
+    """Shard range: ``event_date`` between ``date_from`` and ``date_to`` (inclusive yyyyMMdd text)."""
     return events.filter(F.col("event_date").between(F.lit(date_from), F.lit(date_to)))

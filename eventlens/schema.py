@@ -47,3 +47,20 @@ STRING_PARAMS = ("page_location", "brand", "content_type", "user_interaction",
 
 def param_slot(key: str) -> str:
     return "int_value" if key in INT_PARAMS else "string_value"
+
+# Flat typed layout of the export (eventlens.sources.layout); event_date is
+# the partition column and stays text.
+FLAT_EVENTS = T.StructType([
+    T.StructField("event_timestamp", T.LongType(), True),
+    T.StructField("event_name", T.StringType(), True),
+    T.StructField("user_id", T.StringType(), True),
+    T.StructField("user_pseudo_id", T.StringType(), True),
+    T.StructField("platform", T.StringType(), True),
+    T.StructField("device_category", T.StringType(), True),
+    T.StructField("operating_system", T.StringType(), True),
+    T.StructField("session_id", T.LongType(), True),
+    T.StructField("ga_session_number", T.LongType(), True),
+    T.StructField("idx", T.LongType(), True),
+    *[T.StructField(k, T.StringType(), True) for k in STRING_PARAMS],
+    T.StructField("event_date", T.StringType(), True),
+])

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.functions.params import flatten
-from eventlens.schema import INT_PARAMS, STRING_PARAMS
+from eventlens.schema import FLAT_EVENTS, INT_PARAMS, STRING_PARAMS
 
 TOP_LEVEL = ("event_timestamp", "event_name", "user_id", "user_pseudo_id", "platform",
              "device_category", "operating_system", "event_date")
@@ -36,4 +36,6 @@ def write_flat_events(events: DataFrame, path: str, keys: Iterable[str] = INT_PA
 
 
 def read_flat_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """Explicit schema: nothing is inferred, and ``event_date`` stays text
+    (partition discovery would otherwise type the yyyyMMdd values as int)."""
+    return spark.read.schema(FLAT_EVENTS).option("basePath", path).parquet(path)

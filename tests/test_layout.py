@@ -32,6 +32,7 @@ def test_flat_layout_is_pruned_and_typed(spark, tables):
     _, _, flat = tables
     assert "event_params" not in flat.columns
     assert dict(flat.dtypes)["session_id"] == "bigint"
+    assert dict(flat.dtypes)["event_date"] == "string"
     plan = E.ANALYSES["lobby_event_inventory"](flat, None)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_name:string,platform:string,device_category:string,page_location:string>" in plan
 

@@ -13,6 +13,6 @@ plans/      the 23 composite analyses (volume, KPI, funnel, engagement,
 streaming/  the same operators over a stream of daily event shards
 """
 
-from eventlens.session import build_session, checkpoint_dir
+from eventlens.session import build_session, checkpoint_dir, cluster_conf
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_dir", "cluster_conf"]

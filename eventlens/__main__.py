@@ -18,7 +18,7 @@ import inspect
 import sys
 
 from eventlens import plans
-from eventlens.session import build_session
+from eventlens.session import build_session, cluster_conf
 from eventlens.sources import read_deposits, read_events, write_csv, write_parquet
 from eventlens.sources.layout import read_flat_events
 
@@ -55,6 +55,7 @@ def main(argv=None) -> int:
     ap.add_argument("--out")
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--master")
+    ap.add_argument("--cores", type=int, help="total executor cores: apply eventlens.session.cluster_conf")
     ap.add_argument("--show", action="store_true", help="print the result instead of (or as well as) writing it")
     ap.add_argument("--help-params", action="store_true")
     ap.add_argument("params", nargs="*", help="name=value")
@@ -66,7 +67,8 @@ def main(argv=None) -> int:
             if p.name not in SKIP:
                 print(p.name, "" if p.default is inspect.Parameter.empty else f"(default {p.default!r})")
         return 0
-    spark = build_session(a.master, app=f"eventlens-{a.analysis}")
+    spark = build_session(a.master, app=f"eventlens-{a.analysis}",
+                          extra=cluster_conf(a.cores) if a.cores else None)
     kwargs = {"events": read_flat_events(spark, a.events) if a.flat else read_events(spark, a.events)}
     if "deposits" in sig.parameters:
         if not a.deposits:

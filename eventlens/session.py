@@ -25,6 +25,32 @@ DEFAULT_CONF = {
 }
 
 
+MB = 1024 * 1024
+
+
+def cluster_conf(total_cores: int, partition_bytes: int = 256 * MB) -> dict[str, str]:
+    """Settings for large inputs (tens of TB on hundreds of executors).
+
+    Shuffles start with about three partitions per core (at least 2,000) and
+    AQE coalesces them to ``partition_bytes`` from measured sizes; file splits
+    use the same size, so a scan task and a reduce task hold a comparable
+    amount of data.  Skew handling splits partitions five times the median and
+    above ``partition_bytes``.  Broadcast stays with AQE's measured threshold
+    only (the static, estimate-based one is off)."""
+    parts = max(2000, 3 * total_cores)
+    size = str(partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * MB),
+    }
+
+
 def build_session(master: str | None = None, app: str = "eventlens",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:

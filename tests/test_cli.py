@@ -21,3 +21,11 @@ def test_cli_writes_csv(spark):
     lines = [ln for f in sorted(glob.glob(out + "/part-*.csv")) for ln in open(f)]
     assert lines[0].strip() == "event_name,event_count"
     assert len(lines) > 1
+
+
+def test_cluster_conf_values():
+    from eventlens import cluster_conf
+    c = cluster_conf(4000)
+    assert c["spark.sql.shuffle.partitions"] == "12000"
+    assert cluster_conf(100)["spark.sql.shuffle.partitions"] == "2000"
+    assert c["spark.sql.autoBroadcastJoinThreshold"] == "-1"

@@ -36,7 +36,8 @@ def cluster_conf(total_cores: int, partition_bytes: int = 256 * MB) -> dict[str,
     use the same size, so a scan task and a reduce task hold a comparable
     amount of data.  Skew handling splits partitions five times the median and
     above ``partition_bytes``.  Broadcast stays with AQE's measured threshold
-    only (the static, estimate-based one is off)."""
+    only (the static, estimate-based one is off).  Core settings (the
+    serializer) take effect when passed to ``build_session`` at start-up."""
     parts = max(2000, 3 * total_cores)
     size = str(partition_bytes)
     return {
@@ -48,6 +49,8 @@ def cluster_conf(total_cores: int, partition_bytes: int = 256 * MB) -> dict[str,
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * MB),
+        # row checkpoints (Q19's slim projection) are written with Kryo
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
 
 

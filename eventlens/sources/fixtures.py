@@ -10,6 +10,7 @@ re-expressed in the DuckDB oracle over the same tables.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import os
 import threading
 import uuid
@@ -187,7 +188,11 @@ def _publish(spark: SparkSession, df: DataFrame, path: str, partition_by: str |
 
 
 def _fingerprint(sf_dir: str) -> str:
+    """Input files plus the adapter's own code: a changed formula never reuses
+    tables written by an older one."""
     h = hashlib.sha1(FIXTURE_VERSION.encode())
+    for fn in (fixture_events, fixture_deposits, _param):
+        h.update(inspect.getsource(fn).encode())
     for t in ("events", "orders"):
         st = os.stat(f"{sf_dir}/{t}.parquet")
         h.update(f"{os.path.abspath(sf_dir)}|{t}|{st.st_size}|{st.st_mtime_ns}".encode())

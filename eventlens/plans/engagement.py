@@ -41,7 +41,9 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
     (``exists_within``, linear, no pairs).  Non-clickers: distinct (user,
     session, shard date, type) of section events whose (user, session) has no
     banner click (NULL keys kept); gameplay = a gameplay event with the same
-    (user, session).  Rates divide by distinct session ids, as the source.
+    (user, session).  Rates divide by distinct session ids, as the source;
+    a group whose events all lack a session id has rate NULL (the source
+    would fail with a division by zero).
 
     Five branches read the same events.  With ``materialize`` the slim
     projection they need (rows in the section, logins, game starts; no

@@ -513,12 +513,12 @@ SELECT strftime(CAST(click_ts AS DATE) - dayofweek(CAST(click_ts AS DATE))::INTE
        count(DISTINCT session_id) AS sessions, count(DISTINCT user_id) AS unique_users,
        count(*) FILTER (WHERE date_sub('second', click_ts, next_ts) <= 300) AS key_metric,
        round(100 * count(*) FILTER (WHERE date_sub('second', click_ts, next_ts) <= 300)
-             / count(DISTINCT session_id), 2) AS engagement_rate_pct
+             / nullif(count(DISTINCT session_id), 0), 2) AS engagement_rate_pct  -- no session id: NULL
 FROM next_visit GROUP BY ALL
 UNION ALL
 SELECT strftime(d - dayofweek(d)::INTEGER, '%Y-%m-%d'), user_type, 'NON_CLICKERS',
        count(DISTINCT session_id), count(DISTINCT user_id), sum(played)::BIGINT,
-       round(100 * sum(played) / count(DISTINCT session_id), 2)
+       round(100 * sum(played) / nullif(count(DISTINCT session_id), 0), 2)
 FROM quiet_played GROUP BY ALL
 """)
 

@@ -211,3 +211,11 @@ def test_dirty_payment_timestamp_is_skipped(spark):
         "business_unit_name string")
     r = plans.deposit_amount_stats_by_cohort(events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U").collect()
     assert [(x.total_deposit_transactions, x.total_deposited_EUR) for x in r] == [(1, 10.0)]
+
+
+def test_q19_rate_is_null_without_session_ids(spark):
+    rows = [ev("u1", T0, "dynamic_content", session=None, pl=SECTION),
+            ev("u1", T0 + 5 * S, "page_view", session=None, pl=SECTION)]
+    out = plans.banner_return_vs_gameplay_weekly(events_df(spark, rows), *ALL).collect()
+    clk = [r for r in out if r.group_type == "BANNER_CLICKERS"]
+    assert [(r.sessions, r.key_metric, r.engagement_rate_pct) for r in clk] == [(0, 1, None)]

@@ -47,6 +47,13 @@ def prefilter(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ID
     return df.join(F.broadcast(ids), key, "left_semi")
 
 
+def exclude(df: DataFrame, rows: DataFrame, on: list[str], limit: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` without the keys in ``rows``, which are broadcast when their
+    count is within the limit."""
+    small = rows.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(rows) if small else rows, on, "left_anti")
+
+
 def skew_join(left: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
     """Join rows with one row per group when a few groups may hold most rows.
 

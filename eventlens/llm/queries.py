@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, ngram_join, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
 }
 
 #: DuckDB formulations; operators without one are tested against brute force.
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op9_ngram_jaccard": ngram_join.ORACLE,
 }

@@ -27,7 +27,14 @@ from pyspark.sql.utils import AnalysisException
 
 from .common import BROADCAST_IDS, prefilter, scratch_path, skew_join, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; memory bounded per executor; no 4 MB of preallocated log per
+#: state partition, which would outweigh the state itself.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows compared with one copy of a retained text.
 FAN = 1000
 
@@ -61,11 +68,9 @@ def stream_state(spark: SparkSession, feed_path: str, schema, checkpoint: str,
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    bounded = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
-    before = {k: spark.conf.get(k, None) for k in (provider, bounded)}
-    spark.conf.set(provider, ROCKSDB)
-    spark.conf.set(bounded, "true")
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (reader.parquet(feed_path).groupBy("digest")
                  .agg(F.count("*").alias("n_rows"), F.max(F.struct("id", "_file", "_row")).alias("best"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, substring_dedup
+from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup
+from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_id": language_id.op5_language_id,

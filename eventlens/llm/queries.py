@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup, toxicity
+from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_embedding_neardup": vector_dedup.op8_embedding_neardup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
 }
 
@@ -19,5 +20,6 @@ ORACLE = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op8_embedding_neardup": vector_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, substring_dedup, toxicity, vector_dedup
+from . import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, substring_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
+    "op6_html_text": html_text.op6_html_text,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_embedding_neardup": vector_dedup.op8_embedding_neardup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
 #: DuckDB formulations; operators without one are tested against brute force.
@@ -22,4 +24,5 @@ ORACLE = {
     "op7_source_mixing": mixing.ORACLE,
     "op8_embedding_neardup": vector_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
 }

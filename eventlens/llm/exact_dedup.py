@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import BROADCAST_IDS, prefilter, scratch_path, skew_join, stage
+from .common import BROADCAST_IDS, exclude, prefilter, scratch_path, skew_join, stage
 
 #: State on disk; memory bounded per executor; no 4 MB of preallocated log per
 #: state partition, which would outweigh the state itself.
@@ -49,11 +49,12 @@ def sha256(text: Column) -> Column:
 
 
 def locatable(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``; a frame that is not a plain file
-    scan is staged first, so that a row can be found again."""
+    """Columns ``doc`` (the whole row), ``_file`` and ``_row``; a frame that is
+    not a plain file scan is staged first, so that a row can be found again."""
     def located(df):
-        return df.select("*", F.xxhash64("_metadata.file_path").alias("_file"),
-                         F.col("_metadata.row_index").alias("_row"))
+        meta = df.metadataColumn("_metadata")
+        return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"),
+                         F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"))
     try:
         return located(docs)
     except AnalysisException:
@@ -89,7 +90,8 @@ def stream_state(spark: SparkSession, feed_path: str, schema, checkpoint: str,
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``,
-    ``text_sha256``, and the locator ``_file``, ``_row``.
+    ``text_sha256``, and the locator ``_file``, ``_row`` (hash of the file path,
+    row in the file).
 
     Of equal texts the row with the largest id stays; null ids are smallest,
     and of rows that repeat an id the one with the largest locator stays, so
@@ -97,7 +99,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result.  ``digest`` maps the normalised text to
     the state's key; a weak one costs comparisons, never correctness."""
     spark = docs.sparkSession
-    rows = locatable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return _decide(locatable(docs).select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), "_file", "_row"),
+                   digest, files_per_batch).withColumnRenamed("id", id_col)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns."""
+    rows = locatable(docs)
+    decided = _decide(rows.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), "_file", "_row"))
+    return exclude(rows, decided.filter(~F.col("kept")).select("_file", "_row"), ["_file", "_row"]).select("doc.*")
+
+
+def _decide(rows: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+    spark = rows.sparkSession
     norm = normalised(F.col("text"))
     path = scratch_path(spark, "feed")
     feed = rows.select("id", "_file", "_row", digest(norm).alias("digest"), sha256(norm).alias("text_sha256"))
@@ -113,7 +127,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not other.isEmpty():
         member = _regroup(member, other)
     me = F.struct("id", "_file", "_row")
-    return member.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"),
+    return member.select("id", F.col("best.id").alias("keep_id"),
                          F.col("n_rows").cast("long").alias("group_size"),
                          (me == F.col("best")).alias("kept"), "text_sha256", "_file", "_row")
 

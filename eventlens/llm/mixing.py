@@ -34,6 +34,8 @@ from .common import skew_join, stage
 BUCKET_ROWS = 20_000
 #: The schedule is broadcast up to this many slots, else joined by shuffle.
 BROADCAST_SLOTS = 2_000_000
+#: The plan, a row per source with an entry for each, is broadcast up to this.
+BROADCAST_SOURCES = 1000
 
 
 def temperature_parts(counts: DataFrame, total: int = 100, alpha: float = 0.5) -> DataFrame:
@@ -54,24 +56,21 @@ def fixed_parts(counts: DataFrame, parts: dict[str, int], default: int = 1) -> D
 
 
 def _ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Add ``rank`` (from 0) within the source, in the order of (md5 of the id,
-    id).  Buckets are leading digits of the md5, so their number changes where
-    ranks are computed and not the ranks."""
+    """Add ``rank`` (from 0) within the source ``name``, in the order of (md5 of
+    the id, id).  Buckets are leading digits of the md5, so their number changes
+    where ranks are computed and not the ranks; rows move once, to their
+    bucket."""
     digits = max(0, math.ceil(math.log(max(1, total / BUCKET_ROWS), 16)))
     rows = rows.withColumn("hi", F.substring("h", 1, digits // 2)).withColumn(
         "lo", F.substring("h", 1 + digits // 2, digits - digits // 2))
-    lows = rows.groupBy("source", "hi", "lo").agg(F.count("*").alias("c"))
-    highs = lows.groupBy("source", "hi").agg(F.sum("c").alias("c")).select(
-        "source", "hi", (F.sum("c").over(Window.partitionBy("source").orderBy("hi")) - F.col("c")).alias("base"))
-    lows = lows.withColumn("below", F.sum("c").over(Window.partitionBy("source", "hi").orderBy("lo")) - F.col("c"))
-    starts = lows.alias("l").join(highs.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))
-                                  & (F.col("l.hi") == F.col("g.hi"))).select(
-        F.col("l.source").alias("source"), "l.hi", "l.lo", (F.col("base") + F.col("below")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("source", "hi", "lo").orderBy("h", "id"))
-    numbered = rows.withColumn("place", place)
-    return numbered.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))
-                                    & (F.col("r.hi") == F.col("s.hi")) & (F.col("r.lo") == F.col("s.lo"))).select(
-        "r.*", (F.col("before") + F.col("place") - 1).alias("rank")).drop("place", "hi", "lo", "h")
+    lows = rows.groupBy("name", "hi", "lo").agg(F.count("*").alias("c"))
+    highs = lows.groupBy("name", "hi").agg(F.sum("c").alias("c")).select(
+        "name", "hi", (F.sum("c").over(Window.partitionBy("name").orderBy("hi")) - F.col("c")).alias("base"))
+    lows = lows.withColumn("below", F.sum("c").over(Window.partitionBy("name", "hi").orderBy("lo")) - F.col("c"))
+    starts = lows.join(highs, ["name", "hi"]).select("name", "hi", "lo", (F.col("base") + F.col("below")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("name", "hi", "lo").orderBy("h", "id"))
+    return rows.withColumn("place", place).join(starts, ["name", "hi", "lo"]).withColumn(
+        "rank", F.col("before") + F.col("place") - 1).drop("place", "before", "hi", "lo", "h")
 
 
 def _fluid(all_: Column, k: Column, a: Column, up: bool) -> Column:
@@ -140,9 +139,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     counts = docs.select(F.col(source_col).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
     plan = stage(_plan(weigh(counts), block), "plan")
     schedule = stage(_schedule(plan), "schedule")
-    total, bound = plan.agg(F.sum("n"), (2 * F.count("*") + 1) * F.sum("a")).first()
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("name")  # a join key without null
-    ranked = skew_join(_ranked(rows, total or 0).withColumn("name", name), plan.withColumn("name", name).drop("source"), ["name"], "n")
+    total, sources, bound = plan.agg(F.sum("n"), F.count("*"), (2 * F.count("*") + 1) * F.sum("a")).first()
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))  # a join key without null
+    ranked = _ranked(rows.withColumn("name", name), total or 0)
+    plan = plan.withColumn("name", name).drop("source")
+    ranked = ranked.join(F.broadcast(plan), "name") if sources <= BROADCAST_SOURCES else skew_join(ranked, plan, ["name"], "n")
     rank, a = F.col("rank"), F.col("a")
     block_no = ((rank - rank % block) / block).cast("long")
     ranked = ranked.withColumn("block_no", block_no).withColumn("k", F.col("block_no") % a)
@@ -160,6 +161,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     return out
 
 
+def interleave(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with their columns, in the order of the mix: sorted
+    by position within and across partitions."""
+    mixed = mix(docs, carry=True, **options).select("doc", "position")
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("doc.*")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

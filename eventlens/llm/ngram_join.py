@@ -76,23 +76,23 @@ def _lists(parts: list[np.ndarray], type_) -> pa.Array:
 def _leading(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for rows, sets in shingle_sets(batch.column(1), k):
+            for rows, sets in shingle_sets(batch.column(2), k):
                 lead = []
                 for s in sets:
                     n = len(s)
                     lead.append(s[:n - (num * n + den - 1) // den + max(1, -(-n // EXTRA))])
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(rows.start, rows.stop - rows.start), pa.array(map(len, sets), pa.int32()),
+                    batch.column(0).slice(rows.start, len(sets)), batch.column(1).slice(rows.start, len(sets)),
+                    pa.array(map(len, sets), pa.int32()),
                     pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()),
-                    _lists(lead, pa.list_(pa.int64()))], names=["id", "n", "sig", "lead"])
+                    _lists(lead, pa.list_(pa.int64()))], names=["id", "tag", "n", "sig", "lead"])
     return run
 
 
 def _full(k: int):
     def run(batches):
         for batch in batches:
-            for _, sets in shingle_sets(batch.column(1), k):
+            for _, sets in shingle_sets(batch.column(2), k):
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int32()),
@@ -211,6 +211,37 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(_verify(num, den), "a long, b long")
 
 
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Staged, one row per row of ``docs``: ``id`` (a null as the largest
+    number), ``tag`` (hash of the text, tells rows that share an id apart),
+    ``n`` shingles, ``grp`` (a number per connected group, null without
+    shingles) and ``low``, the smallest id of the group."""
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
+                         F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    rows = stage(source.mapInArrow(_leading(words, num, den), "id long, tag long, n int, sig long, lead array<long>"), "leading")
+    some = rows.filter("n > 0")
+    classes = stage(some.groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
+    member = stage(skew_join(some.select("id", "tag", "n", "sig"), classes, ["sig"], "copies"), "member")
+
+    copies = member.filter("id <> first").select("id", "sig").distinct()
+    alive = stage(_survivors(exclude(some, copies, ["id", "sig"]), num, den).join(classes, "sig").select(
+        "sig", F.col("first").alias("id")), "alive")
+    sets = prefilter(source, alive, "id").mapInArrow(_full(words), "sig long, n int, toks array<long>")
+    sets = stage(sets.join(alive.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    comp = _connect(sets, num, den)
+
+    out = member.select("id", "tag", "n", F.col("sig").alias("grp"), F.col("first").alias("low"))
+    if comp is not None:
+        low = comp.join(classes, comp.node == classes.sig).select("sig", "component", "first", "copies")
+        low = low.join(low.groupBy("component").agg(F.min("first").alias("low")), "component")
+        low = stage(low.select("sig", "component", "low", "copies"), "components")
+        out = skew_join(member.select("id", "tag", "n", "sig", "first"), low, ["sig"], "copies", "left").select(
+            "id", "tag", "n", F.coalesce("component", "sig").alias("grp"), F.coalesce("low", "first").alias("low"))
+    none = rows.filter("n = 0").select("id", "tag", "n", "sig", F.col("id").alias("low")).withColumnRenamed("sig", "grp")
+    return stage(out.unionByName(none), "groups")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles`` (distinct ``words``-word
@@ -222,29 +253,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart; rows that repeat an id are documents of their own that share it; a
     null id is the largest and is returned as null.  Shingles and sets are
     compared by 64-bit hashes.  An empty table gives an empty result."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    rows = stage(source.mapInArrow(_leading(words, num, den), "id long, n int, sig long, lead array<long>"), "leading")
-    classes = stage(rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
-    member = stage(skew_join(rows.filter("n > 0").select("id", "n", "sig"), classes, ["sig"], "copies"), "member")
-
-    alive = stage(_survivors(exclude(rows.filter("n > 0"), member.filter("id <> first").select("id", "sig").distinct(),
-                                      ["id", "sig"]), num, den).join(classes, "sig").select("sig", F.col("first").alias("id")), "alive")
-    text = prefilter(source, alive, "id")
-    sets = text.mapInArrow(_full(words), "sig long, n int, toks array<long>")
-    sets = stage(sets.join(alive.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-    comp = _connect(sets, num, den)
-
-    out = member.select("id", "n", F.col("first").alias("component_id"))
-    if comp is not None:
-        low = comp.join(classes, comp.node == classes.sig).select("sig", "component", "first", "copies")
-        low = low.join(low.groupBy("component").agg(F.min("first").alias("low")), "component")
-        low = stage(low.select("sig", "low", "copies"), "components")
-        out = skew_join(member.select("id", "n", "sig", "first"), low, ["sig"], "copies", "left").select(
-            "id", "n", F.coalesce("low", "first").alias("component_id"))
-    out = out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     null = F.lit(_NO_ID)
-    return out.select(F.nullif("id", null).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-                      F.nullif("component_id", null).alias("component_id"))
+    return jaccard_groups(docs, id_col, text_col, words, num, den).select(
+        F.nullif("id", null).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.nullif("low", null).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that stay when every connected group keeps the one
+    with the smallest id (ties: the smaller hash of the text; rows equal in
+    both are one document and stay together)."""
+    groups = jaccard_groups(docs, id_col, text_col, words, num, den).filter("grp is not null")
+    best = stage(groups.groupBy("grp").agg(F.min(F.struct("id", "tag")).alias("best"), F.count("*").alias("rows")).filter("rows > 1"), "best")
+    gone = stage(skew_join(groups, best, ["grp"], "rows").filter(F.struct("id", "tag") != F.col("best")).select("id", "tag").distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("tag"))
+    return exclude(rows, gone, ["id", "tag"]).select("doc.*")
 
 
 def _survivors(rows: DataFrame, num: int, den: int) -> DataFrame:

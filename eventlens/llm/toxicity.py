@@ -288,6 +288,24 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with their columns, that score below the
+    threshold."""
+    if model is None:
+        return docs
+    place = docs.columns.index(text_col)
+    line = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches):
+        table = model.table()
+        for batch in batches:
+            two = [_two_highest(model.margins(terms, table), inverse, first) for _, terms, inverse, first in _terms(batch.column(place))]
+            if two:
+                yield batch.filter(pa.array(np.concatenate(two) @ model.curve[:2] + model.curve[2] < line))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

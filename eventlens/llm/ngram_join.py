@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import components, exclude, prefilter, skew_join, stage
 from .words import slices, window_hashes
 
-#: The leading part is longer than the plain prefix by this share of the set.
-EXTRA = 20
+#: The leading part is longer than the plain prefix by one in EXTRA of the set.
+EXTRA = 10
 #: Pivots per list in the first round, and growth per round.
 PIVOTS, GROWTH = 2, 8
 #: Comparisons that share one copy of a pivot's set.

@@ -33,6 +33,19 @@ _NO_ID = 2**63 - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Position of the leftmost minimum of ``x[i:i + width]`` for every i, by
+    doubling; a strided view would be copied ``width`` times."""
+    low, at, size = x, np.arange(len(x), dtype=np.int32), 1
+    while size < width:
+        shift = min(size, width - size)
+        right = low[shift:] < low[:-shift]
+        low = np.where(right, low[shift:], low[:-shift])
+        at = np.where(right, at[shift:], at[:-shift])
+        size += shift
+    return at
+
+
 def _represent(words: Words, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all W-windows of a slice and of the level-1 window that
     represents each (the leftmost smallest hash)."""
@@ -43,10 +56,7 @@ def _represent(words: Words, w: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     end = np.repeat(words.first[1:], np.diff(words.first))
     starts = np.flatnonzero(np.arange(n) + w <= end[:n])
-    views = np.lib.stride_tricks.sliding_window_view(small, w - b + 1)
-    if len(starts) == 0:
-        return starts, starts
-    return starts, starts + np.argmin(views[:n], axis=1)[starts]
+    return starts, _sliding_argmin(small, w - b + 1)[starts].astype(np.int64)
 
 
 def _class_key(sha: bytes) -> int:

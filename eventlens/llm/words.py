@@ -1,7 +1,7 @@
 """Vectorised words of Arrow text columns, for use inside Arrow tasks.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D.  Work goes slice by slice
-(a few MB of text), so memory does not grow with the batch; a single text
+(2 MB of text), so memory does not grow with the batch; a single text
 larger than a slice is one slice.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

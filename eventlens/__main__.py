@@ -1,7 +1,10 @@
 """Run one analysis over an event export and write the result.
 
     python -m eventlens <analysis> --events PATH [--deposits PATH] --out PATH
-        [--format csv|parquet] [--show] name=value ...
+        [--format csv|parquet] [--show [ROWS]] name=value ...
+
+``--out`` is the result; ``--show`` prints at most ROWS rows (100) and says how
+many there are.  One of the two is required.
 
 ``--flat`` reads the flat typed layout written by
 ``eventlens.sources.layout.write_flat_events`` instead of the nested export.
@@ -26,7 +29,7 @@ SKIP = {"events", "deposits"}
 
 
 def _analyses():
-    return {n: getattr(plans, n) for n in plans.__all__ if n != "deposit_vs_banner_correlation"}
+    return {n: getattr(plans, n) for n in plans.__all__}
 
 
 def _coerce(name: str, value: str, default):
@@ -40,8 +43,9 @@ def _coerce(name: str, value: str, default):
         return int(value)
     if isinstance(default, float) or (default is None and value.replace(".", "", 1).isdigit() and "." in value):
         return float(value)
-    if isinstance(default, tuple) and value and "," in value:
-        return tuple(value.split(","))
+    if isinstance(default, tuple):
+        kind = type(default[0]) if default else str
+        return tuple(kind(v) for v in value.split(",") if v)
     return value
 
 
@@ -56,7 +60,8 @@ def main(argv=None) -> int:
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--master")
     ap.add_argument("--cores", type=int, help="total executor cores: apply eventlens.session.cluster_conf")
-    ap.add_argument("--show", action="store_true", help="print the result instead of (or as well as) writing it")
+    ap.add_argument("--input-gb", type=int, default=0, help="size of the scanned days, for the number of shuffle partitions")
+    ap.add_argument("--show", type=int, nargs="?", const=100, help="print this many rows and the total")
     ap.add_argument("--help-params", action="store_true")
     ap.add_argument("params", nargs="*", help="name=value")
     a = ap.parse_intermixed_args(argv)
@@ -67,8 +72,10 @@ def main(argv=None) -> int:
             if p.name not in SKIP:
                 print(p.name, "" if p.default is inspect.Parameter.empty else f"(default {p.default!r})")
         return 0
+    if not a.out and a.show is None:
+        ap.error("give --out PATH, or --show to print some rows")
     spark = build_session(a.master, app=f"eventlens-{a.analysis}",
-                          extra=cluster_conf(a.cores) if a.cores else None)
+                          extra=cluster_conf(a.cores, input_bytes=a.input_gb << 30) if a.cores else None)
     kwargs = {"events": read_flat_events(spark, a.events) if a.flat else read_events(spark, a.events)}
     if "deposits" in sig.parameters:
         if not a.deposits:
@@ -83,8 +90,10 @@ def main(argv=None) -> int:
     df = fn(**kwargs)
     if a.out:
         (write_csv if a.format == "csv" else write_parquet)(df, a.out)
-    if a.show or not a.out:
-        df.show(1000, truncate=False)
+    if a.show is not None:
+        total = df.count()
+        df.show(a.show, truncate=False)
+        print(f"{min(a.show, total)} of {total} rows shown")
     spark.stop()
     return 0
 

@@ -60,15 +60,3 @@ def flatten(events: DataFrame, keys: Iterable[str], keep: Iterable[str] = ()) ->
     for k in keys:
         cols.append(param(k).alias(FLAT_NAMES.get(k, k)))
     return events.select(*cols)
-
-
-def explode_params(events: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """One row per parameter entry (``CROSS JOIN UNNEST(event_params)``).
-
-    Rows with an empty or NULL array produce no output, as the lateral join does.
-    """
-    keep = list(keep)
-    return (events.select(*keep, F.explode("event_params").alias("param"))
-            .select(*keep, F.col("param.key").alias("param_key"),
-                    F.col("param.value.string_value").alias("param_string_value"),
-                    F.col("param.value.int_value").alias("param_int_value")))

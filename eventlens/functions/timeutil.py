@@ -49,13 +49,6 @@ def secs_between(later: str | Column, earlier: str | Column) -> Column:
     return F.try_divide((_col(later) - _col(earlier)).cast("double"), F.lit(float(MICROS_PER_SECOND)))
 
 
-def whole_seconds_between(later: str | Column, earlier: str | Column) -> Column:
-    """``TIMESTAMP_DIFF(later, earlier, SECOND)``: truncated toward zero."""
-    diff = _col(later) - _col(earlier)
-    q = F.floor(F.abs(diff) / F.lit(MICROS_PER_SECOND))
-    return F.when(diff < 0, -q).otherwise(q).cast("long")
-
-
 def date_from_shard(event_date: str | Column) -> Column:
     """``PARSE_DATE('%Y%m%d', event_date)``."""
     return F.to_date(_col(event_date), "yyyyMMdd")

@@ -1,13 +1,14 @@
-"""Null-aware join helpers.
-
-Rows whose join key has a NULL part can never match an equi-join, but a hash
-shuffle still sends all of them to one task (one hot "NULL" key).  These
-helpers add a salt column to the join keys: 0 for rows with a complete key,
-and a deterministic hash bucket (1..n) of the row for rows with a NULL part.
-The right side carries salt 0, so salted rows spread over ``n`` tasks and still
-match nothing: one pass over the input, no filter-and-union double scan.
-The hash is of the row content, so a recomputed task reproduces the same
-partitioning (no indeterminate shuffle on executor loss).
+"""Joins of many rows to one row per key, when NULL or a few keys are frequent.
+
+A row whose key has a NULL part matches nothing, but a hash shuffle sends all
+such rows to one task.  The join key is therefore a text: ``v`` + key for a
+complete key and ``n`` + hash of the row for an incomplete one, so those rows
+spread over all tasks and, having another first letter, can never equal a real
+key.  A frequent real key is spread over ``copies`` tasks: every row takes one
+of ``copies`` numbers by its hash and the other side, one row per key, is
+repeated once per number.  Both sides then enter the join through an exchange,
+so AQE can split what is still uneven.  Hashes are of the row's content: a
+recomputed task partitions the same way.
 """
 
 from __future__ import annotations
@@ -17,45 +18,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-NULL_SALT_BUCKETS = 256
-SALT = "_null_salt"
+KEY, COPY = "_join_key", "_join_copy"
+#: Tasks over which one frequent key is spread.
+COPIES = 16
 
 
-def _all_keys_present(keys: Sequence[str]) -> Column:
+def _complete(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def salt_null_keys(df: DataFrame, keys: Sequence[str], buckets: int = NULL_SALT_BUCKETS) -> DataFrame:
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)) + F.lit(1)
-    return df.withColumn(SALT, F.when(_all_keys_present(keys), F.lit(0)).otherwise(spread).cast("int"))
+def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Never-NULL join key of a row: the first key as text, or the row's hash
+    when some key is NULL."""
+    row = F.xxhash64(*[F.col(c) for c in df.columns]).cast("string")
+    return F.when(_complete(keys), F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).otherwise(F.concat(F.lit("n"), row))
 
 
-def _right(right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return right.filter(_all_keys_present(keys)).withColumn(SALT, F.lit(0))
-
-
-def left_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``left LEFT JOIN right USING (keys)`` with NULL-key left rows spread out.
-
-    ``right`` should be unique per key (callers pass aggregated tables) so the
-    result keeps the left cardinality.  Hot non-NULL keys on the left are split
-    by AQE skew-join handling; the right side is broadcast only when AQE has
-    measured it under the broadcast threshold."""
-    keys = list(keys)
-    out = salt_null_keys(left, keys).join(_right(right, keys), [*keys, SALT], "left")
-    return out.drop(SALT)
-
-
-def anti_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``NOT EXISTS (same keys)``: NULL-key left rows are kept."""
-    keys = list(keys)
-    rkeys = right.select(*keys).distinct()
-    return salt_null_keys(left, keys).join(_right(rkeys, keys), [*keys, SALT], "left_anti").drop(SALT)
-
-
-def exists_flag(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Adds ``name`` = 1 when some right row has the same (non-NULL) keys, else 0."""
+def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+               copies: int = 1) -> DataFrame:
+    """``left JOIN right USING (keys)``, ``how`` left or inner; ``right`` has at
+    most one row per key (callers pass aggregated tables)."""
     keys = list(keys)
-    rkeys = right.select(*keys).distinct().withColumn("_hit", F.lit(1))
-    out = left_join_keyed(left, rkeys, keys)
-    return out.withColumn(name, F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit")
+    if how == "inner":
+        left = left.filter(_complete(keys))
+    number = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(copies)).cast("int")
+    r = right.filter(_complete(keys)).withColumn(KEY, F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).drop(keys[0])
+    l = left.withColumn(KEY, key_text(left, keys))
+    on = [KEY, *keys[1:]]
+    if copies > 1:
+        l = l.withColumn(COPY, number)
+        r = r.withColumn(COPY, F.explode(F.array(*[F.lit(i) for i in range(copies)])))
+        on.append(COPY)
+    out = l.join(r, on, how).drop(KEY, COPY)
+    return out.select(*left.columns, *[c for c in right.columns if c not in keys])
+
+
+def left_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], copies: int = 1) -> DataFrame:
+    """``left LEFT JOIN right USING (keys)``; see ``join_keyed``."""
+    return join_keyed(left, right, keys, "left", copies)

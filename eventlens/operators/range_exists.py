@@ -8,16 +8,17 @@ Here the timeline of every user is cut into buckets of ``bucket_us`` (wider than
 ``hi - lo``).  The first target at or after ``p.ts + lo`` lies either in the
 probe's bucket or is the earliest target of the next bucket, so each bucket's
 earliest target is copied into the previous bucket (a small aggregate), and a
-RANGE-frame minimum over (user, bucket) partitions finds the next target for
-each probe.  Work is linear, no pairs are emitted, and a hot user is spread
-over as many tasks as it has busy buckets.
+running minimum from the latest to the earliest time of each (user, bucket)
+finds the next target for each probe.  The frame only grows, so the work is
+linear after the sort; no pairs are emitted, and a hot user is spread over as
+many tasks as it has busy buckets.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventlens.operators.joins import SALT, salt_null_keys
+from eventlens.operators.joins import KEY, key_text
 
 
 def exists_within(probes: DataFrame, targets: DataFrame, user_col: str, probe_ts: str,
@@ -29,23 +30,23 @@ def exists_within(probes: DataFrame, targets: DataFrame, user_col: str, probe_ts
     W = F.lit(bucket_us)
     pcols = probes.columns
     # Probes of a NULL user find no target (targets of NULL users are dropped);
-    # they stay in the same pass, salted so that they do not pile up in one task.
-    keyed = salt_null_keys(probes, [user_col])
+    # they stay in the same pass, each under a key of its own.
+    keyed = probes.withColumn(KEY, key_text(probes, [user_col]))
 
     t = (targets.filter(F.col(user_col).isNotNull() & F.col(target_ts).isNotNull())
          .select(F.col(user_col), F.col(target_ts).alias("_t")))
     t = t.withColumn("_b", F.floor(F.col("_t") / W))
     carry = t.groupBy(user_col, "_b").agg(F.min("_t").alias("_t")).withColumn("_b", F.col("_b") - 1)
     tgt = (t.unionByName(carry).withColumn("_k", F.col("_t")).withColumn("_probe", F.lit(False))
-           .withColumn(SALT, F.lit(0)))
+           .withColumn(KEY, F.concat(F.lit("v"), F.col(user_col).cast("string"))))
 
     p = (keyed.withColumn("_k", F.col(probe_ts) + F.lit(lo_us))
          .withColumn("_b", F.floor(F.col("_k") / W))
          .withColumn("_t", F.lit(None).cast("long"))
          .withColumn("_probe", F.lit(True)))
     both = p.unionByName(tgt, allowMissingColumns=True)
-    w = (Window.partitionBy(user_col, "_b", SALT).orderBy("_k")
-         .rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    w = (Window.partitionBy(KEY, "_b").orderBy(F.desc("_k"))
+         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     nxt = F.min("_t").over(w)
     hit = F.when(nxt.isNotNull() & (nxt <= F.col(probe_ts) + F.lit(hi_us)), F.lit(1)).otherwise(F.lit(0))
     return both.withColumn(flag, hit).filter(F.col("_probe")).select(*pcols, flag)

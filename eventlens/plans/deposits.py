@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventlens.operators.cohort import user_cohort
 from eventlens.plans.common import scan
+from eventlens.sources.deposits import DAY, payment_day
 
 OK_STATUSES = ("CAPTURED", "COMPLETED")
 # Amounts are summed and averaged as exact decimals (money), so that
@@ -33,14 +34,16 @@ def _cohort(events: DataFrame, cohort_from: str, cohort_to: str, cutoff: str) ->
 
 
 def _payments(deposits: DataFrame, day_from: str, day_to: str, business_unit: str,
-              statuses: Sequence[str], positive_only: bool) -> DataFrame:
-    # ``DATE(CAST(date_created AS TIMESTAMP))``; an unparsable value becomes
-    # NULL (and falls out of the date filter) instead of failing the job.
-    day = F.col("date_created").try_cast("timestamp_ntz").cast("date")
-    p = deposits.select("player_id", day.alias("deposit_date"), "transaction_amount_EUR",
-                        "payment_status", "business_unit_name")
-    cond = (F.col("deposit_date").between(F.lit(day_from).cast("date"), F.lit(day_to).cast("date"))
-            & (F.col("business_unit_name") == business_unit)
+              statuses: Sequence[str], positive_only: bool, skip_bad_dates: bool = False) -> DataFrame:
+    """Payments of the unit and statuses in the days, with ``deposit_date``.  A
+    table partitioned by ``deposit_day`` (``sources.deposits``) is pruned to
+    those days."""
+    lo, hi = F.lit(day_from).cast("date"), F.lit(day_to).cast("date")
+    if DAY in deposits.columns:
+        deposits = deposits.filter(F.col(DAY).between(lo, hi))
+    p = deposits.select("player_id", payment_day("date_created", skip_bad_dates).alias("deposit_date"),
+                        "transaction_amount_EUR", "payment_status", "business_unit_name")
+    cond = (F.col("deposit_date").between(lo, hi) & (F.col("business_unit_name") == business_unit)
             & F.col("payment_status").isin(*statuses) & F.col("player_id").isNotNull())
     if positive_only:
         cond = cond & (F.col("transaction_amount_EUR") > 0)
@@ -49,10 +52,11 @@ def _payments(deposits: DataFrame, day_from: str, day_to: str, business_unit: st
 
 def deposits_by_cohort_per_user(events: DataFrame, deposits: DataFrame, cohort_from: str,
                                 cohort_to: str, cutoff: str, day_from: str, day_to: str,
-                                business_unit: str, statuses: Sequence[str] = OK_STATUSES) -> DataFrame:
+                                business_unit: str, statuses: Sequence[str] = OK_STATUSES,
+                                skip_bad_dates: bool = False) -> DataFrame:
     """Q22: per day and user type: depositing players, mean transactions and
     mean amount per player, revenue (zero and negative amounts kept)."""
-    pay = _payments(deposits, day_from, day_to, business_unit, statuses, positive_only=False)
+    pay = _payments(deposits, day_from, day_to, business_unit, statuses, False, skip_bad_dates)
     per_player = pay.groupBy("player_id", "deposit_date").agg(
         F.count(F.lit(1)).alias("transactions"),
         F.avg(_money("transaction_amount_EUR")).alias("avg_amount"),
@@ -68,27 +72,34 @@ def deposits_by_cohort_per_user(events: DataFrame, deposits: DataFrame, cohort_f
 
 def deposit_amount_stats_by_cohort(events: DataFrame, deposits: DataFrame, cohort_from: str,
                                    cohort_to: str, cutoff: str, day_from: str, day_to: str,
-                                   business_unit: str, statuses: Sequence[str] = OK_STATUSES) -> DataFrame:
+                                   business_unit: str, statuses: Sequence[str] = OK_STATUSES,
+                                   skip_bad_dates: bool = False) -> DataFrame:
     """Q23: per day and user type: depositors, transactions, mean, total, min,
     max and sample standard deviation of positive amounts.
 
-    Per-(player, day) partial moments (count, sum, centred sum of squares)
-    are merged exactly after the join (parallel variance formula)."""
+    Sums and sums of squares per (player, day) are exact decimals (amounts to
+    four decimals) and add up exactly after the join.  The squares are centred
+    on the rounded mean m before they become doubles,
+    ``sum (x - m)^2 = q - 2 m s + n m^2``, so nothing cancels."""
     x = F.col("transaction_amount_EUR")
-    pay = _payments(deposits, day_from, day_to, business_unit, statuses, positive_only=True)
+    cents = x.cast("decimal(16,4)")
+    pay = _payments(deposits, day_from, day_to, business_unit, statuses, True, skip_bad_dates)
     per_player = pay.groupBy("player_id", "deposit_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x.cast(MONEY)).alias("s_exact"), F.sum(x).alias("s"),
+        F.count(F.lit(1)).alias("n"), F.sum(x.cast(MONEY)).alias("s_exact"),
         F.min(x).alias("lo"), F.max(x).alias("hi"),
-        (F.var_pop(x) * F.count(F.lit(1))).alias("m2"))
+        F.sum(cents).alias("s"), F.sum(cents * cents).alias("q"))
     j = per_player.join(_cohort(events, cohort_from, cohort_to, cutoff), "player_id", "inner")
-    n, s = F.col("n"), F.col("s")
+    n = F.col("n")
     g = j.groupBy("deposit_date", "user_type").agg(
         F.count_distinct("player_id").alias("unique_depositors"),
         F.sum(n).cast("long").alias("total_deposit_transactions"),
-        F.sum("s_exact").alias("_s_exact"), F.sum(s).alias("_s"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"),
-        F.sum(F.col("m2") + s * s / n).alias("_q"))
-    N, S = F.col("total_deposit_transactions").cast("double"), F.col("_s")
-    m2 = F.greatest(F.col("_q") - S * S / N, F.lit(0.0))
+        F.sum("s_exact").alias("_s_exact"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi"),
+        F.sum("s").alias("_s"), F.sum("q").alias("_q"))
+    N, S = F.col("total_deposit_transactions"), F.col("_s")
+    m = F.round(S / N, 4).cast("decimal(16,4)")
+    about_m = F.col("_q") - 2 * m * S + N * m * m                # sum of (x - m)^2
+    off = (S - N * m).cast("double")
+    m2 = F.greatest(about_m.cast("double") - off * off / N.cast("double"), F.lit(0.0))
     out = g.select(
         "deposit_date", "user_type", "unique_depositors", "total_deposit_transactions",
         F.round(F.col("_s_exact") / F.col("total_deposit_transactions"), 2).cast("double")
@@ -96,5 +107,5 @@ def deposit_amount_stats_by_cohort(events: DataFrame, deposits: DataFrame, cohor
         F.round(F.col("_s_exact"), 2).cast("double").alias("total_deposited_EUR"),
         F.round(F.col("_lo"), 2).alias("min_amount_EUR"),
         F.round(F.col("_hi"), 2).alias("max_amount_EUR"),
-        F.round(F.sqrt(F.try_divide(m2, N - F.lit(1.0))), 2).alias("stddev_amount_EUR"))
+        F.round(F.sqrt(F.try_divide(m2, N.cast("double") - F.lit(1.0))), 2).alias("stddev_amount_EUR"))
     return out.orderBy("deposit_date", "user_type")

@@ -2,8 +2,8 @@
 
 First-time vs returning is the 24-hour rule against the first login in the
 scanned range.  The per-user first-login table is an aggregate; it is joined
-to event- or session-level rows whose NULL users are salted (spread over many
-tasks, never matching).
+to event- or session-level rows; NULL users and frequent users are spread over
+many tasks (``operators.joins``).
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventlens.functions.predicates import in_section
 from eventlens.functions.timeutil import date_from_shard, utc_date, week_sunday
-from eventlens.operators.joins import left_join_keyed
+from eventlens.operators.joins import COPIES, left_join_keyed
 from eventlens.operators.login import first_login, first_time_label
 from eventlens.operators.range_exists import exists_within
 from eventlens.plans.common import BANNER, GAMEPLAY, flag, scan
-from eventlens.session import checkpoint_dir
+from eventlens.sources.events import shard_range
 
 # Fixed labels.
 CLICKERS = "BANNER_CLICKERS"
@@ -31,8 +31,7 @@ def _ev():
 
 
 def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to: str,
-                                     section_path: str = "/tr/casino",
-                                     materialize: bool = True) -> DataFrame:
+                                     section_path: str = "/tr/casino") -> DataFrame:
     """Q19: weekly (Sunday weeks) banner clickers' return-within-5-minutes rate
     vs non-clickers' gameplay rate, first-time vs returning users.
 
@@ -45,25 +44,21 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
     a group whose events all lack a session id has rate NULL (the source
     would fail with a division by zero).
 
-    Five branches read the same events.  With ``materialize`` the slim
-    projection they need (rows in the section, logins, game starts; no
-    parameter array) is checkpointed once to the shared checkpoint folder, so
-    the parameter arrays of the range are read once, not per branch."""
+    No job runs while the frame is built.  The branches scan the days again
+    with their own column pruning and event filter: logins read no parameter
+    array, and each other branch aggregates before its shuffle."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
               ["user_id", "event_name", "event_timestamp", "event_date"])
     sect = in_section("page_location", section_path)
     ev = ev.select("user_id", "session_id", "event_name", "event_timestamp", "event_date",
                    F.coalesce(sect, F.lit(False)).alias("_sect"))
     ev = ev.filter(F.col("_sect") | _ev().isin(LOGIN, GAMEPLAY))
-    if materialize:
-        checkpoint_dir(ev.sparkSession)   # shared folder, or a clear error on a cluster without one
-        ev = ev.checkpoint(eager=True)
-    logins = first_login(ev)
+    logins = first_login(shard_range(events, date_from, date_to).select("user_id", "event_name", "event_timestamp"))
     visits = ev.filter(F.col("_sect")).select("user_id", "session_id", "event_timestamp", "event_date",
                                               (_ev() == BANNER).alias("_click"))
     # Banner clicks are section events: one join to the first logins labels
     # both groups (the click time and the visit time are the event time).
-    labelled = left_join_keyed(visits, logins, ["user_id"]).withColumn(
+    labelled = left_join_keyed(visits, logins, ["user_id"], COPIES).withColumn(
         "user_type", first_time_label("event_timestamp"))
 
     c = (labelled.filter(F.col("_click"))
@@ -115,7 +110,7 @@ def lobby_bounce_rate(events: DataFrame, date_from: str, date_to: str,
             .groupBy("user_id", "session_id").agg(
                 F.count(F.lit(1)).alias("session_events"),
                 F.min("event_timestamp").alias("session_start_ts")))
-    s = left_join_keyed(sess, logins, ["user_id"])
+    s = left_join_keyed(sess, logins, ["user_id"], COPIES)
     s = s.select("user_id", "session_id", "session_events",
                  first_time_label("session_start_ts").alias("user_type"))
     low = F.sum(flag(F.col("session_events") <= low_events)).cast("long")

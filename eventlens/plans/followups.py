@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventlens.plans.deposits import MONEY, _cohort, _payments, OK_STATUSES
+from eventlens.plans.deposits import MONEY, OK_STATUSES, _cohort, _payments, deposit_amount_stats_by_cohort
+from eventlens.plans.funnel import daily_trend_moving_avg
 from eventlens.plans.kpi import daily_lobby_kpi
 
 OUTAGE_RATES = ("gameplay_anytime_rate", "promo_click_rate", "deposit_window_rate",
@@ -46,13 +47,13 @@ def tracking_outages(events: DataFrame, date_from: str, date_to: str,
 
 def deposit_period_comparison(events: DataFrame, deposits: DataFrame, cohort_from: str, cohort_to: str,
                               cutoff: str, periods: Sequence[tuple[str, str, str]], business_unit: str,
-                              statuses: Sequence[str] = OK_STATUSES) -> DataFrame:
+                              statuses: Sequence[str] = OK_STATUSES, skip_bad_dates: bool = False) -> DataFrame:
     """X2: deposits per named period (label, first day, last day) and user type:
     depositors, transactions, average and total positive amount.  Periods may
     leave gaps; days outside every period are ignored."""
     lo = min(p[1] for p in periods)
     hi = max(p[2] for p in periods)
-    pay = _payments(deposits, lo, hi, business_unit, statuses, positive_only=True)
+    pay = _payments(deposits, lo, hi, business_unit, statuses, True, skip_bad_dates)
     label = None
     for name, a, b in periods:
         cond = F.col("deposit_date").between(F.lit(a).cast("date"), F.lit(b).cast("date"))
@@ -71,14 +72,26 @@ def deposit_period_comparison(events: DataFrame, deposits: DataFrame, cohort_fro
     return out.orderBy("period", "user_type")
 
 
-def deposit_vs_banner_correlation(daily_deposits: DataFrame, daily_banner: DataFrame) -> DataFrame:
+def deposit_vs_banner_correlation(events: DataFrame, deposits: DataFrame, cohort_from: str, cohort_to: str,
+                                  date_from: str, date_to: str, cutoff: str, day_from: str, day_to: str,
+                                  business_unit: str, section_path: str = "/tr/casino",
+                                  statuses: Sequence[str] = OK_STATUSES) -> DataFrame:
     """X1: per user type, Pearson correlation of the daily average deposit
-    amount (Q23 output) with the daily banner click rate (Q18 output), over
-    the days present in both."""
+    amount (Q23) with the daily banner click rate (Q18), over the days present
+    in both; to 9 decimals."""
+    return daily_correlation(
+        deposit_amount_stats_by_cohort(events, deposits, cohort_from, cohort_to, cutoff, day_from, day_to,
+                                       business_unit, statuses),
+        daily_trend_moving_avg(events, cohort_from, cohort_to, date_from, date_to, cutoff, section_path))
+
+
+def daily_correlation(daily_deposits: DataFrame, daily_banner: DataFrame) -> DataFrame:
+    """X1 on ready-made outputs of Q23 and Q18."""
     j = daily_deposits.select(F.col("deposit_date").alias("d"), "user_type", "avg_deposit_amount_EUR") \
         .join(daily_banner.select(F.col("activity_date").alias("d"), "user_type", "banner_click_rate_pct"),
               ["d", "user_type"], "inner")
+    x, y = "avg_deposit_amount_EUR", "banner_click_rate_pct"
+    corr = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))   # NULL when one is constant
     out = j.groupBy("user_type").agg(
-        F.count(F.lit(1)).alias("days"),
-        F.corr("avg_deposit_amount_EUR", "banner_click_rate_pct").alias("corr_amount_vs_click_rate"))
+        F.count(F.lit(1)).alias("days"), F.round(corr, 9).alias("corr_amount_vs_click_rate"))
     return out.orderBy("user_type")

@@ -3,8 +3,8 @@
 User type comes from ``user_cohort`` over a lookback range (first event
 before the cutoff: RETURNING_USER).  The activity side is aggregated per
 (user, session, period) *before* it meets the per-user cohort table, so the
-join sees a few rows per session instead of raw events (a hot user cannot
-overload one join task), and the NULL user, which the inner join to the
+join sees a few rows per session instead of raw events, a frequent user's rows
+are spread over tasks (``operators.joins``), and the NULL user, which the inner join to the
 cohort drops, is filtered before any shuffle.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from eventlens.functions.predicates import in_section
 from eventlens.functions.timeutil import utc_date, week_num_sunday
 from eventlens.operators.cohort import user_cohort
-from eventlens.plans.common import BANNER, GAMEPLAY, flag, pct, scan, session_key
+from eventlens.operators.joins import COPIES, join_keyed
+from eventlens.plans.common import BANNER, GAMEPLAY, flag, pct, scan
 
 DEPOSIT_OK = "deposit_success"
 CAROUSEL_EVENTS = ("menu_click", "carousel_next", "carousel_prev")
@@ -54,15 +55,30 @@ def user_segmentation(events: DataFrame, date_from: str, date_to: str, cutoff: s
 
 
 def _per_session_week(events, cohort_from, cohort_to, date_from, date_to, cutoff, section_path, flags):
-    """(user_type, week_num, session_key) rows with max of each flag."""
+    """(user_type, week_num, no_session, flags, n): numbers of (user, session,
+    week) rows per combination of flags.
+
+    The source counts distinct session keys, of which all rows without a
+    session id share one (NULL); callers merge the rows with ``no_session``."""
     ev = _section_events(events, date_from, date_to, section_path)
     ev = ev.withColumn("week_num", week_num_sunday(utc_date("event_timestamp")))
     pre = ev.groupBy("user_id", "session_id", "week_num").agg(
         *[F.max(flag(cond)).alias(name) for name, cond in flags.items()])
     cohort = _cohort(events, cohort_from, cohort_to, cutoff)
-    joined = pre.join(cohort, "user_id", "inner")
-    return joined.groupBy("user_type", "week_num", session_key().alias("session_key")).agg(
-        *[F.max(name).alias(name) for name in flags])
+    joined = join_keyed(pre, cohort, ["user_id"], "inner", COPIES)
+    return joined.groupBy("user_type", "week_num", F.col("session_id").isNull().alias("no_session"), *flags).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _with(cond):
+    """Sessions for which ``cond`` (of flags) holds."""
+    return F.coalesce(F.sum(F.when(~F.col("no_session") & cond, F.col("n"))), F.lit(0))
+
+
+def _null_max(name: str):
+    """Flag of the one session key that rows without a session id share: 1, 0,
+    or NULL without such rows."""
+    return F.max(F.when(F.col("no_session"), F.col(name)))
 
 
 def lobby_funnel_weekly(events: DataFrame, cohort_from: str, cohort_to: str, date_from: str,
@@ -76,11 +92,13 @@ def lobby_funnel_weekly(events: DataFrame, cohort_from: str, cohort_to: str, dat
     click and a game, over clicked sessions."""
     s = _per_session_week(events, cohort_from, cohort_to, date_from, date_to, cutoff, section_path,
                           {"had_banner_click": _ev() == BANNER, "had_gameplay": _ev() == GAMEPLAY})
+    click, game = F.col("had_banner_click") == 1, F.col("had_gameplay") == 1
+    null_click, null_game = F.coalesce(_null_max("had_banner_click"), F.lit(0)), F.coalesce(_null_max("had_gameplay"), F.lit(0))
     c = s.groupBy("user_type", "week_num").agg(
-        F.count(F.lit(1)).alias("total_casino_sessions"),
-        F.sum("had_banner_click").cast("long").alias("sessions_banner_clicked"),
-        F.sum("had_gameplay").cast("long").alias("sessions_gameplay_initiated"),
-        F.sum(F.col("had_banner_click") * F.col("had_gameplay")).cast("long").alias("_clicked_and_played"))
+        (_with(F.lit(True)) + F.max(F.col("no_session").cast("int"))).alias("total_casino_sessions"),
+        (_with(click) + null_click).alias("sessions_banner_clicked"),
+        (_with(game) + null_game).alias("sessions_gameplay_initiated"),
+        (_with(click & game) + null_click * null_game).alias("_clicked_and_played"))
     tot, clk, gp = F.col("total_casino_sessions"), F.col("sessions_banner_clicked"), F.col("sessions_gameplay_initiated")
     out = c.select("week_num", "user_type", tot, clk,
                    pct(clk, tot).alias("pct_sessions_clicked_banner"), gp,
@@ -100,9 +118,15 @@ def carousel_friction(events: DataFrame, cohort_from: str, cohort_to: str, date_
     s = _per_session_week(events, cohort_from, cohort_to, date_from, date_to, cutoff, section_path,
                           {"had_carousel_interaction": _ev().isin(*CAROUSEL_EVENTS),
                            "reached_gameplay": _ev() == GAMEPLAY})
-    f = s.groupBy("week_num", "user_type", "had_carousel_interaction").agg(
-        F.count(F.lit(1)).alias("session_count"),
-        F.sum("reached_gameplay").cast("long").alias("sessions_with_gameplay"))
+    flag_of = F.col("had_carousel_interaction")
+    null_flag, null_game = _null_max("had_carousel_interaction"), F.coalesce(_null_max("reached_gameplay"), F.lit(0))
+    sides = [F.struct(
+        F.lit(v).alias("had_carousel_interaction"),
+        (_with(flag_of == v) + F.when(null_flag == v, F.lit(1)).otherwise(F.lit(0))).alias("session_count"),
+        (_with((flag_of == v) & (F.col("reached_gameplay") == 1)) + F.when(null_flag == v, null_game).otherwise(F.lit(0)))
+        .alias("sessions_with_gameplay")) for v in (0, 1)]
+    f = s.groupBy("week_num", "user_type").agg(F.array(*sides).alias("sides")) \
+         .select("week_num", "user_type", F.inline("sides")).filter("session_count > 0")
     f = f.withColumn("gameplay_conversion_pct", pct(F.col("sessions_with_gameplay"), F.col("session_count")))
     label = F.when(F.col("had_carousel_interaction") == 1, F.lit(WITH_CAROUSEL)).otherwise(F.lit(NO_CAROUSEL))
     f = f.withColumn("carousel_engagement", label)
@@ -124,7 +148,7 @@ def clicker_deposit_conversion(events: DataFrame, cohort_from: str, cohort_to: s
     ev = scan(events, date_from, date_to, ["page_location"], ["user_id", "event_name"])
     ev = ev.filter(F.col("user_id").isNotNull())
     sect = in_section("page_location", section_path)
-    users = ev.groupBy("user_id").agg(
+    users = ev.filter(sect | (_ev() == DEPOSIT_OK)).groupBy("user_id").agg(   # others answer nothing here
         F.max(flag((_ev() == BANNER) & sect)).alias("clicked"),
         F.max(flag(sect)).alias("visited"),
         F.max(flag(_ev() == DEPOSIT_OK)).alias("deposited"))
@@ -157,9 +181,9 @@ def daily_trend_moving_avg(events: DataFrame, cohort_from: str, cohort_to: str,
         F.count_if(_ev() == BANNER).alias("c"), F.count_if(_ev() == GAMEPLAY).alias("g"),
         F.count_if(_ev() == DEPOSIT_OK).alias("d"))
     cohort = _cohort(events, cohort_from, cohort_to, cutoff)
-    j = pre.join(cohort, "user_id", "inner")
+    j = join_keyed(pre, cohort, ["user_id"], "inner", COPIES)
     daily = j.groupBy("activity_date", "user_type").agg(
-        F.count_distinct(session_key()).alias("total_casino_sessions"),
+        F.count("session_id").alias("total_casino_sessions"),   # one row per (day, user, session)
         F.sum("c").cast("long").alias("banner_clicks"),
         F.sum("g").cast("long").alias("gameplay_initiations"),
         F.sum("d").cast("long").alias("deposits"))

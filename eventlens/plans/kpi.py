@@ -58,10 +58,13 @@ def _any(cond: Column, names: Sequence[str]) -> tuple[str, Column, object]:
     return "bool_or", F.when(_ev().isin(*names), cond), NOT_KEYED
 
 
-def _lobby_events(events: DataFrame, date_from: str, date_to: str, user_col: str = "user_id",
-                  extra_keys: Sequence[str] = ()) -> DataFrame:
-    return scan(events, date_from, date_to,
-                ["ga_session_id", "ga_session_number", "page_location", "navigation_selection", *extra_keys],
+def _lobby_events(events: DataFrame, date_from: str, date_to: str, names: Sequence[str],
+                  user_col: str = "user_id") -> DataFrame:
+    """Page views and the events that the metrics read; no other event can
+    change a session's row, so the filter goes down to the scan."""
+    used = events.filter(_ev().isin(PAGE_VIEW, *names))
+    return scan(used, date_from, date_to,
+                ["ga_session_id", "ga_session_number", "page_location", "navigation_selection"],
                 [user_col, "event_name", "event_timestamp", "device_category", "operating_system"])
 
 
@@ -74,7 +77,7 @@ def lobby_session_baseline(events: DataFrame, date_from: str, date_to: str,
                            accuracy: int = 10000) -> DataFrame:
     """Q07: session KPI baseline (gameplay, promo, discovery, deposit guardrails,
     median and p75 time to first game) by user type and OS."""
-    ev = _lobby_events(events, date_from, date_to)
+    ev = _lobby_events(events, date_from, date_to, (GAMEPLAY, BANNER, SEARCH, SCROLL, DEP_WINDOW, DEP_OK))
     lobby = _lobby_row(lobby_root_any_locale("page_location", locale, section))
     sess = lobby_session_rollup(
         ev, lobby,
@@ -115,7 +118,7 @@ def fast_game_start_rates(events: DataFrame, date_from: str, date_to: str,
                           thresholds: Sequence[int] = (10, 15, 30, 60)) -> DataFrame:
     """Q09: share of lobby sessions starting a game within N seconds of the
     first lobby view (negative times, i.e. a game before the lobby, count)."""
-    ev = _lobby_events(events, date_from, date_to)
+    ev = _lobby_events(events, date_from, date_to, (GAMEPLAY, BANNER))
     sess = lobby_session_rollup(
         ev, _lobby_row(lobby_root("page_location", lobby_path)),
         attrs={"operating_system": (F.col("operating_system"), "min"),
@@ -143,7 +146,7 @@ def weekly_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
     session start) without the session identity, so sessions that share a
     start microsecond merge.  ``by_identity=True`` keeps every session as its
     own row (the corrected form)."""
-    ev = _lobby_events(events, date_from, date_to)
+    ev = _lobby_events(events, date_from, date_to, (GAMEPLAY, BANNER, DEP_OK, DEP_INIT, DEP_WINDOW, SCROLL, SEARCH))
     sess = lobby_session_rollup(
         ev, _lobby_row(lobby_root("page_location", lobby_path)),
         attrs={"operating_system": (F.col("operating_system"), "min"),
@@ -194,7 +197,7 @@ def daily_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
     session without any of them has NULL flags, which the rate averages skip
     (the time-threshold rates use CASE and count every session).  Q13 is
     ``user_col="user_pseudo_id"``."""
-    ev = _lobby_events(events, date_from, date_to, user_col=user_col)
+    ev = _lobby_events(events, date_from, date_to, DAILY_EVENTS, user_col)
     sess = lobby_session_rollup(
         ev, _lobby_row(lobby_root("page_location", lobby_path)), user_col=user_col,
         attrs={"operating_system": (F.col("operating_system"), "min"),

@@ -16,14 +16,12 @@ def page_category_breakdown(events: DataFrame, date_from: str, date_to: str,
     counts (the lateral UNNEST of the source, so a repeated key counts twice).
     The array is filtered to those entries before exploding, and hits are
     aggregated per (user, page) before the ordered LIKE rules run."""
+    if "event_params" not in events.columns:
+        raise ValueError("the page breakdown counts every page_location entry and needs the nested export (event_params)")
     ev = shard_range(events, date_from, date_to).filter(F.col("user_id").isNotNull())
-    if "event_params" in ev.columns:
-        pls = F.filter("event_params", lambda p: (p["key"] == "page_location")
-                       & p["value"]["string_value"].isNotNull())
-        ev = ev.select("user_id", F.explode(pls).alias("p")) \
-               .select("user_id", F.col("p.value.string_value").alias("page_location"))
-    else:
-        ev = ev.select("user_id", "page_location").filter(F.col("page_location").isNotNull())
+    pls = F.filter("event_params", lambda p: (p["key"] == "page_location") & p["value"]["string_value"].isNotNull())
+    ev = ev.select("user_id", F.explode(pls).alias("p")) \
+           .select("user_id", F.col("p.value.string_value").alias("page_location"))
     pages = ev.groupBy("user_id", "page_location").agg(F.count(F.lit(1)).alias("count"))
     cat = pages.withColumn("page_category", page_category(home_prefix, "page_location"))
     g = cat.groupBy("page_category").agg(

@@ -18,6 +18,21 @@ def _distinct(col, rsd):
     return F.count_distinct(col) if rsd is None else F.approx_count_distinct(col, rsd)
 
 
+def _sessions_and_users(ev: DataFrame, keys: list[str], rsd: float | None) -> DataFrame:
+    """Distinct (user, session) pairs and users per group.  Exact: pairs are
+    made distinct first, then counted per user, then summed, so no row is
+    multiplied for two distinct counts.  A pair without a user is no session
+    (the source's CONCAT is NULL)."""
+    if rsd is not None:
+        return ev.groupBy(*keys).agg(_distinct(session_key(), rsd).alias("sessions"),
+                                     _distinct(F.col("user_id"), rsd).alias("users"))
+    per_user = ev.select(*keys, "user_id", "session_id").distinct().groupBy(*keys, "user_id").agg(
+        F.count("session_id").alias("_n"))
+    known = F.col("user_id").isNotNull()
+    return per_user.groupBy(*keys).agg(F.coalesce(F.sum(F.when(known, F.col("_n"))), F.lit(0)).alias("sessions"),
+                                       F.count("user_id").alias("users"))
+
+
 def lobby_volume_by_host_platform(events: DataFrame, date_from: str, date_to: str,
                                   lobby_path: str = "/tr/casino",
                                   approx_rsd: float | None = None) -> DataFrame:
@@ -27,9 +42,7 @@ def lobby_volume_by_host_platform(events: DataFrame, date_from: str, date_to: st
     ev = ev.filter((F.col("event_name") == PAGE_VIEW) & F.col("session_id").isNotNull()
                    & lobby_root("page_location", lobby_path))
     ev = ev.select("user_id", "session_id", "platform", host_of("page_location").alias("host"))
-    out = ev.groupBy("host", "platform").agg(
-        _distinct(session_key(), approx_rsd).alias("sessions"),
-        _distinct(F.col("user_id"), approx_rsd).alias("users"))
+    out = _sessions_and_users(ev, ["host", "platform"], approx_rsd)
     return out.orderBy(F.desc("sessions"), "host", "platform")
 
 
@@ -53,8 +66,14 @@ def param_inventory_in_lobby_sessions(events: DataFrame, date_from: str, date_to
                      (F.col("event_name") == event_name).alias("_banner"), "event_params")
     rows = rows.filter(F.col("user_id").isNotNull() & F.col("session_id").isNotNull()
                        & (F.col("_marker") | F.col("_banner")))
-    keys = F.when(F.col("_marker"), F.array(F.lit(None).cast("string"))).otherwise(F.col("event_params.key"))
-    per_key = (rows.select("user_id", "session_id", "_marker", F.explode(keys).alias("param_key"))
+    # a row may be both (``event_name=page_view``): a marker entry and its keys
+    entry = "struct<marker:boolean,key:string>"
+    marker = F.when(F.col("_marker"), F.array(F.struct(F.lit(True), F.lit(None).cast("string")).cast(entry))) \
+        .otherwise(F.array().cast(f"array<{entry}>"))
+    own = F.when(F.col("_banner"), F.transform("event_params.key", lambda k: F.struct(F.lit(False), k).cast(entry)))
+    own = F.coalesce(own, F.array().cast(f"array<{entry}>"))
+    per_key = (rows.select("user_id", "session_id", F.explode(F.concat(marker, own)).alias("e"))
+               .select("user_id", "session_id", F.col("e.marker").alias("_marker"), F.col("e.key").alias("param_key"))
                .groupBy("user_id", "session_id", "_marker", "param_key").agg(F.count(F.lit(1)).alias("n")))
     seen = F.max(F.col("_marker").cast("int")).over(Window.partitionBy("user_id", "session_id"))
     hit = per_key.withColumn("_seen", seen).filter((F.col("_seen") == 1) & ~F.col("_marker"))
@@ -70,9 +89,7 @@ def lobby_volume_by_device(events: DataFrame, date_from: str, date_to: str,
     ev = ev.filter((F.col("event_name") == PAGE_VIEW) & F.col("session_id").isNotNull()
                    & lobby_root("page_location", lobby_path))
     keys = ["host", "brand", "platform", "device_category", "operating_system"]
-    out = ev.withColumn("host", host_of("page_location")).groupBy(*keys).agg(
-        _distinct(session_key(), approx_rsd).alias("sessions"),
-        _distinct(F.col("user_id"), approx_rsd).alias("users"))
+    out = _sessions_and_users(ev.withColumn("host", host_of("page_location")), keys, approx_rsd)
     return out.orderBy(F.desc("sessions"), *keys)
 
 
@@ -119,8 +136,7 @@ def lobby_sessions_by_url_variant(events: DataFrame, date_from: str, date_to: st
     keys = ["host", "brand", "lobby_path_variant", "operating_system"]
     ev = ev.withColumn("host", host_of("page_location")) \
            .withColumn("lobby_path_variant", lobby_path_variant("page_location", locale, section))
-    out = ev.groupBy(*keys).agg(_distinct(session_key(), approx_rsd).alias("sessions"),
-                                _distinct(F.col("user_id"), approx_rsd).alias("users"))
+    out = _sessions_and_users(ev, keys, approx_rsd)
     return out.orderBy(F.desc("sessions"), *keys)
 
 

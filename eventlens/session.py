@@ -28,17 +28,18 @@ DEFAULT_CONF = {
 MB = 1024 * 1024
 
 
-def cluster_conf(total_cores: int, partition_bytes: int = 256 * MB) -> dict[str, str]:
+def cluster_conf(total_cores: int, partition_bytes: int = 256 * MB, input_bytes: int = 0) -> dict[str, str]:
     """Settings for large inputs (tens of TB on hundreds of executors).
 
-    Shuffles start with about three partitions per core (at least 2,000) and
-    AQE coalesces them to ``partition_bytes`` from measured sizes; file splits
+    Shuffles start with enough partitions that even the whole input shuffled
+    once gives ``partition_bytes`` each (AQE merges partitions but never adds
+    any), and at least three per core and 2,000; AQE coalesces them from
+    measured sizes; file splits
     use the same size, so a scan task and a reduce task hold a comparable
     amount of data.  Skew handling splits partitions five times the median and
     above ``partition_bytes``.  Broadcast stays with AQE's measured threshold
-    only (the static, estimate-based one is off).  Core settings (the
-    serializer) take effect when passed to ``build_session`` at start-up."""
-    parts = max(2000, 3 * total_cores)
+    only (the static, estimate-based one is off).  """
+    parts = max(2000, 3 * total_cores, -(-input_bytes // partition_bytes))
     size = str(partition_bytes)
     return {
         "spark.sql.shuffle.partitions": str(parts),
@@ -49,8 +50,6 @@ def cluster_conf(total_cores: int, partition_bytes: int = 256 * MB) -> dict[str,
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * MB),
-        # row checkpoints (Q19's slim projection) are written with Kryo
-        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
 
 
@@ -81,7 +80,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
         d = tempfile.mkdtemp(prefix="eventlens-ckpt-", dir=os.environ.get("EVENTLENS_SCRATCH", "/tmp"))
         sc.setCheckpointDir(d)

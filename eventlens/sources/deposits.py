@@ -1,11 +1,43 @@
-"""Reader for the flat payments table."""
+"""The flat payments table, as delivered or partitioned by day."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from eventlens.functions.timeutil import utc_date
 from eventlens.schema import DEPOSITS
 
+DAY = "deposit_day"
+ZONED = r"\d{1,2}:\d{2}.*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)$"
+
 
 def read_deposits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DEPOSITS).parquet(path)
+
+
+def payment_day(created: str | Column, skip_bad_dates: bool = False) -> Column:
+    """``DATE(CAST(created AS TIMESTAMP))``: the UTC day of a text, whatever the
+    session's time zone; an offset in the text is applied, a text without one
+    is UTC.  A text that is no time fails the job, as in the source, or with
+    ``skip_bad_dates`` gives NULL, so its payment is left out."""
+    c = F.trim(F.col(created) if isinstance(created, str) else created)
+    zoned = utc_date(F.unix_micros(c.try_cast("timestamp")))
+    day = F.when(c.rlike(ZONED), zoned).otherwise(c.try_cast("timestamp_ntz").cast("date"))
+    if skip_bad_dates:
+        return day
+    bad = c.isNotNull() & day.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit("payment with an unparsable date: "), c)).cast("date")).otherwise(day)
+
+
+def write_deposits_by_day(deposits: DataFrame, path: str, skip_bad_dates: bool = False) -> None:
+    """Payments partitioned by ``deposit_day``; replaces the days written and
+    leaves others alone.  Payments with a bad or no date go to the null day."""
+    day = payment_day("date_created", skip_bad_dates)
+    (deposits.withColumn(DAY, day).hint("rebalance", DAY).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path))
+
+
+def read_deposits_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """The payments analyses prune such a table to the days they need."""
+    from pyspark.sql.types import DateType, StructType
+    return spark.read.schema(StructType([*DEPOSITS.fields]).add(DAY, DateType())).option("basePath", path).parquet(path)

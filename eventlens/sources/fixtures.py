@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-import os
 import threading
 import uuid
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from eventlens.session import checkpoint_dir
 from eventlens.sources.deposits import read_deposits
 from eventlens.sources.events import read_events
 
-FIXTURE_VERSION = "fixture-v2"
+FIXTURE_VERSION = "fixture-v3"
 
 # Fixed values of the fixture formulas.
 BUCKET_US = 259_200_000_000          # 3-day session bucket
@@ -38,13 +37,13 @@ class FixtureParams:
     date_to: str = "20240131"
     cohort_cutoff: str = "2024-01-09"
     home_prefix: str = "https://site%.com"
-    deposit_from: str = "1998-01-01"
-    deposit_to: str = "1998-03-31"
+    deposit_from: str = "2023-12-31"
+    deposit_to: str = "2024-01-31"
     business_unit: str = "SITE_A"
     # (label, first day, last day): baseline, onset, full restriction
-    periods: tuple = (("1_baseline", "1998-01-01", "1998-01-07"),
-                      ("2_onset", "1998-01-10", "1998-01-31"),
-                      ("3_full", "1998-02-01", "1998-03-31"))
+    periods: tuple = (("1_baseline", "2023-12-31", "2024-01-08"),
+                      ("2_onset", "2024-01-09", "2024-01-19"),
+                      ("3_full", "2024-01-20", "2024-01-31"))
 
 
 def _s(x) -> Column:
@@ -71,7 +70,11 @@ def fixture_events(raw: DataFrame) -> DataFrame:
                       k.alias("k"), micros_of_ntz("ts").alias("us"))
     base = base.withColumn("s_us", F.col("us") - F.col("us") % F.lit(BUCKET_US))
     base = base.withColumn("sn", F.floor((F.col("s_us") - F.lit(ORIGIN_US)) / F.lit(BUCKET_US)).cast("long") + 1)
-    base = base.filter(~((F.col("uid") % 4 == 3) & (F.col("sn") < 4)))
+    # late users: a quarter of the users appear nine days (three sessions) later
+    late = F.when((F.col("uid") % 4 == 3) & (F.col("sn") < 4), F.lit(3)).otherwise(F.lit(0)).cast("long")
+    base = base.withColumn("late", late).select(
+        "eid", "uid", "etype", "k", (F.col("us") + F.col("late") * BUCKET_US).alias("us"),
+        (F.col("s_us") + F.col("late") * BUCKET_US).alias("s_us"), (F.col("sn") + F.col("late")).alias("sn"))
 
     uid, eid, k, et = F.col("uid"), F.col("eid"), F.col("k"), F.col("etype")
     ts = F.col("s_us") + F.floor((F.col("us") - F.col("s_us")) / F.lit(TIME_SQUEEZE)).cast("long")
@@ -143,9 +146,11 @@ def fixture_events(raw: DataFrame) -> DataFrame:
 def fixture_deposits(orders: DataFrame) -> DataFrame:
     """Payments table (schema ``eventlens.schema.DEPOSITS``) from ``orders``."""
     amount = F.round(F.col("o_totalprice").cast("decimal(18,2)") / F.lit(1000), 2).cast("double")
+    # every order falls on a day of the event span
+    day = F.date_add(F.lit("2023-12-31").cast("date"), F.pmod(F.unix_date(F.col("o_orderdate").cast("date")), F.lit(32)).cast("int"))
     return orders.select(
         (F.col("o_custkey") % 200).cast("string").alias("player_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date_created"),
+        F.concat(day.cast("string"), F.lit(" 12:00:00")).alias("date_created"),
         F.when(F.col("o_orderkey") % 50 == 0, F.lit(0.0)).otherwise(amount).alias("transaction_amount_EUR"),
         F.when(F.col("o_orderstatus") == "O", F.lit("CAPTURED"))
         .when(F.col("o_orderstatus") == "F", F.lit("COMPLETED"))
@@ -187,15 +192,15 @@ def _publish(spark: SparkSession, df: DataFrame, path: str, partition_by: str |
         raise RuntimeError(f"could not publish {path}")
 
 
-def _fingerprint(sf_dir: str) -> str:
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Input files plus the adapter's own code: a changed formula never reuses
     tables written by an older one."""
     h = hashlib.sha1(FIXTURE_VERSION.encode())
     for fn in (fixture_events, fixture_deposits, _param):
         h.update(inspect.getsource(fn).encode())
     for t in ("events", "orders"):
-        st = os.stat(f"{sf_dir}/{t}.parquet")
-        h.update(f"{os.path.abspath(sf_dir)}|{t}|{st.st_size}|{st.st_mtime_ns}".encode())
+        fs, p = _fs(spark, f"{sf_dir}/{t}.parquet")
+        h.update(f"{p}|{fs.getContentSummary(p).getLength()}|{fs.getFileStatus(p).getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
@@ -211,7 +216,7 @@ def load_fixture(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     if not materialize:
         return (fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")),
                 fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet")))
-    root = f"{checkpoint_dir(spark).rstrip('/')}/eventlens-fixture-{_fingerprint(sf_dir)}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/eventlens-fixture-{_fingerprint(spark, sf_dir)}"
     memo_key = (spark.sparkContext.applicationId, root)
     with _LOCK:
         hit = _MEMO.get(memo_key)
@@ -219,7 +224,7 @@ def load_fixture(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
             return hit
         ev_path, dep_path = f"{root}/events", f"{root}/deposits"
         if not _fs_exists(spark, f"{ev_path}/_SUCCESS"):
-            _publish(spark, fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")).repartition("event_date"),
+            _publish(spark, fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")).hint("rebalance", "event_date"),
                      ev_path, "event_date")
         if not _fs_exists(spark, f"{dep_path}/_SUCCESS"):
             _publish(spark, fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet")), dep_path)

@@ -7,8 +7,9 @@ projects the known parameters to typed columns, keeps the shard partitioning
 (``event_date``), and sorts rows within each file by (user, session) so
 Parquet min/max statistics cluster by user.  All analyses accept the flat
 table in place of the nested one (``flatten`` passes flat columns through),
-except the parameter-key inventory (Q02), which needs the full array.  On the
-flat table a repeated parameter key is reduced to its first entry.
+except the parameter-key inventory (Q02) and the page breakdown (Q21), which
+count every entry of the array and refuse a flat table: it keeps only the first
+entry of a repeated parameter key.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ def to_flat(events: DataFrame, keys: Iterable[str] = INT_PARAMS + STRING_PARAMS)
 
 def write_flat_events(events: DataFrame, path: str, keys: Iterable[str] = INT_PARAMS + STRING_PARAMS,
                       mode: str = "overwrite") -> None:
+    """``overwrite`` replaces the days that ``events`` holds and leaves other
+    days alone.  Rows are dealt out by day and rebalanced: AQE splits a large
+    day into several files of the advisory size."""
     flat = to_flat(events, keys)
-    (flat.repartition("event_date").sortWithinPartitions("event_date", "user_id", "session_id")
-     .write.mode(mode).partitionBy("event_date").parquet(path))
+    (flat.hint("rebalance", "event_date").sortWithinPartitions("event_date", "user_id", "session_id")
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path))
 
 
 def read_flat_events(spark: SparkSession, path: str) -> DataFrame:

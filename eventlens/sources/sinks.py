@@ -13,6 +13,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                   partition_by: str | None = None) -> None:
     w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(partition_by)
+    if partition_by:   # replaces the partitions written, not the others
+        w = w.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     w.parquet(path)

@@ -39,7 +39,10 @@ WITH b0 AS (
 ),
 b1 AS (SELECT *, us - us % 259200000000 AS s_us FROM b0),
 b2 AS (SELECT *, (s_us - 1703980800000000) // 259200000000 + 1 AS sn FROM b1),
-b3 AS (SELECT * FROM b2 WHERE NOT (uid % 4 = 3 AND sn < 4)),
+b3 AS (
+  SELECT eid, uid, etype, k, us + 259200000000 * l AS us, s_us + 259200000000 * l AS s_us, sn + l AS sn
+  FROM (SELECT *, CASE WHEN uid % 4 = 3 AND sn < 4 THEN 3 ELSE 0 END AS l FROM b2)
+),
 b4 AS (
   SELECT *,
     s_us + (us - s_us) // 500 AS event_timestamp,
@@ -99,7 +102,7 @@ ev AS (
 pay AS (
   SELECT
     CAST(o_custkey % 200 AS VARCHAR) AS player_id,
-    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date_created,
+    CAST(DATE '2023-12-31' + CAST((CAST(o_orderdate AS DATE) - DATE '1970-01-01') % 32 AS INTEGER) AS VARCHAR) || ' 12:00:00' AS date_created,
     CASE WHEN o_orderkey % 50 = 0 THEN 0.0
          ELSE CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) / 1000, 2) AS DOUBLE) END AS "transaction_amount_EUR",
     CASE o_orderstatus WHEN 'O' THEN 'CAPTURED' WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'DECLINED' END AS payment_status,
@@ -587,7 +590,7 @@ def paid(extra: str = "") -> str:
   SELECT p.player_id, k.user_type, CAST(CAST(p.date_created AS TIMESTAMP) AS DATE) AS deposit_date,
          CAST(round(p."transaction_amount_EUR" * 100) AS HUGEINT) AS cents
   FROM pay p JOIN known k ON k.player_id = p.player_id
-  WHERE CAST(CAST(p.date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
+  WHERE CAST(CAST(p.date_created AS TIMESTAMP) AS DATE) BETWEEN DATE '2023-12-31' AND DATE '2024-01-31'
     AND p.business_unit_name = 'SITE_A' AND p.payment_status IN ('CAPTURED', 'COMPLETED'){extra}
 )"""
 
@@ -641,9 +644,9 @@ FROM runs GROUP BY ALL
 
 ORACLE["deposit_period_comparison"] = q(PAY_COHORT + paid(' AND p."transaction_amount_EUR" > 0') + """
 , labelled AS (
-  SELECT *, CASE WHEN deposit_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-07' THEN '1_baseline'
-                 WHEN deposit_date BETWEEN DATE '1998-01-10' AND DATE '1998-01-31' THEN '2_onset'
-                 WHEN deposit_date BETWEEN DATE '1998-02-01' AND DATE '1998-03-31' THEN '3_full' END AS period
+  SELECT *, CASE WHEN deposit_date BETWEEN DATE '2023-12-31' AND DATE '2024-01-08' THEN '1_baseline'
+                 WHEN deposit_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-19' THEN '2_onset'
+                 WHEN deposit_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-31' THEN '3_full' END AS period
   FROM paid
 )
 SELECT period, user_type, count(DISTINCT player_id) AS depositors, count(*) AS transactions,
@@ -651,3 +654,13 @@ SELECT period, user_type, count(DISTINCT player_id) AS depositors, count(*) AS t
        sum(cents)::DOUBLE / 100 AS "total_deposited_EUR"
 FROM labelled WHERE period IS NOT NULL GROUP BY ALL
 """)
+
+# Days in both results; the correlation over two rounded columns, to 9 decimals.
+ORACLE["deposit_vs_banner_correlation"] = f"""
+SELECT d.user_type, count(*) AS days,
+       round(covar_pop(d."avg_deposit_amount_EUR", b.banner_click_rate_pct)
+             / nullif(stddev_pop(d."avg_deposit_amount_EUR") * stddev_pop(b.banner_click_rate_pct), 0), 9) AS corr_amount_vs_click_rate
+FROM ({ORACLE["deposit_amount_stats_by_cohort"]}) d
+JOIN ({ORACLE["daily_trend_moving_avg"]}) b ON b.activity_date = d.deposit_date AND b.user_type = d.user_type
+GROUP BY d.user_type
+"""

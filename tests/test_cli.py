@@ -23,9 +23,20 @@ def test_cli_writes_csv(spark):
     assert len(lines) > 1
 
 
+def test_output_is_asked_for_and_tuples_are_typed():
+    from eventlens.__main__ import _coerce, main
+    import pytest
+    with pytest.raises(SystemExit):
+        main(["lobby_event_inventory", "--events", "x"])
+    assert _coerce("thresholds", "30", (10, 15)) == (30,)
+    assert _coerce("thresholds", "10,30", (10, 15)) == (10, 30)
+    assert _coerce("names", "a,b", ("x",)) == ("a", "b")
+
+
 def test_cluster_conf_values():
     from eventlens import cluster_conf
     c = cluster_conf(4000)
     assert c["spark.sql.shuffle.partitions"] == "12000"
     assert cluster_conf(100)["spark.sql.shuffle.partitions"] == "2000"
+    assert cluster_conf(100, input_bytes=100 << 40)["spark.sql.shuffle.partitions"] == str((100 << 40) // (256 << 20))
     assert c["spark.sql.autoBroadcastJoinThreshold"] == "-1"

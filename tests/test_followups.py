@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from eventlens import plans
+from eventlens.plans.followups import daily_correlation
 
 
 def test_x1_correlation_on_shared_days(spark):
@@ -14,7 +14,7 @@ def test_x1_correlation_on_shared_days(spark):
     ban = spark.createDataFrame([(x, "NEW_USER", 2.0 * i + 1) for i, x in enumerate(d[1:], 1)]
                                 + [(dt.date(2025, 12, 1), "NEW_USER", 5.0)],
                                 "activity_date date, user_type string, banner_click_rate_pct double")
-    r = plans.deposit_vs_banner_correlation(dep, ban).collect()
+    r = daily_correlation(dep, ban).collect()
     assert len(r) == 1 and r[0].days == 4
     assert r[0].corr_amount_vs_click_rate == pytest.approx(1.0)
 

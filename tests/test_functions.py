@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventlens.functions import (
     host_of, identity_key, in_section, lobby_path_variant, lobby_root, lobby_root_any_locale,
     page_category, param_int, param_str, secs_between, user_type_by_session_number, utc_date,
-    week_monday, week_num_sunday, week_sunday, whole_seconds_between)
+    week_monday, week_num_sunday, week_sunday)
 from tests.helpers import T0, ev, events_df
 
 
@@ -92,8 +92,8 @@ def test_utc_date_independent_of_session_zone(spark):
 
 def test_seconds(spark):
     df = spark.createDataFrame([(0, 1_500_000), (0, -1_500_000), (0, 999_999), (None, 5)], "a long, b long")
-    got = df.select(secs_between("b", "a"), whole_seconds_between("b", "a")).collect()
-    assert [tuple(r) for r in got] == [(1.5, 1), (-1.5, -1), (0.999999, 0), (None, None)]
+    got = df.select(secs_between("b", "a")).collect()
+    assert [r[0] for r in got] == [1.5, -1.5, 0.999999, None]
 
 
 def test_identity_and_user_type(spark):
@@ -103,11 +103,3 @@ def test_identity_and_user_type(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "n long")
     assert [r[0] for r in df.select(user_type_by_session_number("n")).collect()] == [
         "NEW_USER", "RETURNING_USER", "RETURNING_USER"]
-
-
-def test_explode_params_lateral_semantics(spark):
-    from eventlens.functions import explode_params
-    p = {"key": "k", "value": {"string_value": "v", "int_value": None}}
-    rows = [ev("a", raw_params=[p, p]), ev("b", raw_params=[]), ev("c") | {"event_params": None}]
-    out = explode_params(events_df(spark, rows), ["user_id"]).collect()
-    assert [(r.user_id, r.param_key, r.param_string_value) for r in out] == [("a", "k", "v"), ("a", "k", "v")]

@@ -20,7 +20,7 @@ def tables(spark):
     return events, deposits, read_flat_events(spark, path)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.ANALYSES if n != "param_inventory_in_lobby_sessions"))
+@pytest.mark.parametrize("name", sorted(set(E.ANALYSES) - E.NESTED_ONLY))
 def test_flat_equals_nested(spark, tables, name):
     events, deposits, flat = tables
     a = sorted(map(tuple, E.ANALYSES[name](events, deposits).collect()), key=repr)
@@ -37,7 +37,17 @@ def test_flat_layout_is_pruned_and_typed(spark, tables):
     assert "ReadSchema: struct<event_name:string,platform:string,device_category:string,page_location:string>" in plan
 
 
-def test_key_inventory_needs_nested(spark, tables):
+@pytest.mark.parametrize("name", sorted(E.NESTED_ONLY))
+def test_array_counts_need_nested(spark, tables, name):
     _, deposits, flat = tables
     with pytest.raises(ValueError):
-        E.ANALYSES["param_inventory_in_lobby_sessions"](flat, deposits)
+        E.ANALYSES[name](flat, deposits)
+
+
+def test_a_new_day_leaves_older_days(spark):
+    from helpers import ev, events_df
+    path = tempfile.mkdtemp(prefix="eventlens-days-", dir=os.environ.get("EVENTLENS_SCRATCH", "/tmp")) + "/flat"
+    for day, user in (("20251101", "a"), ("20251102", "b"), ("20251102", "c")):
+        write_flat_events(events_df(spark, [ev(user, date=day)]), path)
+    got = {(r.event_date, r.user_id) for r in read_flat_events(spark, path).select("event_date", "user_id").collect()}
+    assert got == {("20251101", "a"), ("20251102", "c")}   # the third write replaced its own day only

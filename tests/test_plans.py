@@ -12,18 +12,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_plan_shape(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
-    if name == "banner_return_vs_gameplay_weekly":
-        # branches read the checkpointed slim projection; the shard filter
-        # pruned partitions when it was written
-        assert "ExistingRDD" in p
-    else:
-        assert "PartitionFilters: [isnotnull(event_date" in p, "shard range must prune partitions"
+    assert "ExistingRDD" not in p
+    assert "PartitionFilters: [isnotnull(event_date" in p, "shard range must prune partitions"
 
 
 def test_filter_pushdown_and_pruning(spark):
@@ -32,3 +28,35 @@ def test_filter_pushdown_and_pruning(spark):
     # only the columns the query reads are in the scan schema (nested pruning of device)
     assert "ReadSchema: struct<event_name:string,platform:string,device:struct<category:string>," in p
     assert "user_pseudo_id" not in p
+
+
+@pytest.mark.parametrize("name", ["lobby_session_baseline", "fast_game_start_rates", "weekly_lobby_kpi", "daily_lobby_kpi",
+                                  "daily_lobby_kpi_pseudo_id", "tracking_outages"])
+def test_rollup_reads_only_the_events_it_uses(spark, name):
+    p = plan(E.queries()[name](spark, SF))
+    assert "PushedFilters: [In(event_name, [" in p
+
+
+def test_two_distinct_counts_do_not_multiply_rows(spark):
+    for name in ("lobby_volume_by_host_platform", "lobby_volume_by_device", "lobby_sessions_by_url_variant"):
+        assert "Expand" not in plan(E.queries()[name](spark, SF))
+
+
+def test_login_joins_spread_null_and_frequent_users(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("lobby_bounce_rate", "banner_return_vs_gameplay_weekly", "lobby_funnel_weekly", "carousel_friction", "daily_trend_moving_avg"):
+            p = plan(E.queries()[name](spark, SF))
+            assert "hashpartitioning(_join_key" in p and "_join_copy" in p, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_building_the_weekly_return_starts_no_job(spark):
+    run = E.queries()["banner_return_vs_gameplay_weekly"]
+    run(spark, SF)  # the adapted tables exist from here on
+    spark.sparkContext.setJobGroup("build", "build")
+    run(spark, SF)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as E
-from eventlens.operators import anti_join_keyed, exists_flag, exists_within
+from eventlens.operators import exists_within, join_keyed, left_join_keyed
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,13 +31,42 @@ def test_exists_within_equals_brute_force(spark, seed):
         assert got[i] == want, (i, u, ts)
 
 
-def test_anti_and_exists_keep_null_semantics(spark):
-    left = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), ("b", None)], "user_id string, session_id long")
-    right = spark.createDataFrame([("a", 1), (None, 1), ("b", None)], "user_id string, session_id long")
-    anti = sorted(anti_join_keyed(left, right, ["user_id", "session_id"]).collect(), key=repr)
-    assert sorted(map(tuple, anti), key=repr) == sorted([("a", 2), (None, 1), ("b", None)], key=repr)
-    ex = {(r.user_id, r.session_id): r.hit for r in exists_flag(left, right, ["user_id", "session_id"], "hit").collect()}
-    assert ex == {("a", 1): 1, ("a", 2): 0, (None, 1): 0, ("b", None): 0}
+def test_keyed_join_keeps_null_semantics(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), ("b", None), ("n5", 1), ("v", 1)], "user_id string, session_id long")
+    right = spark.createDataFrame([("a", 1, 7), (None, 1, 8), ("b", None, 9), ("v", 1, 5)], "user_id string, session_id long, x int")
+    for copies in (1, 4):
+        got = sorted(map(tuple, left_join_keyed(left, right, ["user_id", "session_id"], copies).collect()), key=repr)
+        assert got == sorted([("a", 1, 7), ("a", 2, None), (None, 1, None), ("b", None, None), ("n5", 1, None), ("v", 1, 5)], key=repr)
+        inner = sorted(map(tuple, join_keyed(left, right, ["user_id", "session_id"], "inner", copies).collect()))
+        assert inner == [("a", 1, 7), ("v", 1, 5)]
+
+
+def test_null_and_frequent_users_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("-1", "false", "16")):
+        spark.conf.set(k, v)
+    try:
+        user = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("u"), F.col("id") % 500))
+        left = spark.range(30000).select("id", user.alias("user_id"))
+        right = left.filter("user_id is not null").groupBy("user_id").agg(F.min("id").alias("first"))
+        out = left_join_keyed(left, right, ["user_id"], 16).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+        assert sum(sizes) == 30000 and max(sizes) <= 2.5 * 30000 / 16
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_one_busy_user_in_one_bucket_is_linear(spark):
+    import time
+    from pyspark.sql import functions as F
+    p = spark.range(40000).select(F.lit("u").alias("user_id"), (F.col("id") * 1000).alias("ts"))
+    t = p.withColumnRenamed("ts", "event_timestamp")
+    began = time.time()
+    out = exists_within(p, t, "user_id", "ts", "event_timestamp", 1_000_000, 300_999_999, "f")
+    assert out.agg(F.sum("f")).first()[0] == 39000
+    assert time.time() - began < 60   # a frame recomputed per row takes minutes
 
 
 RATE_QUERIES = ["lobby_session_baseline", "fast_game_start_rates", "identifier_coverage", "weekly_lobby_kpi",

@@ -203,16 +203,60 @@ def test_h17_zero_amounts_kept_in_q22_dropped_in_q23(spark):
     assert (q23.total_deposit_transactions, q23.avg_deposit_amount_EUR, q23.stddev_amount_EUR) == (1, 10.0, None)
 
 
-def test_dirty_payment_timestamp_is_skipped(spark):
+PAYMENT = ("player_id string, date_created string, transaction_amount_EUR double, payment_status string, "
+           "business_unit_name string")
+
+
+def test_dirty_payment_timestamp_fails_unless_asked_to_skip(spark):
+    import pytest
     events = events_df(spark, [ev("7", T0, pl=None)])
     dep = spark.createDataFrame(
-        [("7", "2025-11-05 10:00:00", 10.0, "CAPTURED", "U"), ("7", "not a time", 5.0, "CAPTURED", "U")],
-        "player_id string, date_created string, transaction_amount_EUR double, payment_status string, "
-        "business_unit_name string")
-    r = plans.deposit_amount_stats_by_cohort(events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U").collect()
+        [("7", "2025-11-05 10:00:00", 10.0, "CAPTURED", "U"), ("7", "not a time", 5.0, "CAPTURED", "U")], PAYMENT)
+    args = (events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U")
+    with pytest.raises(Exception, match="unparsable date"):
+        plans.deposit_amount_stats_by_cohort(*args).collect()
+    r = plans.deposit_amount_stats_by_cohort(*args, skip_bad_dates=True).collect()
     assert [(x.total_deposit_transactions, x.total_deposited_EUR) for x in r] == [(1, 10.0)]
 
 
+def test_payment_day_applies_the_offset_in_any_session_zone(spark):
+    from eventlens.sources.deposits import payment_day
+    texts = ["2025-11-10T23:30:00-03:00", "2025-11-11 00:10:00", "2025-11-10T23:59:59Z", "2025-11-11T01:00:00+02:00", "2025-11-10", "2025-11-10 23:00:00.5 UTC"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r[0] for r in df.select(payment_day("d").cast("string")).collect()]
+            assert got == ["2025-11-11", "2025-11-11", "2025-11-10", "2025-11-10", "2025-11-10", "2025-11-10"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_stddev_of_large_close_amounts(spark):
+    events = events_df(spark, [ev(u, T0, pl=None) for u in "789"])
+    dep = spark.createDataFrame([(u, "2025-11-05 10:00:00", 100000000.0 + i / 100, "CAPTURED", "U") for i, u in enumerate("789", 1)], PAYMENT)
+    r = plans.deposit_amount_stats_by_cohort(events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U").collect()
+    assert [x.stddev_amount_EUR for x in r] == [0.01]
+
+
+def test_payments_by_day_are_pruned_and_appended(spark, tmp_path):
+    from eventlens.sources.deposits import read_deposits_by_day, write_deposits_by_day
+    events = events_df(spark, [ev("7", T0, pl=None)])
+    for day, amount in (("2025-11-05", 10.0), ("2025-11-06", 20.0), ("2025-12-06", 40.0)):
+        write_deposits_by_day(spark.createDataFrame([("7", f"{day} 10:00:00", amount, "CAPTURED", "U")], PAYMENT), str(tmp_path / "d"))
+    dep = read_deposits_by_day(spark, str(tmp_path / "d"))
+    out = plans.deposit_amount_stats_by_cohort(events, dep, *ALL, "2099-01-01", "2025-11-01", "2025-11-30", "U")
+    assert [r.total_deposited_EUR for r in out.collect()] == [10.0, 20.0]
+    assert "PartitionFilters: [isnotnull(deposit_day" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_inventory_of_page_views_counts_their_own_keys(spark):
+    rows = [ev("u1", T0, "page_view", pl="https://a.example.com/tr/casino"), ev("u1", T0 + S, "page_view", pl="https://a.example.com/x")]
+    out = plans.param_inventory_in_lobby_sessions(events_df(spark, rows), *ALL, event_name="page_view").collect()
+    assert {r.param_key: r.occurrences for r in out}["page_location"] == 2
+
+
 def test_q19_rate_is_null_without_session_ids(spark):
     rows = [ev("u1", T0, "dynamic_content", session=None, pl=SECTION),
             ev("u1", T0 + 5 * S, "page_view", session=None, pl=SECTION)]

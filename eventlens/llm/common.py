@@ -42,7 +42,7 @@ def prefilter(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ID
     enough to broadcast (it is counted first); otherwise return ``df`` as is.
     Callers join with ``ids`` afterwards, so this only saves shuffle bytes."""
     ids = ids.select(key).distinct()
-    if ids.limit(limit + 1).count() > limit:
+    if ids.count() > limit:
         return df
     return df.join(F.broadcast(ids), key, "left_semi")
 
@@ -50,7 +50,7 @@ def prefilter(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ID
 def exclude(df: DataFrame, rows: DataFrame, on: list[str], limit: int = BROADCAST_IDS) -> DataFrame:
     """``df`` without the keys in ``rows``, which are broadcast when their
     count is within the limit."""
-    small = rows.limit(limit + 1).count() <= limit
+    small = rows.count() <= limit
     return df.join(F.broadcast(rows) if small else rows, on, "left_anti")
 
 

@@ -33,8 +33,9 @@ from .kernel import logistic, nystrom_map, svm
 from .words import slices
 
 #: Bounds of training: labelled texts per class, candidate witnesses, clean
-#: terms (random, and mined), landmarks.
-PER_CLASS, CANDIDATES, CLEAN_TERMS, MINED, LANDMARKS = 2500, 4000, 2500, 1500, 256
+#: terms (random, and mined), landmarks.  The driver holds at most
+#: PER_CLASS * CANDIDATES (text, term) pairs, and far fewer in practice.
+PER_CLASS, CANDIDATES, CLEAN_TERMS, MINED, LANDMARKS = 2500, 2000, 2500, 1500, 256
 DECAY = 0.5
 TABLE = 1 << 22
 THRESHOLD = 0.7

@@ -121,21 +121,26 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return few.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "text")
 
 
+def _unit_rows(bits: list[bytes]) -> np.ndarray:
+    """Packed presence rows, each over the root of its size."""
+    rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
+    return rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1)).astype(np.float32)[:, None]
+
+
 def fit(sample: DataFrame) -> Model | None:
     """Model of a bounded sample (lang, text); None without a usable row."""
     found = sorted((r.lang, bytes(r.bits)) for r in sample.mapInArrow(_collect_presence, "lang string, bits binary").collect())
     if not found:
         return None
     languages = sorted({lang for lang, _ in found})
-    rows = np.unpackbits(np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), -1), axis=1)
-    x = rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1))[:, None]
     label = np.array([languages.index(lang) for lang, _ in found])
     # every language gives landmarks in turn
     turn = np.concatenate([np.arange(n) for n in np.bincount(label)])
-    marks = x[np.argsort(turn, kind="stable")[:LANDMARKS]]
+    marks = _unit_rows([found[i][1] for i in np.argsort(turn, kind="stable")[:LANDMARKS]])
     to_features = nystrom_map((marks @ marks.T).astype(np.float64))
-    z = (x @ marks.T).astype(np.float64) @ to_features
-    weights, offsets = ridge(z, np.eye(len(languages))[label], RIDGE * len(x))
+    z = np.concatenate([_unit_rows([b for _, b in found[lo:lo + 256]]) @ marks.T for lo in range(0, len(found), 256)])
+    z = z.astype(np.float64) @ to_features
+    weights, offsets = ridge(z, np.eye(len(languages))[label], RIDGE * len(found))
     return Model(languages, (marks.T @ (to_features @ weights)).astype(np.float32), offsets)
 
 

@@ -34,6 +34,10 @@ from .words import slices, window_hashes
 EXTRA = 10
 #: Pivots per list in the first round, and growth per round.
 PIVOTS, GROWTH = 2, 8
+#: With at most this many (pivot, member) pairs left to filter, or 50 per member,
+#: all remaining members become pivots in one round; hash range that gives each
+#: its own place.
+MANY, ALL = 200_000, 1 << 24
 #: Comparisons that share one copy of a pivot's set.
 FAN = 200
 _NO_ID = 2**63 - 1
@@ -179,10 +183,15 @@ def _round(posts: DataFrame, comp: DataFrame | None, used: DataFrame | None, piv
         members = members.join(used, ["tok", "sig"], "left_anti")
     members = stage(members, "members")
     lists = members.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(
-        F.sum("c").alias("members"), F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("top"))
-    lists = stage(lists.filter("comps > 1").drop("comps"), "lists")
-    if lists.isEmpty():
+        F.sum("c").alias("members"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
+    lists = stage(lists.filter("comps > 1").select("tok", "members", "top.comp", "top.c").withColumnsRenamed(
+        {"comp": "top", "c": "largest"}), "lists")
+    total, work = lists.agg(F.sum("members"), F.sum(F.col("members") * (F.col("members") - F.col("largest")))).first()
+    if not total:
         return None
+    if comp is not None and work <= max(MANY, 50 * total):
+        pivots = ALL  # few are left outside the largest components: ask them all at once
+    lists = lists.drop("largest")
     members = skew_join(members, lists, ["tok"], "members")
     asking = members if comp is None else members.filter("comp <> top")
     chosen = asking.groupBy("tok", "members", F.pmod(F.xxhash64("sig", F.lit(pivots)), F.lit(pivots)).alias("s")).agg(

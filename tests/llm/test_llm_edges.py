@@ -3,6 +3,7 @@ columns with clashing names; brute force where SQL has no form."""
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -44,8 +45,16 @@ def test_words_and_windows():
     assert len(window_hashes(keys, 8)) == 0
 
 
+def word_list(text):
+    return [x for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
+
+
+def lower_ascii(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
 def brute_repeats(rows, w):
-    seqs = [((2**63 - 1 if d is None else d), (t or "").replace("\x0b", " ").split(" ") if False else [x for x in __import__("re").split("[\x20\x09-\x0d]+", t or "") if x]) for d, t in rows]
+    seqs = [(2**63 - 1 if d is None else d, word_list(t)) for d, t in rows]
     low = {}
     for d, s in seqs:
         for i in range(len(s) - w + 1):
@@ -83,8 +92,7 @@ def test_exact_dedup(spark):
     rows = [*EDGES, (20, "Same"), (21, "sAME"), (22, "same "), (21, "same"), (None, "SAME")]
     docs = docs_of(spark, rows)
 
-    def lower(t):
-        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    lower = lower_ascii
     groups = {}
     for d, t in rows:
         groups.setdefault(lower(t), []).append(d)
@@ -103,7 +111,7 @@ def test_exact_dedup(spark):
 def brute_groups(rows, k, num, den):
     ids, sets = [], []
     for d, t in rows:
-        w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        w = word_list(lower_ascii(t))
         ids.append(2**63 - 1 if d is None else d)
         sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
     lab = list(range(len(rows)))
@@ -274,8 +282,6 @@ def test_vectors(spark):
     for _ in range(len(rows)):
         lab = np.array([min([lab[i], *lab[link[i]]]) for i in range(len(rows))])
     want = sorted([(r[0], int(link[i].sum()), None if lab[i] == 2**63 - 1 else int(lab[i]), bool(ids[i] == lab[i])) for i, r in enumerate(rows)], key=repr)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cid", F.lit(1)).withColumn("cell", F.lit(2))
-    df = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
     exact = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cid", F.lit(1))
     got = vector_dedup.link_vectors(exact)
     assert sorted([tuple(r) for r in got.collect()], key=repr) == want

@@ -144,35 +144,46 @@ class Stream:
 def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None):
     """(encode, ends_sentence) of this worker process, loaded once.  With the
     same vocabulary as ranks, ordinary texts take the faster library; texts that
-    spell a special token or hold a very long unbroken run take the first."""
+    spell a special token or hold a very long unbroken run take the first, which
+    is loaded only then."""
     cache = sys.modules.setdefault("_llm_encoders", types.ModuleType("_llm_encoders")).__dict__
     key = (tokenizer_path, ranks_path)
     if key in cache:
         return cache[key]
-    from tokenizers import Tokenizer
-    slow = Tokenizer.from_file(tokenizer_path)
-    vocab = slow.get_vocab()
-    ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-    for token, i in vocab.items():
-        ends[i] = token[-1:] in ".!?Ċ"  # U+010A stands for a newline
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    loaded = []
 
-    def encode(text: str) -> list[int]:
-        return slow.encode(text, add_special_tokens=False).ids
+    def slow():
+        if not loaded:
+            from tokenizers import Tokenizer
+            loaded.append(Tokenizer.from_file(tokenizer_path))
+        return loaded[0]
+
+    def whole(text: str) -> list[int]:
+        return slow().encode(text, add_special_tokens=False).ids
 
     if ranks_path:
         import base64
+        import json
 
         import tiktoken
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        with open(tokenizer_path, encoding="utf-8") as file:
+            special = [t["content"] for t in json.load(file)["added_tokens"]]
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        whole = encode
+        ends = np.zeros(max(ranks.values()) + 1 + len(special), bool)
+        for token, i in ranks.items():
+            ends[i] = token[-1:] in b".!?\n"
 
         def encode(text: str) -> list[int]:
             if any(s in text for s in special) or len(text) > _LONG_RUN and max(map(len, text.split()), default=0) > _LONG_RUN:
                 return whole(text)
             return fast.encode_ordinary(text)
+    else:
+        encode, vocab = whole, slow().get_vocab()
+        ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        for token, i in vocab.items():
+            ends[i] = token[-1:] in ".!?Ċ"  # U+010A stands for a newline
 
     cache[key] = encode, ends
     return cache[key]

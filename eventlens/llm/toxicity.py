@@ -47,14 +47,14 @@ _SPACED = re.compile(rb"(?<![^\x09-\x0d\x20])(?:[^\x09-\x0d\x20][\x09-\x0d\x20])
 _TRIM = " \t\n\r\f\v.,;:!?\"'()[]{}<>|*#$%&+=/\\~^`_-"
 
 
-def _features(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, place, weight) of all gapped subsequences of the terms."""
+def _by_pattern(terms: list[str]):
+    """Per pattern of positions: terms, places and the weight of the gapped
+    subsequences of that pattern.  One pattern at a time keeps memory at a few
+    arrays of the terms' characters."""
     size = np.fromiter(map(len, terms), np.int64, len(terms))
     codes = np.frombuffer("".join(terms).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(terms)), size)
-    end = np.repeat(np.cumsum(size), size)
-    left = end - np.arange(len(codes))  # characters to the end of the term
-    found = []
+    owner = np.repeat(np.arange(len(terms), dtype=np.int32), size)
+    left = (np.repeat(np.cumsum(size), size) - np.arange(len(codes))).astype(np.int32)  # characters to the term's end
     for p, offsets in _PATTERNS:
         at = np.flatnonzero(left > offsets[-1])
         h = np.full(len(at), p, np.uint32)
@@ -62,8 +62,13 @@ def _features(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (h + codes[at + o]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE.bit_length() + 1)
-        found.append((owner[at], h, np.full(len(at), DECAY ** (offsets[-1] - p + 1), np.float32)))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        yield owner[at], h, DECAY ** (offsets[-1] - p + 1)
+
+
+def _features(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, place, weight) of all gapped subsequences of a few terms."""
+    parts = [(owner, place, np.full(len(place), weight, np.float32)) for owner, place, weight in _by_pattern(terms)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _norms(terms: list[str]) -> np.ndarray:
@@ -110,8 +115,10 @@ class Model:
                 cut = [term[j:j + _TERM] for j in range(0, len(term) - _STEP, _STEP)]
                 pieces += cut
                 owner += [i] * len(cut)
-        term, place, weight = _features(pieces)
-        value = np.bincount(term, table[place] * weight, len(pieces)) / _norms(pieces) + self.offset
+        value = np.zeros(len(pieces))
+        for term, place, weight in _by_pattern(pieces):
+            value += weight * np.bincount(term, table[place], len(pieces))
+        value = value / _norms(pieces) + self.offset
         out = np.full(len(terms), _FLOOR)
         np.maximum.at(out, owner, np.maximum(value, _FLOOR))
         return out

@@ -146,15 +146,21 @@ def fit_terms(good: list[str], bad: list[str]) -> Model:
     return Model(places, np.bincount(at, alpha[term] * weight, len(places)).astype(np.float32), offset)
 
 
+def _join_spaced(text: bytes | None) -> bytes | None:
+    """Runs of single characters become one term ("i d i o t")."""
+    return _SPACED.sub(lambda m: b"".join(m[0].split()), text) if text else text
+
+
 def _terms(text: pa.Array):
     """Per slice: (rows, distinct terms, term of every word, first word of every
-    text); runs of single characters become one term first."""
-    joined = pa.array([None if t is None else _SPACED.sub(lambda m: bytes(m[0].split() and b"".join(m[0].split())), t)
-                       if b" " in t else t for t in text.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
-    for words in slices(joined, lower=True):
-        _, index, inverse = np.unique(words.keys, return_index=True, return_inverse=True)
-        terms = [words.data[words.at[i]:words.at[i + 1]].decode().lower() for i in index]
-        yield words.rows, [t.strip(_TRIM) or t[:_TERM] for t in terms], inverse, words.first
+    text); a few hundred texts at a time, so a large batch is not held twice."""
+    for lo in range(0, len(text), 500):
+        part = pa.array(map(_join_spaced, text.slice(lo, 500).cast(pa.binary()).to_pylist()), pa.binary()).cast(pa.string())
+        for words in slices(part, lower=True):
+            _, index, inverse = np.unique(words.keys, return_index=True, return_inverse=True)
+            terms = [words.data[words.at[i]:words.at[i + 1]].decode().lower() for i in index]
+            rows = slice(lo + words.rows.start, lo + words.rows.stop)
+            yield rows, [t.strip(_TRIM) or t[:_TERM] for t in terms], inverse, words.first
 
 
 def _two_highest(margins: np.ndarray, inverse: np.ndarray, first: np.ndarray) -> np.ndarray:

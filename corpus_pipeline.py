@@ -38,8 +38,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 1024 tokens."""
-    return packing.packed_bpe(docs)
+    """Pieces of documents in windows of 1024 tokens, sequence ids in the order
+    of the mix.  A folder of files has no row order once it is read again, so
+    the order, a function of the documents alone, is made anew here."""
+    return packing.packed_bpe(mixing.interleave(docs))
 
 
 STAGES = [

@@ -229,6 +229,25 @@ def test_mixing(spark):
     assert mixing.mix(docs_of(spark, [])).collect() == []
 
 
+def test_packing_follows_the_mix(spark):
+    import os
+
+    import corpus_pipeline as pipe
+    # longer texts later in the mix: the last file is the largest, which Spark reads first
+    docs = docs_of(spark, [(i, "t", "abc"[i % 7 % 3]) for i in range(300)])
+    order = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+    rows = {d: (d, words_of(d, 5 + 4 * n), "abc"[d % 7 % 3]) for n, d in enumerate(order)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = common.stage(mixing.interleave(docs_of(spark, list(rows.values()))), "mixed")
+        assert len({os.path.basename(f) for f in mixed.inputFiles()}) > 1
+        pieces = pipe.pack_windows(spark, mixed, "").orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.sequence_id >> 40 for r in pieces}) > 1
+    assert list(dict.fromkeys(r.doc_id for r in pieces)) == order
+
+
 def test_language_edges(spark):
     rows = [(i, f"the quick brown fox {i} jumps") for i in range(30)] + [(40 + i, f"der schnelle braune Fuchs {i} springt über") for i in range(30)]
     docs = docs_of(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 40, "en").otherwise("de"))

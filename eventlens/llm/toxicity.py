@@ -2,8 +2,10 @@
 
 Two terms are alike when they share character subsequences of length 3 or 4; a
 subsequence may skip up to two characters and counts ``DECAY`` per skipped one,
-so gapped or padded spellings ("id*iot", "i.d.i.o.t") stay close to the plain
-one.  Nyström landmarks give the feature map of the SVM.  As its decision is
+so spellings with one or two inserted characters ("id*iot") stay close to the
+plain one.  Where more is inserted ("i.d.i.o.t", "i--d--i--o--t", "ixdxixoxt")
+the kernel is too narrow; such a term is scored in further forms as well (see
+``_forms``) and its highest form counts.  Nyström landmarks give the feature map of the SVM.  As its decision is
 linear in the kernel with the landmarks, their weights are added up into one
 weight per subsequence, which scores a term by lookups alone.
 
@@ -47,6 +49,30 @@ _SPACED = re.compile(rb"(?<![^\x09-\x0d\x20])(?:[^\x09-\x0d\x20][\x09-\x0d\x20])
 _TRIM = " \t\n\r\f\v.,;:!?\"'()[]{}<>|*#$%&+=/\\~^`_-"
 
 
+def _letters(term: str) -> str:
+    """A term without inserted signs and digits, however many."""
+    return term if term.isalpha() else "".join(filter(str.isalpha, term))
+
+
+def _forms(term: str) -> set[str]:
+    """A term as written, its letters alone, and every second and every third
+    character from each start: one or two characters of any kind, letters too,
+    put between all letters."""
+    forms = {term[start::step] for step in (2, 3) for start in range(step)} if len(term) > 6 else set()
+    return {term} | {f for f in forms if len(f) >= 4} | {f for f in (_letters(term),) if len(f) >= 3}
+
+
+def _pieces(terms: list[str]) -> tuple[list[str], list[int]]:
+    """All forms of the terms, long ones in overlapping pieces, and whose they are."""
+    pieces, owner = [], []
+    for i, term in enumerate(terms):
+        for form in _forms(term):
+            cut = [form] if len(form) <= _TERM else [form[j:j + _TERM] for j in range(0, len(form) - _STEP, _STEP)]
+            pieces += cut
+            owner += [i] * len(cut)
+    return pieces, owner
+
+
 def _by_pattern(terms: list[str]):
     """Per pattern of positions: terms, places and the weight of the gapped
     subsequences of that pattern.  One pattern at a time keeps memory at a few
@@ -105,22 +131,18 @@ class Model:
     def __init__(self, places, weights, offset, curve=None):
         self.places, self.weights, self.offset, self.curve = places, weights, offset, curve
 
-    def margins(self, terms: list[str], table: np.ndarray) -> np.ndarray:
-        pieces, owner = [], []
-        for i, term in enumerate(terms):
-            if len(term) <= _TERM:
-                pieces.append(term)
-                owner.append(i)
-            else:
-                cut = [term[j:j + _TERM] for j in range(0, len(term) - _STEP, _STEP)]
-                pieces += cut
-                owner += [i] * len(cut)
+    def plain(self, pieces: list[str], table: np.ndarray) -> np.ndarray:
+        """Margins of terms (not longer than ``_TERM``) as they are written."""
         value = np.zeros(len(pieces))
         for term, place, weight in _by_pattern(pieces):
             value += weight * np.bincount(term, table[place], len(pieces))
-        value = value / _norms(pieces) + self.offset
+        return value / _norms(pieces) + self.offset
+
+    def margins(self, terms: list[str], table: np.ndarray) -> np.ndarray:
+        """Margins of terms: the highest of their forms."""
+        pieces, owner = _pieces(terms)
         out = np.full(len(terms), _FLOOR)
-        np.maximum.at(out, owner, np.maximum(value, _FLOOR))
+        np.maximum.at(out, owner, np.maximum(self.plain(pieces, table), _FLOOR))
         return out
 
     def table(self) -> np.ndarray:
@@ -182,13 +204,17 @@ def _two_highest(margins: np.ndarray, inverse: np.ndarray, first: np.ndarray) ->
 
 
 def _emit_terms(batches):
+    """Every term of a text once, and once the letters alone of its terms, so that all
+    spellings with inserted signs count for one term."""
     for batch in batches:
         for rows, terms, inverse, first in _terms(batch.column(2)):
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            pair = np.unique(doc * len(terms) + inverse) if len(terms) else np.zeros(0, np.int64)
-            row = pa.array(rows.start + pair // max(1, len(terms)))
+            code: dict[str, int] = {}
+            both = np.array([[code.setdefault(f, len(code)) for f in (t, _letters(t))] for t in terms], np.int64).reshape(-1, 2)
+            pair = np.unique(doc[:, None] * len(code) + both[inverse])
+            row = pa.array(rows.start + pair // max(1, len(code)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(terms, pa.string()).take(pa.array(pair % max(1, len(terms))))],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(list(code), pa.string()).take(pa.array(pair % max(1, len(code))))],
                 names=["id", "toxic", "term"])
 
 
@@ -265,7 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = [r.term for r in negative.orderBy(F.xxhash64("term"), "term").limit(CLEAN_TERMS).collect()]
     model = fit_terms(good, bad)
     hard = negative.select("term").mapInArrow(_rank_terms(model), "term string, m double")
-    hard = [r.term for r in hard.orderBy(F.desc("m"), "term").limit(MINED).collect()]
+    hard = hard.join(F.broadcast(sample.sparkSession.createDataFrame([(t,) for t in bad], "term string")), "term", "left_anti")
+    hard = [r.term for r in hard.dropDuplicates(["term"]).orderBy(F.desc("m"), "term").limit(MINED).collect()]
     model = fit_terms(sorted(set(good) | set(hard)), bad)
     two = sample.select("id", "text").mapInArrow(_emit_margins(model), "id long, a double, b double")
     rows = two.join(sample.select("id", "toxic"), "id").select("a", "b", "toxic").collect()
@@ -276,11 +303,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _rank_terms(model: Model):
+    """All forms of the terms with their margins."""
     def run(batches):
         table = model.table()
         for batch in batches:
-            terms = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.margins(terms, table))], names=["term", "m"])
+            pieces = sorted(set(_pieces(batch.column(0).to_pylist())[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(model.plain(pieces, table))], names=["term", "m"])
     return run
 
 

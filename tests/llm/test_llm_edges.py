@@ -279,6 +279,23 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs_of(spark, []), model).collect() == []
 
 
+def test_toxicity_of_gapped_terms(spark):
+    clean = [words_of(300 + i, 30) + " radio riot patriot" for i in range(60)]
+    bad = [words_of(400 + i, 30) + " idiot moron" for i in range(40)]
+    docs = docs_of(spark, list(enumerate(clean + bad)))
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i >= 60)) for i in range(100)], "doc_id long, toxic int"))
+    rest = words_of(7, 20)
+    spelt = [[gap.join(w) for w in ("idiot", "moron")] for gap in (".", "--", "*_*", "x", "qz")] + [["i.d..i-o__t", "m1o22r3o--n"]]
+    tests = [(i, f"{rest} {a} {rest}, {b}!") for i, (a, b) in enumerate(spelt)] + [(50, f"{rest} radio riot"), (51, "r.a.d.i.o p--a--t--r--i--o--t"), (52, rest)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs_of(spark, tests), model).collect()}
+    assert got == {i: int(i < 50) for i in got} and len(got) == 9
+    assert {r.doc_id for r in toxicity.drop_toxic(docs_of(spark, tests), model).collect()} == {50, 51, 52}
+    # insults known only in one gapped spelling are found in the others
+    gapped = docs_of(spark, list(enumerate(clean + [t.replace("idiot", "i.d.i.o.t").replace("moron", "m-o-r-o-n") for t in bad])))
+    model = toxicity.fit(gapped, spark.createDataFrame([(i, int(i >= 60)) for i in range(100)], "doc_id long, toxic int"))
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs_of(spark, tests), model).collect()} == got
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     rows, truth = [], []

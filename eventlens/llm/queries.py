@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, substring_dedup, toxicity, vector_dedup
+from . import (chat_format, exact_dedup, html_text, language_id, mixing, ngram_join, packing, secrets, source_audit,
+               substring_dedup, toxicity, vector_dedup, whitening)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_embedding_neardup": vector_dedup.op8_embedding_neardup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_source_audit": source_audit.op11_source_audit,
+    "op12_secret_scan": secrets.op12_secret_scan,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 #: DuckDB formulations; operators without one are tested against brute force.
@@ -25,4 +29,6 @@ ORACLE = {
     "op8_embedding_neardup": vector_dedup.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_source_audit": source_audit.ORACLE,
+    "op12_secret_scan": secrets.ORACLE,
 }

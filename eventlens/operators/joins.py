@@ -4,11 +4,15 @@ A row whose key has a NULL part matches nothing, but a hash shuffle sends all
 such rows to one task.  The join key is therefore a text: ``v`` + key for a
 complete key and ``n`` + hash of the row for an incomplete one, so those rows
 spread over all tasks and, having another first letter, can never equal a real
-key.  A frequent real key is spread over ``copies`` tasks: every row takes one
-of ``copies`` numbers by its hash and the other side, one row per key, is
-repeated once per number.  Both sides then enter the join through an exchange,
-so AQE can split what is still uneven.  Hashes are of the row's content: a
-recomputed task partitions the same way.
+key.
+
+Frequent real keys are found by a frequent-items sketch over the left side
+(``frequent_keys``), a single partial aggregation.  The right side has one row
+per key, so the rows of at most ``MAX_FREQUENT`` keys are broadcast: a left row
+of such a key gets its match there and goes through the shuffled join under a
+key of its own, like a row without a key.  The right side is shuffled once and
+not repeated.  All of it is one lazy plan; the sketch reads the left side's last
+exchange again and not its input.
 """
 
 from __future__ import annotations
@@ -18,41 +22,67 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-KEY, COPY = "_join_key", "_join_copy"
-#: Tasks over which one frequent key is spread.
-COPIES = 16
+KEY = "_join_key"
+_FOUND, _ROW = "_join_found", "_join_row"
+#: Keys that the sketch may report (and that are broadcast), and the items it
+#: tracks: a key with more than about 4 / TRACKED of the rows is never missed.
+MAX_FREQUENT, TRACKED = 1000, 16384
+#: A key is frequent with at least this many rows, and with more than this share.
+MIN_ROWS, MIN_SHARE = 1000, 1 / 2000
 
 
 def _complete(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def _row_key(df: DataFrame) -> Column:
+    """A key that no other row needs and that matches nothing."""
+    return F.concat(F.lit("n"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
+
+
 def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
     """Never-NULL join key of a row: the first key as text, or the row's hash
     when some key is NULL."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns]).cast("string")
-    return F.when(_complete(keys), F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).otherwise(F.concat(F.lit("n"), row))
+    return F.when(_complete(keys), F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).otherwise(_row_key(df))
+
+
+def frequent_keys(keyed: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Column ``KEY``: at most ``MAX_FREQUENT`` keys of ``keyed`` that may have
+    more than ``min_share`` of its rows.  Rows without a key never qualify."""
+    items = F.call_function("approx_top_k", F.col(KEY), F.lit(MAX_FREQUENT), F.lit(TRACKED))
+    found = keyed.agg(items.alias("items"), F.count(F.lit(1)).alias("rows")).select("rows", F.inline("items"))
+    limit = F.greatest(F.lit(float(min_rows)), F.col("rows") * F.lit(min_share))
+    return found.filter((F.col("count") >= limit) & F.col("item").startswith("v")).select(F.col("item").alias(KEY))
 
 
 def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-               copies: int = 1) -> DataFrame:
+               frequent: bool = False, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
     """``left JOIN right USING (keys)``, ``how`` left or inner; ``right`` has at
-    most one row per key (callers pass aggregated tables)."""
+    most one row per key (callers pass aggregated tables).  With ``frequent``
+    (one key only) a few keys may hold most rows of ``left``."""
     keys = list(keys)
-    if how == "inner":
-        left = left.filter(_complete(keys))
-    number = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(copies)).cast("int")
+    added = [c for c in right.columns if c not in keys]
+    if frequent and len(keys) != 1:
+        raise ValueError("frequent keys are handled for a single key column")
     r = right.filter(_complete(keys)).withColumn(KEY, F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).drop(keys[0])
     l = left.withColumn(KEY, key_text(left, keys))
     on = [KEY, *keys[1:]]
-    if copies > 1:
-        l = l.withColumn(COPY, number)
-        r = r.withColumn(COPY, F.explode(F.array(*[F.lit(i) for i in range(copies)])))
-        on.append(COPY)
-    out = l.join(r, on, how).drop(KEY, COPY)
-    return out.select(*left.columns, *[c for c in right.columns if c not in keys])
+    if not frequent:
+        if how == "inner":
+            l = l.filter(_complete(keys))
+        return l.join(r, on, how).select(*left.columns, *added)
+    few = r.join(F.broadcast(frequent_keys(l, min_rows, min_share)), KEY, "left_semi")
+    few = few.select(KEY, F.struct(*added).alias(_FOUND))
+    l = l.join(F.broadcast(few), KEY, "left")
+    l = l.withColumn(KEY, F.when(F.col(_FOUND).isNotNull(), _row_key(left)).otherwise(F.col(KEY)))
+    out = l.join(r.select(KEY, F.struct(*added).alias(_ROW)), KEY, "left")
+    match = F.coalesce(F.col(_FOUND), F.col(_ROW))
+    if how == "inner":
+        out = out.filter(match.isNotNull())
+    return out.select(*left.columns, *[match[c].alias(c) for c in added])
 
 
-def left_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], copies: int = 1) -> DataFrame:
+def left_join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], frequent: bool = False,
+                    min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
     """``left LEFT JOIN right USING (keys)``; see ``join_keyed``."""
-    return join_keyed(left, right, keys, "left", copies)
+    return join_keyed(left, right, keys, "left", frequent, min_rows, min_share)

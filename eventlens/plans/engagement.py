@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventlens.functions.predicates import in_section
 from eventlens.functions.timeutil import date_from_shard, utc_date, week_sunday
-from eventlens.operators.joins import COPIES, left_join_keyed
+from eventlens.operators.joins import left_join_keyed
 from eventlens.operators.login import first_login, first_time_label
 from eventlens.operators.range_exists import exists_within
 from eventlens.plans.common import BANNER, GAMEPLAY, flag, scan
@@ -58,7 +58,7 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
                                               (_ev() == BANNER).alias("_click"))
     # Banner clicks are section events: one join to the first logins labels
     # both groups (the click time and the visit time are the event time).
-    labelled = left_join_keyed(visits, logins, ["user_id"], COPIES).withColumn(
+    labelled = left_join_keyed(visits, logins, ["user_id"], frequent=True).withColumn(
         "user_type", first_time_label("event_timestamp"))
 
     c = (labelled.filter(F.col("_click"))
@@ -110,7 +110,7 @@ def lobby_bounce_rate(events: DataFrame, date_from: str, date_to: str,
             .groupBy("user_id", "session_id").agg(
                 F.count(F.lit(1)).alias("session_events"),
                 F.min("event_timestamp").alias("session_start_ts")))
-    s = left_join_keyed(sess, logins, ["user_id"], COPIES)
+    s = left_join_keyed(sess, logins, ["user_id"], frequent=True)
     s = s.select("user_id", "session_id", "session_events",
                  first_time_label("session_start_ts").alias("user_type"))
     low = F.sum(flag(F.col("session_events") <= low_events)).cast("long")

@@ -2,10 +2,12 @@
 
 User type comes from ``user_cohort`` over a lookback range (first event
 before the cutoff: RETURNING_USER).  The activity side is aggregated per
-(user, session, period) *before* it meets the per-user cohort table, so the
-join sees a few rows per session instead of raw events, a frequent user's rows
-are spread over tasks (``operators.joins``), and the NULL user, which the inner join to the
-cohort drops, is filtered before any shuffle.
+(user, session, period), which spreads a frequent user's sessions over all
+tasks, and each task then reduces them to counts per (user, period, flags)
+*before* they meet the per-user cohort table: a user has at most a few rows per
+period there, however many events or sessions, so no key of the join is
+frequent.  The NULL user, which the inner join to the cohort drops, is filtered
+before any shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from eventlens.functions.predicates import in_section
 from eventlens.functions.timeutil import utc_date, week_num_sunday
 from eventlens.operators.cohort import user_cohort
-from eventlens.operators.joins import COPIES, join_keyed
 from eventlens.plans.common import BANNER, GAMEPLAY, flag, pct, scan
 
 DEPOSIT_OK = "deposit_success"
@@ -30,7 +31,6 @@ def _ev():
     return F.col("event_name")
 
 
-
 def _cohort(events: DataFrame, lookback_from: str, lookback_to: str, cutoff: str) -> DataFrame:
     ev = scan(events, lookback_from, lookback_to, [], ["user_id", "event_timestamp"])
     return user_cohort(ev, cutoff)
@@ -64,10 +64,10 @@ def _per_session_week(events, cohort_from, cohort_to, date_from, date_to, cutoff
     ev = ev.withColumn("week_num", week_num_sunday(utc_date("event_timestamp")))
     pre = ev.groupBy("user_id", "session_id", "week_num").agg(
         *[F.max(flag(cond)).alias(name) for name, cond in flags.items()])
-    cohort = _cohort(events, cohort_from, cohort_to, cutoff)
-    joined = join_keyed(pre, cohort, ["user_id"], "inner", COPIES)
-    return joined.groupBy("user_type", "week_num", F.col("session_id").isNull().alias("no_session"), *flags).agg(
+    per_user = pre.groupBy("user_id", "week_num", F.col("session_id").isNull().alias("no_session"), *flags).agg(
         F.count(F.lit(1)).alias("n"))
+    joined = per_user.join(_cohort(events, cohort_from, cohort_to, cutoff), "user_id", "inner")
+    return joined.groupBy("user_type", "week_num", "no_session", *flags).agg(F.sum("n").alias("n"))
 
 
 def _with(cond):
@@ -180,10 +180,11 @@ def daily_trend_moving_avg(events: DataFrame, cohort_from: str, cohort_to: str,
     pre = ev.groupBy("activity_date", "user_id", "session_id").agg(
         F.count_if(_ev() == BANNER).alias("c"), F.count_if(_ev() == GAMEPLAY).alias("g"),
         F.count_if(_ev() == DEPOSIT_OK).alias("d"))
-    cohort = _cohort(events, cohort_from, cohort_to, cutoff)
-    j = join_keyed(pre, cohort, ["user_id"], "inner", COPIES)
+    per_user = pre.groupBy("activity_date", "user_id").agg(
+        F.count("session_id").alias("n"), F.sum("c").alias("c"), F.sum("g").alias("g"), F.sum("d").alias("d"))
+    j = per_user.join(_cohort(events, cohort_from, cohort_to, cutoff), "user_id", "inner")
     daily = j.groupBy("activity_date", "user_type").agg(
-        F.count("session_id").alias("total_casino_sessions"),   # one row per (day, user, session)
+        F.sum("n").cast("long").alias("total_casino_sessions"),
         F.sum("c").cast("long").alias("banner_clicks"),
         F.sum("g").cast("long").alias("gameplay_initiations"),
         F.sum("d").cast("long").alias("deposits"))

@@ -34,11 +34,35 @@ def test_exists_within_equals_brute_force(spark, seed):
 def test_keyed_join_keeps_null_semantics(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), ("b", None), ("n5", 1), ("v", 1)], "user_id string, session_id long")
     right = spark.createDataFrame([("a", 1, 7), (None, 1, 8), ("b", None, 9), ("v", 1, 5)], "user_id string, session_id long, x int")
-    for copies in (1, 4):
-        got = sorted(map(tuple, left_join_keyed(left, right, ["user_id", "session_id"], copies).collect()), key=repr)
-        assert got == sorted([("a", 1, 7), ("a", 2, None), (None, 1, None), ("b", None, None), ("n5", 1, None), ("v", 1, 5)], key=repr)
-        inner = sorted(map(tuple, join_keyed(left, right, ["user_id", "session_id"], "inner", copies).collect()))
-        assert inner == [("a", 1, 7), ("v", 1, 5)]
+    got = sorted(map(tuple, left_join_keyed(left, right, ["user_id", "session_id"]).collect()), key=repr)
+    assert got == sorted([("a", 1, 7), ("a", 2, None), (None, 1, None), ("b", None, None), ("n5", 1, None), ("v", 1, 5)], key=repr)
+    inner = sorted(map(tuple, join_keyed(left, right, ["user_id", "session_id"], "inner").collect()))
+    assert inner == [("a", 1, 7), ("v", 1, 5)]
+    with pytest.raises(ValueError):
+        left_join_keyed(left, right, ["user_id", "session_id"], frequent=True)
+
+
+@pytest.mark.parametrize("min_rows, min_share", [(1, 0.0), (3, 0.05), (1000, 0.5)])
+def test_frequent_join_equals_plain_join(spark, min_rows, min_share):
+    """Whatever keys count as frequent: all, a few or none."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["hot"] * 20 + ["warm"] * 5 + [None] * 9 + [f"u{i}" for i in range(12)]), i) for i in range(400)]
+    left = spark.createDataFrame(rows, "user_id string, n long")
+    right = spark.createDataFrame([("hot", 1, None), ("warm", None, None), ("u3", 3, "c"), (None, 4, "d"), ("gone", 5, "e")],
+                                  "user_id string, x long, y string")
+    known = {u: (x, y) for u, x, y in [("hot", 1, None), ("warm", None, None), ("u3", 3, "c")]}
+    for how in ("left", "inner"):
+        got = join_keyed(left, right, ["user_id"], how, True, min_rows, min_share)
+        want = [(u, n, *known.get(u, (None, None))) for u, n in rows if how == "left" or u in known]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def _spread(spark):
+    from pyspark.sql import functions as F
+    user = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("u"), F.col("id") % 500))
+    left = spark.range(30000).select("id", user.alias("user_id")).repartition(16, "id")
+    right = left.filter("user_id is not null").groupBy("user_id").agg(F.min("id").alias("first"))
+    return left, right
 
 
 def test_null_and_frequent_users_spread_over_tasks(spark):
@@ -47,17 +71,31 @@ def test_null_and_frequent_users_spread_over_tasks(spark):
     for k, v in zip(old, ("-1", "false", "16")):
         spark.conf.set(k, v)
     try:
-        user = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("u"), F.col("id") % 500))
-        left = spark.range(30000).select("id", user.alias("user_id"))
-        right = left.filter("user_id is not null").groupBy("user_id").agg(F.min("id").alias("first"))
-        out = left_join_keyed(left, right, ["user_id"], 16).withColumn("task", F.spark_partition_id())
+        left, right = _spread(spark)
+        out = left_join_keyed(left, right, ["user_id"], frequent=True).withColumn("task", F.spark_partition_id())
         sizes = [r["count"] for r in out.groupBy("task").count().collect()]
-        assert sum(sizes) == 30000 and max(sizes) <= 2.5 * 30000 / 16
+        assert sum(sizes) == 30000 and max(sizes) <= 2 * 30000 / 16
+        # the left side is computed once for the sketch and the join, the right side is shuffled once and not repeated
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan and "Generate explode" not in plan
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
 
 
+def test_frequent_keys_of_even_data_are_none(spark):
+    """Nothing is broadcast or treated apart when no key is frequent."""
+    from pyspark.sql import functions as F
+    from eventlens.operators.joins import KEY, frequent_keys, key_text
+    left = spark.range(50000).select(F.concat(F.lit("u"), F.col("id") % 5000).alias("user_id"), "id")
+    keyed = left.withColumn(KEY, key_text(left, ["user_id"]))
+    assert frequent_keys(keyed).count() == 0
+    hot = left.withColumn("user_id", F.when(F.col("id") % 10 == 0, "hot").otherwise(F.col("user_id")))
+    assert [r[0] for r in frequent_keys(hot.withColumn(KEY, key_text(hot, ["user_id"]))).collect()] == ["vhot"]
+    nulls = left.withColumn("user_id", F.when(F.col("id") % 2 == 0, F.col("user_id")))
+    assert frequent_keys(nulls.withColumn(KEY, key_text(nulls, ["user_id"]))).count() == 0
+
+
 def test_one_busy_user_in_one_bucket_is_linear(spark):
     import time
     from pyspark.sql import functions as F

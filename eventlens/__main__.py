@@ -1,6 +1,6 @@
 """Run one analysis over an event export and write the result.
 
-    python -m eventlens <analysis> --events PATH [--deposits PATH] --out PATH
+    python -m eventlens <analysis> --events PATH [--deposits PATH [--deposits-by-day]] --out PATH
         [--format csv|parquet] [--show [ROWS]] name=value ...
 
 ``--out`` is the result; ``--show`` prints at most ROWS rows (100) and says how
@@ -22,7 +22,7 @@ import sys
 
 from eventlens import plans
 from eventlens.session import build_session, cluster_conf
-from eventlens.sources import read_deposits, read_events, write_csv, write_parquet
+from eventlens.sources import read_deposits, read_deposits_by_day, read_events, write_csv, write_parquet
 from eventlens.sources.layout import read_flat_events
 
 SKIP = {"events", "deposits"}
@@ -56,6 +56,8 @@ def main(argv=None) -> int:
     ap.add_argument("--events", required=True)
     ap.add_argument("--flat", action="store_true", help="--events is the flat layout (sources.layout)")
     ap.add_argument("--deposits")
+    ap.add_argument("--deposits-by-day", action="store_true",
+                    help="--deposits is kept by day (sources.deposits.write_deposits_by_day): other days are not read")
     ap.add_argument("--out")
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--master")
@@ -80,7 +82,7 @@ def main(argv=None) -> int:
     if "deposits" in sig.parameters:
         if not a.deposits:
             ap.error("--deposits is required for " + a.analysis)
-        kwargs["deposits"] = read_deposits(spark, a.deposits)
+        kwargs["deposits"] = (read_deposits_by_day if a.deposits_by_day else read_deposits)(spark, a.deposits)
     for kv in a.params:
         k, _, v = kv.partition("=")
         if k not in sig.parameters:

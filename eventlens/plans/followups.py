@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventlens.plans.deposits import MONEY, OK_STATUSES, _cohort, _payments, deposit_amount_stats_by_cohort
-from eventlens.plans.funnel import daily_trend_moving_avg
+from eventlens.plans.deposits import MONEY, OK_STATUSES, _amount_stats, _cohort, _labelled, _payments
+from eventlens.plans.funnel import _daily_trend
 from eventlens.plans.kpi import daily_lobby_kpi
 
 OUTAGE_RATES = ("gameplay_anytime_rate", "promo_click_rate", "deposit_window_rate",
@@ -61,9 +61,9 @@ def deposit_period_comparison(events: DataFrame, deposits: DataFrame, cohort_fro
     pay = pay.withColumn("period", label).filter(F.col("period").isNotNull())
     per_player = pay.groupBy("player_id", "period").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("transaction_amount_EUR").cast(MONEY)).alias("s"))
-    j = per_player.join(_cohort(events, cohort_from, cohort_to, cutoff), "player_id", "inner")
+    j = _labelled(per_player, _cohort(events, cohort_from, cohort_to, cutoff, pay))
     g = j.groupBy("period", "user_type").agg(
-        F.count_distinct("player_id").alias("depositors"),
+        F.count("user_id").alias("depositors"),   # one row per player and period
         F.sum("n").cast("long").alias("transactions"),
         F.sum("s").alias("_s"))
     out = g.select("period", "user_type", "depositors", "transactions",
@@ -78,11 +78,13 @@ def deposit_vs_banner_correlation(events: DataFrame, deposits: DataFrame, cohort
                                   statuses: Sequence[str] = OK_STATUSES) -> DataFrame:
     """X1: per user type, Pearson correlation of the daily average deposit
     amount (Q23) with the daily banner click rate (Q18), over the days present
-    in both; to 9 decimals."""
-    return daily_correlation(
-        deposit_amount_stats_by_cohort(events, deposits, cohort_from, cohort_to, cutoff, day_from, day_to,
-                                       business_unit, statuses),
-        daily_trend_moving_avg(events, cohort_from, cohort_to, date_from, date_to, cutoff, section_path))
+    in both; to 9 decimals.
+
+    Both inputs join the same cohort, so its events are scanned and aggregated
+    once (the second join reuses the exchange)."""
+    cohort = _cohort(events, cohort_from, cohort_to, cutoff)
+    pay = _payments(deposits, day_from, day_to, business_unit, statuses, True)
+    return daily_correlation(_amount_stats(pay, cohort), _daily_trend(events, cohort, date_from, date_to, section_path))
 
 
 def daily_correlation(daily_deposits: DataFrame, daily_banner: DataFrame) -> DataFrame:

@@ -175,6 +175,10 @@ def daily_trend_moving_avg(events: DataFrame, cohort_from: str, cohort_to: str,
                            date_to: str, cutoff: str, section_path: str = "/tr/casino") -> DataFrame:
     """Q18: daily sessions, banner clicks, gameplay and deposits in the section
     with a 7-row (not 7-day) moving average of the gameplay rate."""
+    return _daily_trend(events, _cohort(events, cohort_from, cohort_to, cutoff), date_from, date_to, section_path)
+
+
+def _daily_trend(events: DataFrame, cohort: DataFrame, date_from: str, date_to: str, section_path: str) -> DataFrame:
     ev = _section_events(events, date_from, date_to, section_path)
     ev = ev.withColumn("activity_date", utc_date("event_timestamp"))
     pre = ev.groupBy("activity_date", "user_id", "session_id").agg(
@@ -182,7 +186,7 @@ def daily_trend_moving_avg(events: DataFrame, cohort_from: str, cohort_to: str,
         F.count_if(_ev() == DEPOSIT_OK).alias("d"))
     per_user = pre.groupBy("activity_date", "user_id").agg(
         F.count("session_id").alias("n"), F.sum("c").alias("c"), F.sum("g").alias("g"), F.sum("d").alias("d"))
-    j = per_user.join(_cohort(events, cohort_from, cohort_to, cutoff), "user_id", "inner")
+    j = per_user.join(cohort, "user_id", "inner")
     daily = j.groupBy("activity_date", "user_type").agg(
         F.sum("n").cast("long").alias("total_casino_sessions"),
         F.sum("c").cast("long").alias("banner_clicks"),

@@ -1,7 +1,8 @@
 from eventlens.sources.events import read_events, shard_range
-from eventlens.sources.deposits import read_deposits
+from eventlens.sources.deposits import read_deposits, read_deposits_by_day, write_deposits_by_day
 from eventlens.sources.fixtures import fixture_events, fixture_deposits, FixtureParams
 from eventlens.sources.sinks import write_csv, write_parquet
 
-__all__ = ["read_events", "shard_range", "read_deposits", "fixture_events",
+__all__ = ["read_events", "shard_range", "read_deposits", "read_deposits_by_day",
+           "write_deposits_by_day", "fixture_events",
            "fixture_deposits", "FixtureParams", "write_csv", "write_parquet"]

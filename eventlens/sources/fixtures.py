@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventlens.functions.timeutil import micros_of_ntz
 from eventlens.session import checkpoint_dir
-from eventlens.sources.deposits import read_deposits
+from eventlens.sources.deposits import DAY, by_day, read_deposits_by_day
 from eventlens.sources.events import read_events
 
-FIXTURE_VERSION = "fixture-v3"
+FIXTURE_VERSION = "fixture-v4"
 
 # Fixed values of the fixture formulas.
 BUCKET_US = 259_200_000_000          # 3-day session bucket
@@ -209,8 +209,8 @@ def load_fixture(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
 
     With ``materialize`` the adapted tables are written once (per input
     fingerprint) under the session's checkpoint directory, events partitioned
-    by ``event_date`` exactly like the production export, and read back with
-    the production readers.  Query plans then start from a plain Parquet scan
+    by ``event_date`` exactly like the production export and payments by day, and
+    read back with the production readers.  Query plans then start from a plain Parquet scan
     with partition pruning instead of repeating the adapter in every branch.
     """
     if not materialize:
@@ -227,7 +227,7 @@ def load_fixture(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
             _publish(spark, fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")).hint("rebalance", "event_date"),
                      ev_path, "event_date")
         if not _fs_exists(spark, f"{dep_path}/_SUCCESS"):
-            _publish(spark, fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet")), dep_path)
-        out = (read_events(spark, ev_path), read_deposits(spark, dep_path))
+            _publish(spark, by_day(fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet"))), dep_path, DAY)
+        out = (read_events(spark, ev_path), read_deposits_by_day(spark, dep_path))
         _MEMO[memo_key] = out
         return out

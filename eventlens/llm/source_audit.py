@@ -39,7 +39,7 @@ MIN_DOCS, TOP_TERMS = 10, 10
 #: Text handled at once, and counts held, by a counting task.
 SLICE_BYTES, FLUSH_ROWS = 1 << 20, 400_000
 #: Cells (terms x sources) of a shard, but this many terms at least.
-CELLS, SHARD_TERMS = 1 << 20, 1000
+CELLS, SHARD_TERMS = 1 << 16, 1000
 
 _COUNTS = "lang string, source string, term string, n long, docs long"
 

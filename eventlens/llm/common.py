@@ -32,6 +32,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, a scan of files that Spark wrote, in the order in
+    which they were written: by number of the file, then by row.  (A scan deals
+    files and parts of files to tasks by size.)"""
+    meta = df.metadataColumn("_metadata")
+    name = meta["file_name"]
+    placed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                       F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("file"),
+                       name.alias("name"), meta["row_index"].alias("at"))
+    order = ["file", "name", "at"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``n``."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)

@@ -7,9 +7,9 @@
    number of rows and the (identifier, locator) of the row that stays.  Later
    arrivals can be streamed into the same checkpoint.
 3. *Check on hits*: every row whose digest is already held by another row is
-   compared with the retained row's full bytes, fetched again by digest and
-   locator.  Rows of equal digest and other bytes (a collision) are regrouped
-   by their bytes.
+   compared with the retained row's full bytes.  The texts of both are fetched
+   by their locators in one pass, without hashing any text again.  Rows of equal
+   digest and other bytes (a collision) are regrouped by their bytes.
 4. The narrow feed is joined with the state; texts are not read again.
 
 Hot groups: the state is pre-aggregated before its shuffle, joins go through
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import BROADCAST_IDS, exclude, prefilter, scratch_path, skew_join, stage
+from .common import BROADCAST_IDS, exclude, scratch_path, skew_join, stage
 
 #: State on disk; memory bounded per executor; no 4 MB of preallocated log per
 #: state partition, which would outweigh the state itself.
@@ -35,14 +35,21 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",   # a finished stream's stores are closed
 }
 #: Rows compared with one copy of a retained text.
 FAN = 1000
+#: Hits whose locators are broadcast to the scan of the texts; more are joined
+#: by shuffle.
+BROADCAST_HITS = BROADCAST_IDS // 10
 
 
 def normalised(text: Column) -> Column:
-    """Null as empty; only A-Z lower-cased (``lower`` would change more)."""
-    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    """Null as empty; only A-Z lower-cased.  ``lower`` changes more, but not in a
+    text of ASCII alone, where it is much faster than going by characters."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def sha256(text: Column) -> Column:
@@ -108,23 +115,26 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns."""
     rows = locatable(docs)
     decided = _decide(rows.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), "_file", "_row"))
-    return exclude(rows, decided.filter(~F.col("kept")).select("_file", "_row"), ["_file", "_row"]).select("doc.*")
+    gone = stage(decided.filter(~F.col("kept")).select("_file", "_row"), "copies")
+    return exclude(rows, gone, ["_file", "_row"]).select("doc.*")
 
 
 def _decide(rows: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     spark = rows.sparkSession
     norm = normalised(F.col("text"))
     path = scratch_path(spark, "feed")
-    feed = rows.select("id", "_file", "_row", digest(norm).alias("digest"), sha256(norm).alias("text_sha256"))
+    sha = [] if digest is sha256 else [sha256(norm).alias("text_sha256")]
+    feed = rows.select("id", "_file", "_row", digest(norm).alias("digest"), *sha)
     feed.write.parquet(path)
     feed = spark.read.schema(feed.schema).parquet(path)
     state = stream_state(spark, path, feed.schema, scratch_path(spark, "state"), files_per_batch)
     groups = stage(state.filter("n_rows > 1"), "groups")
     member = skew_join(feed, groups, ["digest"], "n_rows", "left").select(
-        "id", "_file", "_row", "digest", "text_sha256",
+        "id", "_file", "_row", "digest", F.col("text_sha256" if sha else "digest").alias("text_sha256"),
         F.coalesce("n_rows", F.lit(1)).alias("n_rows"),
         F.coalesce("best", F.struct("id", "_file", "_row")).alias("best"))
-    other = _collisions(rows, groups, digest)
+    hits = skew_join(feed.select("id", "_file", "_row", "digest"), groups, ["digest"], "n_rows")
+    other = _collisions(rows, stage(hits, "hits"))
     if not other.isEmpty():
         member = _regroup(member, other)
     me = F.struct("id", "_file", "_row")
@@ -133,23 +143,23 @@ def _decide(rows: DataFrame, digest=sha256, files_per_batch: int | None = None)
                          (me == F.col("best")).alias("kept"), "text_sha256", "_file", "_row")
 
 
-def _collisions(rows: DataFrame, groups: DataFrame, digest) -> DataFrame:
+def _collisions(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Staged rows (id, locator, digest, bytes) whose normalised bytes differ
     from those of the row that their digest's key retains."""
-    norm = normalised(F.col("text"))
-    hits = prefilter(rows.select("*", digest(norm).alias("digest")), groups, "digest", BROADCAST_IDS // 4)
-    hits = skew_join(hits, groups, ["digest"], "n_rows")
-    is_best = F.struct("id", "_file", "_row") == F.col("best")
+    at = ["_file", "_row"]
     fan = F.floor((F.col("n_rows") - 1) / FAN).cast("int")
-    held = hits.filter(is_best).select(
-        "digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), fan)).alias("salt"))
-    asked = hits.filter(~is_best).select(
-        "id", "_file", "_row", "digest", "text",
-        F.pmod(F.xxhash64("id", "_file", "_row"), fan + 1).cast("int").alias("salt"))
+    wanted = hits.select(*at, "id", "digest", fan.alias("fan"), (F.struct("id", *at) == F.col("best")).alias("is_best"))
+    if wanted.count() <= BROADCAST_HITS:
+        wanted = F.broadcast(wanted)
+    texts = stage(rows.select(*at, "text").join(wanted, at), "texts")
+    held = texts.filter("is_best").select(
+        "digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), F.col("fan"))).alias("salt"))
+    asked = texts.filter(~F.col("is_best")).select(
+        "id", *at, "digest", "text", F.pmod(F.xxhash64("id", *at), F.col("fan") + 1).cast("int").alias("salt"))
     same = (F.col("text").eqNullSafe(F.col("held"))
             | (normalised(F.col("text")).cast("binary") == normalised(F.col("held")).cast("binary")))
     return stage(asked.join(held, ["digest", "salt"]).filter(~same)
-                 .select("id", "_file", "_row", "digest", norm.alias("bytes")), "collisions")
+                 .select("id", *at, "digest", normalised(F.col("text")).alias("bytes")), "collisions")
 
 
 def _regroup(member: DataFrame, other: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ TABLE = 1 << 22
 THRESHOLD = 0.7
 _TERM, _STEP = 40, 20  # longer terms are scored by overlapping pieces
 _FLOOR = -3.0
+_CHARS = 100_000  # characters of terms scored at once
 _PATTERNS = [(3, (0, b, c)) for b in range(1, 4) for c in range(b + 1, min(b + 3, 5) + 1) if c <= 4] + \
             [(4, (0, b, c, d)) for b in range(1, 4) for c in range(b + 1, 5) for d in range(c + 1, 6) if d <= 5]
 _SPACED = re.compile(rb"(?<![^\x09-\x0d\x20])(?:[^\x09-\x0d\x20][\x09-\x0d\x20]){2,}[^\x09-\x0d\x20](?![^\x09-\x0d\x20])")
@@ -73,6 +74,16 @@ def _pieces(terms: list[str]) -> tuple[list[str], list[int]]:
     return pieces, owner
 
 
+def _runs(terms: list[str]):
+    """Bounds of runs of terms with about ``_CHARS`` characters."""
+    ends = np.cumsum(np.fromiter(map(len, terms), np.int64, len(terms)))
+    lo = 0
+    while lo < len(terms):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHARS, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _by_pattern(terms: list[str]):
     """Per pattern of positions: terms, places and the weight of the gapped
     subsequences of that pattern.  One pattern at a time keeps memory at a few
@@ -139,10 +150,12 @@ class Model:
         return value / _norms(pieces) + self.offset
 
     def margins(self, terms: list[str], table: np.ndarray) -> np.ndarray:
-        """Margins of terms: the highest of their forms."""
-        pieces, owner = _pieces(terms)
+        """Margins of terms: the highest of their forms, a bounded number of
+        characters at a time."""
         out = np.full(len(terms), _FLOOR)
-        np.maximum.at(out, owner, np.maximum(self.plain(pieces, table), _FLOOR))
+        for lo, hi in _runs(terms):
+            pieces, owner = _pieces(terms[lo:hi])
+            np.maximum.at(out, lo + np.array(owner, np.int64), np.maximum(self.plain(pieces, table), _FLOOR))
         return out
 
     def table(self) -> np.ndarray:
@@ -240,7 +253,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     ids = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(PER_CLASS) for t in (0, 1)]
     ids = F.broadcast(ids[0].union(ids[1]))  # at most two classes of PER_CLASS ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(ids, "id")
-    return stage(texts.dropDuplicates(["text"]), "sample"), counts
+    one = texts.groupBy("text").agg(F.max(F.struct("toxic", "id")).alias("top"))   # of equal texts the toxic label counts
+    return stage(one.select("top.id", "top.toxic", "text"), "sample"), counts
 
 
 def _witnesses(pairs: list[tuple[str, int]], total: int) -> list[str]:
@@ -307,8 +321,10 @@ def _rank_terms(model: Model):
     def run(batches):
         table = model.table()
         for batch in batches:
-            pieces = sorted(set(_pieces(batch.column(0).to_pylist())[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(model.plain(pieces, table))], names=["term", "m"])
+            terms = batch.column(0).to_pylist()
+            for lo, hi in _runs(terms):
+                pieces = sorted(set(_pieces(terms[lo:hi])[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(model.plain(pieces, table))], names=["term", "m"])
     return run
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from eventlens.llm.common import stage
+from eventlens.llm.common import in_file_order, stage
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 1024 tokens, sequence ids in the order
-    of the mix.  A folder of files has no row order once it is read again, so
-    the order, a function of the documents alone, is made anew here."""
-    return packing.packed_bpe(mixing.interleave(docs))
+    of the mix, which is the order in which the stage before wrote its rows.
+    Null and empty texts give the end token alone."""
+    return packing.packed_bpe(in_file_order(docs))
 
 
 STAGES = [

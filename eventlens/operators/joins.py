@@ -46,6 +46,12 @@ def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.when(_complete(keys), F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).otherwise(_row_key(df))
 
 
+def with_key(right: DataFrame, key: str) -> DataFrame:
+    """``right`` with its join key instead of ``key``.  A table that is aggregated
+    by this column is already dealt out as the join needs it."""
+    return right.filter(F.col(key).isNotNull()).withColumn(KEY, F.concat(F.lit("v"), F.col(key).cast("string"))).drop(key)
+
+
 def frequent_keys(keyed: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
     """Column ``KEY``: at most ``MAX_FREQUENT`` keys of ``keyed`` that may have
     more than ``min_share`` of its rows.  Rows without a key never qualify."""
@@ -58,13 +64,13 @@ def frequent_keys(keyed: DataFrame, min_rows: int = MIN_ROWS, min_share: float =
 def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
                frequent: bool = False, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
     """``left JOIN right USING (keys)``, ``how`` left or inner; ``right`` has at
-    most one row per key (callers pass aggregated tables).  With ``frequent``
-    (one key only) a few keys may hold most rows of ``left``."""
+    most one row per key (callers pass aggregated tables; see ``with_key``).  With
+    ``frequent`` (one key only) a few keys may hold most rows of ``left``."""
     keys = list(keys)
-    added = [c for c in right.columns if c not in keys]
+    added = [c for c in right.columns if c not in (*keys, KEY)]
     if frequent and len(keys) != 1:
         raise ValueError("frequent keys are handled for a single key column")
-    r = right.filter(_complete(keys)).withColumn(KEY, F.concat(F.lit("v"), F.col(keys[0]).cast("string"))).drop(keys[0])
+    r = right if KEY in right.columns else with_key(right.filter(_complete(keys)), keys[0])
     l = left.withColumn(KEY, key_text(left, keys))
     on = [KEY, *keys[1:]]
     if not frequent:

@@ -16,7 +16,7 @@ many tasks as it has busy buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventlens.operators.joins import KEY, key_text
 
@@ -50,3 +50,26 @@ def exists_within(probes: DataFrame, targets: DataFrame, user_col: str, probe_ts
     nxt = F.min("_t").over(w)
     hit = F.when(nxt.isNotNull() & (nxt <= F.col(probe_ts) + F.lit(hi_us)), F.lit(1)).otherwise(F.lit(0))
     return both.withColumn(flag, hit).filter(F.col("_probe")).select(*pcols, flag)
+
+
+def followed_within(rows: DataFrame, user_col: str, ts_col: str, target: Column, lo_us: int, hi_us: int,
+                    flag: str, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Adds ``flag`` (1/0) to ``rows``: does a row of the same user for which
+    ``target`` holds follow within [lo, hi] µs?  Probes and targets are rows of
+    one table, so it is read and shuffled once: each target in the first ``hi``
+    of its (user, bucket) is also dealt, row by row, to the bucket before, and a
+    running minimum from late to early that ends ``lo`` before the row gives the
+    next target.  NULL users never match."""
+    if not 0 <= lo_us <= hi_us < bucket_us:
+        raise ValueError("need 0 <= lo <= hi < bucket width")
+    columns, width = rows.columns, F.lit(bucket_us)
+    bucket = F.floor(F.col(ts_col) / width)
+    own, before = (F.struct(b.alias("b"), F.lit(mine).alias("own")) for b, mine in ((bucket, True), (bucket - 1, False)))
+    early = F.col("_target") & F.col(user_col).isNotNull() & (F.pmod(F.col(ts_col), width) <= F.lit(hi_us))
+    dealt = rows.withColumn(KEY, key_text(rows, [user_col])).withColumn("_target", F.coalesce(target, F.lit(False)))
+    dealt = dealt.withColumn("_at", F.explode(F.when(early, F.array(own, before)).otherwise(F.array(own))))
+    dealt = dealt.select("*", F.col("_at.b").alias("_b"), F.col("_at.own").alias("_own"))
+    later = Window.partitionBy(KEY, "_b").orderBy(F.desc(ts_col)).rangeBetween(Window.unboundedPreceding, -lo_us)
+    after = F.min(F.when(F.col("_target") & F.col(user_col).isNotNull(), F.col(ts_col))).over(later)
+    hit = F.when(after <= F.col(ts_col) + F.lit(hi_us), F.lit(1)).otherwise(F.lit(0))
+    return dealt.withColumn(flag, hit).filter("_own").select(*columns, flag)

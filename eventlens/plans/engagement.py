@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventlens.functions.predicates import in_section
 from eventlens.functions.timeutil import date_from_shard, utc_date, week_sunday
-from eventlens.operators.joins import left_join_keyed
+from eventlens.operators.joins import KEY, left_join_keyed, with_key
 from eventlens.operators.login import first_login, first_time_label
-from eventlens.operators.range_exists import exists_within
+from eventlens.operators.range_exists import followed_within
 from eventlens.plans.common import BANNER, GAMEPLAY, flag, scan
 from eventlens.sources.events import shard_range
 
@@ -29,6 +29,10 @@ def _ev():
     return F.col("event_name")
 
 
+def _first_logins(events: DataFrame) -> DataFrame:
+    """First login per user, by the join's key."""
+    return first_login(with_key(events.select("event_name", "event_timestamp", "user_id"), "user_id"), user_col=KEY)
+
 
 def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to: str,
                                      section_path: str = "/tr/casino") -> DataFrame:
@@ -36,66 +40,66 @@ def banner_return_vs_gameplay_weekly(events: DataFrame, date_from: str, date_to:
     vs non-clickers' gameplay rate, first-time vs returning users.
 
     Clickers: distinct (user, session, click time, type); returned when the
-    same user has any section event 1..300 whole seconds later
-    (``exists_within``, linear, no pairs).  Non-clickers: distinct (user,
-    session, shard date, type) of section events whose (user, session) has no
-    banner click (NULL keys kept); gameplay = a gameplay event with the same
-    (user, session).  Rates divide by distinct session ids, as the source;
-    a group whose events all lack a session id has rate NULL (the source
+    same user has any section event 1..300 whole seconds later.  Non-clickers:
+    distinct (user, session, shard date, type) of section events whose (user,
+    session) has no banner click (NULL keys kept); gameplay = a gameplay event
+    with the same (user, session).  Rates divide by distinct session ids, as the
+    source; a group whose events all lack a session id has rate NULL (the source
     would fail with a division by zero).
 
-    No job runs while the frame is built.  The branches scan the days again
-    with their own column pruning and event filter: logins read no parameter
-    array, and each other branch aggregates before its shuffle."""
+    The section and gameplay events are one tagged stream: ``followed_within``
+    marks the clicks, then every event counts for its session's day and every
+    click for itself.  Days and clicks of a session are aggregated, map-side
+    first, and then meet the first logins in a single join, where a frequent
+    user's rows are spread.  No job runs while the frame is built."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
               ["user_id", "event_name", "event_timestamp", "event_date"])
-    sect = in_section("page_location", section_path)
-    ev = ev.select("user_id", "session_id", "event_name", "event_timestamp", "event_date",
-                   F.coalesce(sect, F.lit(False)).alias("_sect"))
-    ev = ev.filter(F.col("_sect") | _ev().isin(LOGIN, GAMEPLAY))
-    logins = first_login(shard_range(events, date_from, date_to).select("user_id", "event_name", "event_timestamp"))
-    visits = ev.filter(F.col("_sect")).select("user_id", "session_id", "event_timestamp", "event_date",
-                                              (_ev() == BANNER).alias("_click"))
-    # Banner clicks are section events: one join to the first logins labels
-    # both groups (the click time and the visit time are the event time).
-    labelled = left_join_keyed(visits, logins, ["user_id"], frequent=True).withColumn(
-        "user_type", first_time_label("event_timestamp"))
-
-    c = (labelled.filter(F.col("_click"))
-         .select("user_id", "session_id", F.col("event_timestamp").alias("click_ts"), "user_type").distinct())
-    c = exists_within(c, visits, "user_id", "click_ts", "event_timestamp",
-                      RETURN_LO_US, RETURN_HI_US, "returned_within_5min")
-    cw = c.groupBy(F.date_format(week_sunday(utc_date("click_ts")), "yyyy-MM-dd").alias("week_start"),
-                   "user_type").agg(
-        F.count_distinct("session_id").alias("sessions"),
-        F.count_distinct("user_id").alias("unique_users"),
-        F.sum("returned_within_5min").cast("long").alias("key_metric"))
-
-    # NOT EXISTS (banner click, same user and session) and EXISTS (gameplay,
-    # same user and session) both read one per-session aggregate: one
-    # aggregation and one join instead of two distincts and two joins.
-    per_session = (ev.filter(F.col("user_id").isNotNull() & F.col("session_id").isNotNull())
-                   .groupBy("user_id", "session_id").agg(
-                       F.max(flag(F.col("_sect") & (_ev() == BANNER))).alias("_clicked"),
-                       F.max(flag(_ev() == GAMEPLAY)).alias("_played")))
-    v = labelled.select("user_id", "session_id", date_from_shard("event_date").alias("event_date"),
-                        "user_type").distinct()
-    v = left_join_keyed(v, per_session, ["user_id", "session_id"])
-    v = v.filter(F.coalesce(F.col("_clicked"), F.lit(0)) == 0) \
-         .withColumn("initiated_gameplay", F.coalesce(F.col("_played"), F.lit(0)))
-    vw = v.groupBy(F.date_format(week_sunday("event_date"), "yyyy-MM-dd").alias("week_start"),
-                   "user_type").agg(
-        F.count_distinct("session_id").alias("sessions"),
-        F.count_distinct("user_id").alias("unique_users"),
-        F.sum("initiated_gameplay").cast("long").alias("key_metric"))
-
+    sect = F.coalesce(in_section("page_location", section_path), F.lit(False))
+    ev = ev.select("user_id", "session_id", "event_timestamp", "event_date", sect.alias("_sect"),
+                   (_ev() == GAMEPLAY).alias("_game"), (sect & (_ev() == BANNER)).alias("_click"))
+    ev = ev.filter(F.col("_sect") | F.col("_game"))
+    ev = followed_within(ev, "user_id", "event_timestamp", F.col("_sect"), RETURN_LO_US, RETURN_HI_US, "_back")
+
+    # Per event one row for its session's day, and per click one for the click.
+    # A day is a UTC day: first and last time of a span below 24 hours tell
+    # whether any event of it lies within 24 hours of the first login.
+    ts, nothing = F.col("event_timestamp"), F.lit(None)
+    keyed = F.col("user_id").isNotNull() & F.col("session_id").isNotNull()
+    visit = F.struct(nothing.cast("long").alias("click_ts"), F.when(F.col("_sect"), F.col("event_date")).alias("day"),
+                     F.when(F.col("_sect"), utc_date(ts)).alias("utc_day"), flag(keyed & F.col("_click")).alias("clicked"),
+                     flag(keyed & F.col("_game")).alias("metric"))
+    click = F.struct(ts.alias("click_ts"), nothing.cast("string").alias("day"), nothing.cast("date").alias("utc_day"),
+                     F.lit(0).alias("clicked"), F.col("_back").alias("metric"))
+    tagged = ev.select("user_id", "session_id", ts, F.inline(
+        F.when(F.col("_click"), F.array(visit, click)).otherwise(F.array(visit))))
+    days = tagged.groupBy("user_id", "session_id", "click_ts", "day", "utc_day").agg(
+        F.min("event_timestamp").alias("lo"), F.max("event_timestamp").alias("hi"),
+        F.max("clicked").alias("clicked"), F.max("metric").alias("metric"))
+    span = F.when(F.col("day").isNotNull(), F.struct("day", "lo", "hi"))
+    rows = days.groupBy("user_id", "session_id", "click_ts").agg(
+        F.collect_list(span).alias("spans"), F.max("clicked").alias("clicked"), F.max("metric").alias("metric"))
+    rows = rows.filter(F.col("click_ts").isNotNull() | ((F.col("clicked") == 0) & (F.size("spans") > 0))).drop("clicked")
+
+    logins = _first_logins(shard_range(events, date_from, date_to))
+    rows = left_join_keyed(rows, logins, ["user_id"], frequent=True)
+
+    def types(s):
+        """The day and user types of one span: both types when its ends differ."""
+        ends = F.array_distinct(F.array(*[first_time_label(s[end]) for end in ("lo", "hi")]))
+        return F.transform(ends, lambda t: F.struct(date_from_shard(s["day"]).alias("date"), t.alias("user_type")))
+
+    clicked = F.array(F.struct(utc_date("click_ts").alias("date"), first_time_label("click_ts").alias("user_type")))
+    visited = F.array_distinct(F.flatten(F.transform("spans", types)))
+    is_click = F.col("click_ts").isNotNull()
+    rows = rows.select("user_id", "session_id", "metric", F.when(is_click, F.lit(CLICKERS)).otherwise(F.lit(NON_CLICKERS)).alias("group_type"),
+                       F.inline(F.when(is_click, clicked).otherwise(visited)))
+    out = rows.groupBy(F.date_format(week_sunday("date"), "yyyy-MM-dd").alias("week_start"), "user_type", "group_type").agg(
+        F.count_distinct("session_id").alias("sessions"), F.count_distinct("user_id").alias("unique_users"),
+        F.sum("metric").cast("long").alias("key_metric"))
     rate = F.round(F.try_divide((F.lit(100) * F.col("key_metric")).cast("double"),
                                 F.col("sessions").cast("double")), 2)
-    out = (cw.withColumn("group_type", F.lit(CLICKERS))
-           .unionByName(vw.withColumn("group_type", F.lit(NON_CLICKERS)))
-           .select("week_start", "user_type", "group_type", "sessions", "unique_users", "key_metric",
-                   rate.alias("engagement_rate_pct")))
-    return out.orderBy(F.desc("week_start"), "user_type", "group_type")
+    return out.select("week_start", "user_type", "group_type", "sessions", "unique_users", "key_metric",
+                      rate.alias("engagement_rate_pct")).orderBy(F.desc("week_start"), "user_type", "group_type")
 
 
 def lobby_bounce_rate(events: DataFrame, date_from: str, date_to: str,
@@ -105,7 +109,7 @@ def lobby_bounce_rate(events: DataFrame, date_from: str, date_to: str,
     first-time vs returning by session start vs first login."""
     ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
               ["user_id", "event_name", "event_timestamp"])
-    logins = first_login(ev)
+    logins = _first_logins(ev)
     sess = (ev.filter(in_section("page_location", section_path) & F.col("session_id").isNotNull())
             .groupBy("user_id", "session_id").agg(
                 F.count(F.lit(1)).alias("session_events"),

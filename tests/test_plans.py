@@ -65,3 +65,13 @@ def test_building_the_weekly_return_starts_no_job(spark):
     run(spark, SF)
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == []
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_weekly_return_reads_two_scans_and_nine_exchanges(spark):
+    """The final plan, in which the sketch reuses the join's exchange."""
+    df = E.queries()["banner_return_vs_gameplay_weekly"](spark, SF)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= 3
+    shuffles = [line for line in final.splitlines() if " Exchange " in line]
+    assert len(shuffles) <= 9

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as E
-from eventlens.operators import exists_within, join_keyed, left_join_keyed
+from eventlens.operators import exists_within, followed_within, join_keyed, left_join_keyed
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,22 @@ def test_exists_within_equals_brute_force(spark, seed):
         assert got[i] == want, (i, u, ts)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_followed_within_equals_brute_force(spark, seed):
+    from pyspark.sql import functions as F
+    rnd = random.Random(seed)
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.randrange(0, 20_000_000_000), rnd.random() < 0.5) for _ in range(500)]
+    for _ in range(60):   # around bucket edges, and ties
+        t = 3_600_000_000 * rnd.randrange(1, 5) + rnd.randrange(-302_000_000, 2_000_000)
+        rows += [("a", t, True)] * 2 + [("a", t + rnd.choice([0, 999_999, 1_000_000, 300_999_999, 301_000_000]), rnd.random() < 0.8)]
+    lo, hi = 1_000_000, 300_999_999
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pid long, user_id string, ts long, section boolean")
+    got = {r.pid: r.f for r in followed_within(df, "user_id", "ts", F.col("section"), lo, hi, "f").collect()}
+    assert len(got) == len(rows)
+    for i, (u, ts, _) in enumerate(rows):
+        assert got[i] == int(u is not None and any(v == u and s and lo <= t - ts <= hi for v, t, s in rows)), (i, u, ts)
+
+
 def test_keyed_join_keeps_null_semantics(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), ("b", None), ("n5", 1), ("v", 1)], "user_id string, session_id long")
     right = spark.createDataFrame([("a", 1, 7), (None, 1, 8), ("b", None, 9), ("v", 1, 5)], "user_id string, session_id long, x int")
@@ -107,6 +123,16 @@ def test_one_busy_user_in_one_bucket_is_linear(spark):
     assert time.time() - began < 60   # a frame recomputed per row takes minutes
 
 
+def test_busy_user_in_the_tagged_stream_is_linear(spark):
+    import time
+    from pyspark.sql import functions as F
+    rows = spark.range(40000).select(F.lit("u").alias("user_id"), (F.col("id") * 1000).alias("ts"))
+    began = time.time()
+    out = followed_within(rows, "user_id", "ts", F.lit(True), 1_000_000, 300_999_999, "f")
+    assert out.agg(F.sum("f")).first()[0] == 39000
+    assert time.time() - began < 60
+
+
 RATE_QUERIES = ["lobby_session_baseline", "fast_game_start_rates", "identifier_coverage", "weekly_lobby_kpi",
                 "daily_lobby_kpi"]
 

@@ -1,7 +1,7 @@
 """Run one analysis over an event export and write the result.
 
     python -m eventlens <analysis> --events PATH [--deposits PATH [--deposits-by-day]] --out PATH
-        [--format csv|parquet] [--show [ROWS]] name=value ...
+        [--format csv|parquet] [--versioned] [--show [ROWS]] name=value ...
 
 ``--out`` is the result; ``--show`` prints at most ROWS rows (100) and says how
 many there are.  One of the two is required.
@@ -60,6 +60,7 @@ def main(argv=None) -> int:
                     help="--deposits is kept by day (sources.deposits.write_deposits_by_day): other days are not read")
     ap.add_argument("--out")
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    ap.add_argument("--versioned", action="store_true", help="publish --out as a snapshot (sources.snapshots)")
     ap.add_argument("--master")
     ap.add_argument("--cores", type=int, help="total executor cores: apply eventlens.session.cluster_conf")
     ap.add_argument("--input-gb", type=int, default=0, help="size of the scanned days, for the number of shuffle partitions")
@@ -91,7 +92,7 @@ def main(argv=None) -> int:
         kwargs[k] = _coerce(k, v, None if d is inspect.Parameter.empty else d)
     df = fn(**kwargs)
     if a.out:
-        (write_csv if a.format == "csv" else write_parquet)(df, a.out)
+        (write_csv if a.format == "csv" else write_parquet)(df, a.out, versioned=a.versioned)
     if a.show is not None:
         total = df.count()
         df.show(a.show, truncate=False)

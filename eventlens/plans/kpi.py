@@ -5,71 +5,60 @@ mobile and tablet) with metrics over every event of the session.  They are
 built on ``lobby_session_rollup`` (hash aggregation per session, no join
 back; a second small pass merges the string attribute OS); see
 ``eventlens.operators.sessions`` for why that equals the join form, NULL-key
-sessions included (they stay in the denominators with no-match metrics).
+sessions included (they stay in the denominators with no-match metrics).  The
+same analyses take a table of daily session states in place of the events
+(``plans.session_states``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens.functions.identity import user_type_by_session_number
-from eventlens.functions.predicates import lobby_root, lobby_root_any_locale, mobile_or_tablet
+from eventlens.functions.predicates import lobby_root, lobby_root_any_locale
 from eventlens.functions.timeutil import secs_between, utc_date, week_monday
 from eventlens.operators.sessions import NOT_KEYED, lobby_session_rollup
-from eventlens.plans.common import BANNER, GAMEPLAY, PAGE_VIEW, PROMO_AREA, flag, scan
-
-SEARCH = "search_window_initiated"
-SCROLL = "scroll"
-DEP_WINDOW = "deposit_window_opened"
-DEP_INIT = "deposit_initiated"
-DEP_OK = "deposit_success"
-
-def _ev():
-    return F.col("event_name")
-
-def _ts():
-    return F.col("event_timestamp")
-
-def _is_promo():
-    return (_ev() == BANNER) & (F.col("navigation_selection") == PROMO_AREA)
-
-
-
-def _first(cond: Column) -> tuple[str, Column, object]:
-    """``MIN(IF(cond, ts, NULL))``."""
-    return "min", F.when(cond, _ts()), NOT_KEYED
-
-
-def _has(cond: Column) -> tuple[str, Column, object]:
-    """``MAX(IF(cond, 1, 0))``: 0 when nothing matched."""
-    return "max", flag(cond), 0
-
-
-def _count(cond: Column) -> tuple[str, Column, object]:
-    """``COUNTIF(cond)``."""
-    return "count_if", cond, 0
-
-
-def _any(cond: Column, names: Sequence[str]) -> tuple[str, Column, object]:
-    """``LOGICAL_OR(cond)`` over the session events restricted to ``names``:
-    NULL when the session has none of them, three-valued otherwise."""
-    return "bool_or", F.when(_ev().isin(*names), cond), NOT_KEYED
-
-
-def _lobby_events(events: DataFrame, date_from: str, date_to: str, names: Sequence[str],
-                  user_col: str = "user_id") -> DataFrame:
-    """Page views and the events that the metrics read; no other event can
-    change a session's row, so the filter goes down to the scan."""
-    used = events.filter(_ev().isin(PAGE_VIEW, *names))
-    return scan(used, date_from, date_to,
-                ["ga_session_id", "ga_session_number", "page_location", "navigation_selection"],
-                [user_col, "event_name", "event_timestamp", "device_category", "operating_system"])
-
-
-def _lobby_row(path_pred: Column) -> Column:
-    return (_ev() == PAGE_VIEW) & mobile_or_tablet("device_category") & path_pred
+from eventlens.plans.common import PAGE_VIEW, flag, scan
+from eventlens.plans.session_states import DAILY_EVENTS, SIGNALS, is_states, lobby_row, sessions_from_states, signal
+
+def _rollup_metric(kind: str, name: str) -> tuple[str, Column, object]:
+    """A metric over the events of a session: first ``MIN(IF(cond, ts, NULL))``,
+    count ``COUNTIF(cond)``, has ``MAX(IF(cond, 1, 0))`` (0 when nothing
+    matched), daily ``LOGICAL_OR(cond)`` over the daily events only (NULL when
+    the session has none of them, three-valued otherwise)."""
+    cond = signal(name)
+    return {"first": ("min", F.when(cond, F.col("event_timestamp")), NOT_KEYED),
+            "count": ("count_if", cond, 0),
+            "has": ("max", flag(cond), 0),
+            "daily": ("bool_or", F.when(F.col("event_name").isin(*DAILY_EVENTS), cond), NOT_KEYED)}[kind]
+
+
+def _sessions(events: DataFrame, date_from: str, date_to: str, lobby: str, metrics: Mapping[str, tuple[str, str]],
+              user_col: str = "user_id", **path: str) -> DataFrame:
+    """Lobby sessions with ``metrics`` (name -> kind and signal), rolled up from
+    events or merged from daily states (``session_states``).
+
+    Only page views and the events that the metrics read are scanned; no other
+    event can change a session's row.  Brand, host and device category of the
+    source's per-session stage are functionally dependent on the session and
+    never reach an output, so they are not computed."""
+    if is_states(events):
+        return sessions_from_states(events, date_from, date_to, lobby, metrics, user_col, **path)
+    names = {SIGNALS[s] for _, s in metrics.values()}
+    if any(kind == "daily" for kind, _ in metrics.values()):
+        names.update(DAILY_EVENTS)
+    used = events.filter(F.col("event_name").isin(PAGE_VIEW, *sorted(names)))
+    ev = scan(used, date_from, date_to, ["ga_session_id", "ga_session_number", "page_location", "navigation_selection"],
+              [user_col, "event_name", "event_timestamp", "device_category", "operating_system"])
+    here = lobby_root("page_location", path["lobby_path"]) if lobby == "root" else \
+        lobby_root_any_locale("page_location", path["locale"], path["section"])
+    return lobby_session_rollup(
+        ev, lobby_row(here), user_col=user_col,
+        attrs={"operating_system": (F.col("operating_system"), "min"),
+               "ga_session_number": (F.col("ga_session_number"), "max")},
+        metrics={name: _rollup_metric(*metric) for name, metric in metrics.items()})
 
 
 def lobby_session_baseline(events: DataFrame, date_from: str, date_to: str,
@@ -77,24 +66,12 @@ def lobby_session_baseline(events: DataFrame, date_from: str, date_to: str,
                            accuracy: int = 10000) -> DataFrame:
     """Q07: session KPI baseline (gameplay, promo, discovery, deposit guardrails,
     median and p75 time to first game) by user type and OS."""
-    ev = _lobby_events(events, date_from, date_to, (GAMEPLAY, BANNER, SEARCH, SCROLL, DEP_WINDOW, DEP_OK))
-    lobby = _lobby_row(lobby_root_any_locale("page_location", locale, section))
-    sess = lobby_session_rollup(
-        ev, lobby,
-        # brand, host and device category of the source's per-session stage
-        # are functionally dependent on the session and never reach the
-        # output, so they are not computed.
-        attrs={"operating_system": (F.col("operating_system"), "min"),
-               "ga_session_number": (F.col("ga_session_number"), "max")},
-        metrics={"first_gameplay_ts": _first(_ev() == GAMEPLAY),
-                 "gameplay_events": _count(_ev() == GAMEPLAY),
-                 "has_gameplay": _has(_ev() == GAMEPLAY),
-                 "promo_click_events": _count(_is_promo()),
-                 "has_promo_click": _has(_is_promo()),
-                 "has_search_window": _has(_ev() == SEARCH),
-                 "has_scroll": _has(_ev() == SCROLL),
-                 "has_deposit_window_opened": _has(_ev() == DEP_WINDOW),
-                 "has_deposit_success": _has(_ev() == DEP_OK)})
+    sess = _sessions(events, date_from, date_to, "any", {
+        "first_gameplay_ts": ("first", "gameplay"), "gameplay_events": ("count", "gameplay"), "has_gameplay": ("has", "gameplay"),
+        "promo_click_events": ("count", "promo"), "has_promo_click": ("has", "promo"),
+        "has_search_window": ("has", "search"), "has_scroll": ("has", "scroll"),
+        "has_deposit_window_opened": ("has", "deposit_window"), "has_deposit_success": ("has", "deposit_success"),
+    }, locale=locale, section=section)
     ttf = secs_between("first_gameplay_ts", "lobby_first_ts")
     q = F.percentile_approx(ttf, [0.5, 0.75], accuracy)
     out = sess.groupBy(user_type_by_session_number().alias("user_type"), "operating_system").agg(
@@ -118,13 +95,8 @@ def fast_game_start_rates(events: DataFrame, date_from: str, date_to: str,
                           thresholds: Sequence[int] = (10, 15, 30, 60)) -> DataFrame:
     """Q09: share of lobby sessions starting a game within N seconds of the
     first lobby view (negative times, i.e. a game before the lobby, count)."""
-    ev = _lobby_events(events, date_from, date_to, (GAMEPLAY, BANNER))
-    sess = lobby_session_rollup(
-        ev, _lobby_row(lobby_root("page_location", lobby_path)),
-        attrs={"operating_system": (F.col("operating_system"), "min"),
-               "ga_session_number": (F.col("ga_session_number"), "max")},
-        metrics={"first_gameplay_ts": _first(_ev() == GAMEPLAY),
-                 "first_promo_click_ts": _first(_is_promo())})
+    sess = _sessions(events, date_from, date_to, "root", {
+        "first_gameplay_ts": ("first", "gameplay"), "first_promo_click_ts": ("first", "promo")}, lobby_path=lobby_path)
     fg, fp = F.col("first_gameplay_ts"), F.col("first_promo_click_ts")
     ttf = secs_between(fg, "lobby_first_ts")
     has_g = fg.isNotNull()
@@ -146,18 +118,11 @@ def weekly_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
     session start) without the session identity, so sessions that share a
     start microsecond merge.  ``by_identity=True`` keeps every session as its
     own row (the corrected form)."""
-    ev = _lobby_events(events, date_from, date_to, (GAMEPLAY, BANNER, DEP_OK, DEP_INIT, DEP_WINDOW, SCROLL, SEARCH))
-    sess = lobby_session_rollup(
-        ev, _lobby_row(lobby_root("page_location", lobby_path)),
-        attrs={"operating_system": (F.col("operating_system"), "min"),
-               "ga_session_number": (F.col("ga_session_number"), "max")},
-        metrics={"first_gameplay_ts": _first(_ev() == GAMEPLAY),
-                 "first_promo_ts": _first(_is_promo()),
-                 "has_deposit_success": _has(_ev() == DEP_OK),
-                 "has_deposit_initiated": _has(_ev() == DEP_INIT),
-                 "has_deposit_window_opened": _has(_ev() == DEP_WINDOW),
-                 "has_scroll": _has(_ev() == SCROLL),
-                 "has_search_window": _has(_ev() == SEARCH)})
+    sess = _sessions(events, date_from, date_to, "root", {
+        "first_gameplay_ts": ("first", "gameplay"), "first_promo_ts": ("first", "promo"),
+        "has_deposit_success": ("has", "deposit_success"), "has_deposit_initiated": ("has", "deposit_initiated"),
+        "has_deposit_window_opened": ("has", "deposit_window"), "has_scroll": ("has", "scroll"),
+        "has_search_window": ("has", "search")}, lobby_path=lobby_path)
     flags = ["has_deposit_success", "has_deposit_initiated", "has_deposit_window_opened",
              "has_scroll", "has_search_window"]
     identity = ["user_id", "session_id"] if by_identity else []
@@ -186,9 +151,6 @@ def weekly_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
     return out.orderBy(F.desc("week_start"), F.desc("sessions"), "operating_system", "user_type")
 
 
-DAILY_EVENTS = (GAMEPLAY, BANNER, DEP_OK, DEP_INIT, DEP_WINDOW)
-
-
 def daily_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
                     lobby_path: str = "/tr/casino", user_col: str = "user_id") -> DataFrame:
     """Q12 / Q13: daily KPI and data-quality check of mobile lobby sessions.
@@ -197,17 +159,10 @@ def daily_lobby_kpi(events: DataFrame, date_from: str, date_to: str,
     session without any of them has NULL flags, which the rate averages skip
     (the time-threshold rates use CASE and count every session).  Q13 is
     ``user_col="user_pseudo_id"``."""
-    ev = _lobby_events(events, date_from, date_to, DAILY_EVENTS, user_col)
-    sess = lobby_session_rollup(
-        ev, _lobby_row(lobby_root("page_location", lobby_path)), user_col=user_col,
-        attrs={"operating_system": (F.col("operating_system"), "min"),
-               "ga_session_number": (F.col("ga_session_number"), "max")},
-        metrics={"first_gameplay_ts": _first(_ev() == GAMEPLAY),
-                 "has_gameplay": _any(_ev() == GAMEPLAY, DAILY_EVENTS),
-                 "has_promo_click": _any(_is_promo(), DAILY_EVENTS),
-                 "has_deposit_window": _any(_ev() == DEP_WINDOW, DAILY_EVENTS),
-                 "has_deposit_initiated": _any(_ev() == DEP_INIT, DAILY_EVENTS),
-                 "has_deposit_success": _any(_ev() == DEP_OK, DAILY_EVENTS)})
+    sess = _sessions(events, date_from, date_to, "root", {
+        "first_gameplay_ts": ("first", "gameplay"), "has_gameplay": ("daily", "gameplay"), "has_promo_click": ("daily", "promo"),
+        "has_deposit_window": ("daily", "deposit_window"), "has_deposit_initiated": ("daily", "deposit_initiated"),
+        "has_deposit_success": ("daily", "deposit_success")}, user_col, lobby_path=lobby_path)
     ttf = secs_between("first_gameplay_ts", "lobby_first_ts")
     g = F.col("has_gameplay")
     out = sess.groupBy(utc_date("lobby_first_ts").alias("activity_date"), "operating_system",

@@ -21,6 +21,7 @@ from eventlens.functions.timeutil import micros_of_ntz
 from eventlens.session import checkpoint_dir
 from eventlens.sources.deposits import DAY, by_day, read_deposits_by_day
 from eventlens.sources.events import read_events
+from eventlens.sources.files import exists, file_system
 
 FIXTURE_VERSION = "fixture-v4"
 
@@ -164,17 +165,6 @@ _LOCK = threading.Lock()
 _MEMO: dict = {}   # (session, table root) -> resolved DataFrames; no data is held
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
 def _publish(spark: SparkSession, df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Write ``df`` to a unique temporary folder and rename it to ``path``.
 
@@ -186,8 +176,8 @@ def _publish(spark: SparkSession, df: DataFrame, path: str, partition_by: str |
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(tmp)
-    fs, src = _fs(spark, tmp)
-    _, dst = _fs(spark, path)
+    fs, src = file_system(spark, tmp)
+    _, dst = file_system(spark, path)
     if not fs.rename(src, dst) and not fs.exists(dst):
         raise RuntimeError(f"could not publish {path}")
 
@@ -199,7 +189,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     for fn in (fixture_events, fixture_deposits, _param):
         h.update(inspect.getsource(fn).encode())
     for t in ("events", "orders"):
-        fs, p = _fs(spark, f"{sf_dir}/{t}.parquet")
+        fs, p = file_system(spark, f"{sf_dir}/{t}.parquet")
         h.update(f"{p}|{fs.getContentSummary(p).getLength()}|{fs.getFileStatus(p).getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
@@ -223,11 +213,42 @@ def load_fixture(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
         if hit is not None:
             return hit
         ev_path, dep_path = f"{root}/events", f"{root}/deposits"
-        if not _fs_exists(spark, f"{ev_path}/_SUCCESS"):
+        if not exists(spark, f"{ev_path}/_SUCCESS"):
             _publish(spark, fixture_events(spark.read.parquet(f"{sf_dir}/events.parquet")).hint("rebalance", "event_date"),
                      ev_path, "event_date")
-        if not _fs_exists(spark, f"{dep_path}/_SUCCESS"):
+        if not exists(spark, f"{dep_path}/_SUCCESS"):
             _publish(spark, by_day(fixture_deposits(spark.read.parquet(f"{sf_dir}/orders.parquet"))), dep_path, DAY)
         out = (read_events(spark, ev_path), read_deposits_by_day(spark, dep_path))
         _MEMO[memo_key] = out
         return out
+
+
+def _store(spark: SparkSession, sf_dir: str, name: str, version: str) -> str:
+    """Folder of a table derived from the adapted events by code ``version``."""
+    code = hashlib.sha1(version.encode()).hexdigest()[:12]
+    return f"{checkpoint_dir(spark).rstrip('/')}/eventlens-{name}-{_fingerprint(spark, sf_dir)}-{code}"
+
+
+def load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily session states of the adapted events, written once."""
+    from eventlens.plans import session_states
+    path = _store(spark, sf_dir, "states", inspect.getsource(session_states))
+    events, _ = load_fixture(spark, sf_dir)
+    with _LOCK:
+        if not exists(spark, f"{path}/_SUCCESS"):
+            _publish(spark, session_states.session_states(events).hint("rebalance", "event_date"), path, "event_date")
+    return session_states.read_session_states(spark, path)
+
+
+def load_bucketed(spark: SparkSession, sf_dir: str, buckets: int = 8) -> DataFrame:
+    """The adapted events as a bucketed table, written once."""
+    from eventlens.sources import bucketed, layout
+    path = _store(spark, sf_dir, f"bucketed{buckets}", inspect.getsource(bucketed) + inspect.getsource(layout))
+    events, _ = load_fixture(spark, sf_dir)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    with _LOCK:
+        if not spark.catalog.tableExists(table):
+            bucketed.create_bucketed_events(spark, table, path, buckets)
+        if not exists(spark, f"{path}/_SUCCESS"):
+            bucketed.add_bucketed_events(events, table, buckets)
+    return bucketed.read_bucketed_events(spark, table)

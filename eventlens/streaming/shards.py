@@ -9,6 +9,7 @@ from eventlens.functions.params import flatten
 from eventlens.functions.predicates import lobby_root, mobile_or_tablet
 from eventlens.schema import EVENTS
 from eventlens.session import checkpoint_dir
+from eventlens.sources.snapshots import publish
 
 
 def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -38,7 +39,8 @@ def start_event_inventory(spark: SparkSession, source: str, date_from: str, date
 
     Complete-mode aggregation: state is one row per event name.  With
     ``sink="memory"`` the result is the table ``query_name``; otherwise
-    ``sink`` is a path and each trigger rewrites the Parquet snapshot there."""
+    ``sink`` is a path where each trigger publishes a Parquet snapshot
+    (``sources.snapshots.read_snapshot``)."""
     counts = event_inventory_counts(read_event_stream(spark, source), date_from, date_to)
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{query_name}"
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", ckpt).queryName(query_name)
@@ -46,5 +48,5 @@ def start_event_inventory(spark: SparkSession, source: str, date_from: str, date
         return w.format("memory").start()
 
     def snapshot(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        publish(batch, sink)
     return w.foreachBatch(snapshot).start()

@@ -5,6 +5,7 @@ import tempfile
 
 from eventlens import plans
 from eventlens.sources.fixtures import load_fixture
+from eventlens.sources import read_snapshot
 from eventlens.streaming import start_event_inventory
 from eventlens.streaming.shards import read_event_stream
 
@@ -36,6 +37,6 @@ def test_stream_parquet_snapshot_sink(spark):
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {r.event_name: r.event_count for r in spark.read.parquet(base + "/out").collect()}
+    got = {r.event_name: r.event_count for r in read_snapshot(spark, base + "/out").collect()}
     want = {r.event_name: r.event_count for r in plans.lobby_event_inventory(events, "20231231", "20240131").collect()}
     assert got == want

@@ -84,12 +84,13 @@ def _scan(w: int):
                 no_right = pos + 2 * b > first[doc + 1]
                 no_left = pos - b < first[doc]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(words.rows.start, n_docs), pa.array(np.diff(first), pa.int32()),
+                    batch.column(0).slice(words.rows.start, n_docs), batch.column(2).slice(words.rows.start, n_docs),
+                    pa.array(np.diff(first), pa.int32()),
                     pa.array([s.hex() for s in shas], pa.string()), pa.array(map(_class_key, shas), pa.int64()),
                     _list(at, pos - first[doc], pa.int32()), _list(at, small[pos].view(np.int64), pa.int64()),
                     _list(at, pad[pos].view(np.int64), pa.int64(), no_right),
                     _list(at, pad[np.maximum(pos - b, 0)].view(np.int64), pa.int64(), no_left)],
-                    names=["id", "n_words", "sha", "c", "pos", "one", "right", "left"])
+                    names=["id", "k", "n_words", "sha", "c", "pos", "one", "right", "left"])
     return run
 
 
@@ -155,16 +156,16 @@ def _repeating(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
 
 def _surviving(marks: DataFrame) -> DataFrame:
-    """Levels 1 and 2: (id, c, sides) of the documents that still have
-    candidates."""
-    one = marks.select("id", "c", F.explode(F.arrays_zip("pos", "one", "right", "left")).alias("m")).select("id", "c", "m.*")
+    """Levels 1 and 2: (id, c, k, sides) of the documents that still have
+    candidates, k being the content key of one of their texts."""
+    one = marks.select("id", "c", "k", F.explode(F.arrays_zip("pos", "one", "right", "left")).alias("m")).select("id", "c", "k", "m.*")
     one = skew_join(one, _repeating(one, ["one"], "level1").drop("low"), ["one"], "rows")
-    two = stage(one.select("id", "c", F.explode(F.array(
+    two = stage(one.select("id", "c", "k", F.explode(F.array(
         F.struct((2 * F.col("pos")).alias("side"), F.col("right").alias("two")),
         F.struct((2 * F.col("pos") + 1).alias("side"), F.col("left").alias("two")))).alias("m"))
-        .select("id", "c", "m.*").filter("two is not null"), "doubled")
+        .select("id", "c", "k", "m.*").filter("two is not null"), "doubled")
     two = skew_join(two, _repeating(two, ["two"], "level2").drop("low"), ["two"], "rows")
-    return two.groupBy("id", "c").agg(F.collect_set("side").alias("sides"))
+    return two.groupBy("id", "c").agg(F.min("k").alias("k"), F.collect_set("side").alias("sides"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -175,14 +176,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs outside 0x20 and 0x09-0x0D, unchanged.  Windows are judged
     on the input.  Null and empty texts have no words; texts shorter than a
     window lose nothing.  Rows that repeat an id never remove each other's
-    words; a null id counts as the largest and is returned as null.  An empty
-    table gives an empty result."""
+    words; a null id counts as the largest and is returned as null.  Texts are
+    found again by (id, hash of the text), so many rows without an id, or with
+    the same one, cost no more than others.  An empty table gives an empty
+    result."""
     if window < 2:
         raise ValueError("a window has at least two words")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    source = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(key.alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("k"))
     rows = stage(source.mapInArrow(
-        _scan(window), "id long, n_words int, sha string, c long, pos array<int>, one array<long>, "
+        _scan(window), "id long, k long, n_words int, sha string, c long, pos array<int>, one array<long>, "
                        "right array<long>, left array<long>"), "scan")
     narrow = rows.select("id", "n_words", "sha", "c")
     classes = stage(narrow.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
@@ -190,11 +193,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = member.filter("id > first").select("id", "c").distinct()
 
     cand = stage(_surviving(exclude(rows.filter(F.col("n_words") >= window), copies, ["id", "c"])), "candidates")
-    found = stage(prefilter(source, cand, "id").join(cand, "id").select("id", "c", "text", "sides").mapInArrow(
+    found = stage(prefilter(source, cand, "k").join(cand, ["id", "k"]).select("id", "c", "text", "sides").mapInArrow(
         _windows(window), "id long, c long, start int, ha long, hb long"), "windows")
     gone = skew_join(found, _repeating(found, ["ha", "hb"], "level3"), ["ha", "hb"], "rows").filter("id > low")
     spans = stage(gone.groupBy("id", "c").agg(F.collect_set("start").alias("starts")), "spans")
-    cut = prefilter(source, spans, "id").join(spans, "id").select("id", "c", "text", "starts").mapInArrow(
+    spans = spans.join(cand.select("id", "c", "k"), ["id", "c"])
+    cut = prefilter(source, spans, "k").join(spans, ["id", "k"]).select("id", "c", "text", "starts").mapInArrow(
         _cut(window), "id long, c long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["id", "c"])
 
     copy = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)

@@ -240,8 +240,11 @@ def _linked(ids: DataFrame, classes: DataFrame, index: Index) -> DataFrame:
     info = classes.select("cid", "first", "w").join(counts, "cid", "left")
     comp = components(found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     info = info.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-    low = info.filter("component is not null").groupBy("component").agg(F.min("first").alias("low"))
-    info = stage(info.join(low, "component", "left").select(
+    info = stage(info, "classes_linked")
+    low = stage(info.filter("component is not null").groupBy("component").agg(
+        F.min("first").alias("low"), F.count("*").alias("size")), "components")
+    linked = skew_join(info.filter("component is not null"), low, ["component"], "size").drop("size")
+    info = stage(linked.unionByName(info.filter("component is null").withColumn("low", F.lit(None).cast("long"))).select(
         "cid", "w", (F.coalesce("linked", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id")), "info")
     return skew_join(ids, info, ["cid"], "w").select("id", "n_links", "component_id")
 

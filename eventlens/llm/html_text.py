@@ -3,7 +3,9 @@ and aligned tables.
 
 The standard library's tokenizer feeds a small tree builder that closes elements
 the way browsers imply it (a paragraph before a block, a list item before the
-next one, cells before rows, ...).  Rendering walks the tree without recursion.
+next one, cells before rows, ...).  Nothing recurses: a tree is walked with a
+stack, and tables are laid out from the innermost outwards, so pages may nest
+as deep as they like.
 
 Visible is what is not in an element that is never shown (head, script, ...),
 ``hidden``, ``display:none`` (inline or by a simple style rule for a tag, class
@@ -14,6 +16,7 @@ until a descendant turns it on again.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = set("head title style script template noscript noframes iframe object audio video canvas datalist svg math".split())
+NEVER = set("head title style script template noscript noframes iframe object audio video canvas datalist "
+            "defs desc metadata annotation annotation-xml".split())
 APART = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = APART | set("address article aside body center details dialog dd div dt fieldset figcaption footer form header "
                     "hgroup html legend li main menu nav option optgroup search section summary tr caption".split())
@@ -39,9 +43,16 @@ CLOSES = {
 P_SCOPE = {"table", "td", "th", "button", "caption", "html", "body"}
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"[.#]?[A-Za-z][\w-]*")
+WHOLE = re.compile(r"\s*([+-]?\d{1,9})(?!\d)", re.ASCII)
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
+def _number(value: str | None, default: int) -> int:
+    """A leading whole number of up to nine digits, else the default."""
+    found = WHOLE.match(value or "")
+    return int(found[1]) if found else default
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -56,30 +67,39 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.count = Counter(html=1)    # open elements by tag
         self.hide: dict[str, str] = {}
 
     def _close(self, tags: set, stop: set) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in tags:
+                self.count.subtract(n.tag for n in self.open[i:])
                 del self.open[i:]
                 return
             if tag in stop:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """Marked sections mean nothing in HTML: comments, up to the next ">"."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and self.count[tag]:
             return
         if tag in BLOCK:
             self._close({"p"}, P_SCOPE)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         elif self.open[-1].tag == "head" and tag not in NEVER | VOID:
-            self.open.pop()  # content that ends the head
+            self.count[self.open.pop().tag] -= 1  # content that ends the head
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -103,7 +123,7 @@ class Builder(HTMLParser):
                         self.hide[s if s[0] in ".#" else s.lower()] = "none" if "display:none" in body else "hidden"
         else:
             if top.tag == "head" and data.strip():
-                self.open.pop()
+                self.count[self.open.pop().tag] -= 1
             self.open[-1].children.append(data)
 
 
@@ -177,58 +197,100 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _table(node: Node, hide: dict, shown: bool) -> list[str]:
-    """Aligned rows: every cell on one line, columns two spaces apart; a cell
-    that spans columns does not widen them."""
-    rows, todo = [], [(c, shown) for c in reversed(node.children)]
-    captions = []
+def _cells(node: Node, hide: dict, shown: bool) -> tuple[list[list[Node | str]], list[list[bool]], list[tuple[Node | str, bool]]]:
+    """Rows of cells of a table, whether each is shown, and what is in the table
+    outside of rows."""
+    rows, visible, apart = [], [], []
+    todo = [(c, shown) for c in reversed(node.children)]
     while todo:
         child, on = todo.pop()
         if isinstance(child, str):
-            if on and child.strip():
-                captions.append(SPACE.sub(" ", child).strip())
+            if child.strip():
+                apart.append((child, on))
             continue
         how = _hiding(child, hide)
         if how == "none":
             continue
         on = on if how is None else how == "visible"
         if child.tag == "tr":
-            row = []
+            rows.append([])
+            visible.append([])
             for cell in child.children:
-                if isinstance(cell, str) and not cell.strip():
-                    continue
-                wrap = cell if isinstance(cell, Node) else Node("td", {})
-                if wrap is not cell:
-                    wrap.children.append(cell)
-                if _hiding(wrap, hide) == "none":
-                    continue
-                span = str(wrap.attrs.get("colspan") or "1")
-                row.append((" ".join(SPACE.sub(" ", layout(wrap, hide, on)).split()), min(1000, max(1, int(span))) if span.isdecimal() else 1))
-            rows.append(row)
+                own = None if isinstance(cell, str) else _hiding(cell, hide)
+                if own != "none" and not (isinstance(cell, str) and not cell.strip()):
+                    rows[-1].append(cell)
+                    visible[-1].append(on if own is None else own == "visible")
         elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
             todo.extend((c, on) for c in reversed(child.children))
         else:
-            captions.append(" ".join(layout(child, hide, on).split()))
+            apart.append((child, on))
+    return rows, visible, apart
+
+
+def _lines(part: Node | str, hide: dict, on: bool, done: dict) -> list[str]:
+    if isinstance(part, str):
+        return [SPACE.sub(" ", part).strip()] if on and part.strip() else []
+    text = layout(part, hide, on, done)
+    return text.split("\n") if text else []
+
+
+def _table(node: Node, hide: dict, shown: bool, done: dict) -> list[str]:
+    """Aligned rows: columns two spaces apart, a cell as many lines high as its
+    blocks are; a cell that spans columns does not widen them, one that spans
+    rows keeps its column in the rows below."""
+    rows, visible, apart = _cells(node, hide, shown)
+    out = [line for part, on in apart for line in _lines(part, hide, on, done)]
+    placed: list[list[tuple[int, int, list[str]]]] = []
     width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), len(text))
-            at += span
-    lines = [c for c in captions if c]
-    for row in rows:
-        line, at = "", 0
-        for text, span in row:
-            room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * span
-            line, at = line + text.ljust(room if len(text) <= room - 2 else len(text) + 2), at + span
-        if line.strip():
-            lines.append(line.rstrip())
-    return lines
-
-
-def layout(root: Node, hide: dict, shown: bool = True) -> str:
-    """Text of a subtree."""
+    below: dict[int, int] = {}   # column -> rows that a cell from above still covers
+    for row, on in zip(rows, visible):
+        at, line, covered = 0, [], {c: n - 1 for c, n in below.items() if n > 1}
+        for cell, shows in zip(row, on):
+            while at in below:
+                at += 1
+            attrs = {} if isinstance(cell, str) else cell.attrs
+            wide = min(1000, max(1, _number(attrs.get("colspan"), 1)))
+            high = min(65534, max(1, _number(attrs.get("rowspan"), 1)))
+            text = _lines(cell, hide, shows, done)
+            if wide == 1:
+                width[at] = max(width.get(at, 0), max(map(len, text), default=0))
+            if high > 1:
+                covered.update((c, high - 1) for c in range(at, at + wide))
+            line.append((at, wide, text))
+            at += wide
+        below = covered
+        placed.append(line)
+    left, total = {}, 0
+    for c in range(max((at + wide for line in placed for at, wide, _ in line), default=0) + 1):
+        left[c], total = total, total + (width[c] + 2 if c in width else 2)
+    for line in placed:
+        for i in range(max((len(text) for _, _, text in line), default=0)):
+            row = ""
+            for at, _, text in line:
+                if i < len(text) and text[i]:
+                    gap = max(left[at] - len(row), 2 if row else 0)
+                    row += " " * gap + text[i]
+            out.append(row.rstrip())
+    return out
+
+
+def _tables(root: Node, hide: dict) -> list[tuple[Node, bool]]:
+    """Tables that are laid out, outer before inner, and whether they are shown."""
+    found, todo = [], [(root, True)]
+    while todo:
+        node, on = todo.pop()
+        how = _hiding(node, hide) if node is not root else None
+        if how == "none":
+            continue
+        on = on if how is None else how == "visible"
+        if node.tag == "table":
+            found.append((node, on))
+        todo.extend((c, on) for c in node.children if isinstance(c, Node))
+    return found
+
+
+def layout(root: Node, hide: dict, shown: bool = True, done: dict | None = None) -> str:
+    """Text of a subtree; ``done`` holds the lines of the tables in it."""
     page = Page()
     todo: list = [("in", root, shown, False)]
     lists: list = []  # [ordered, next number]
@@ -256,18 +318,19 @@ def layout(root: Node, hide: dict, shown: bool = True) -> str:
             continue
         if tag in BLOCK:
             page.end(apart=tag in APART and not (tag in ("ul", "ol") and lists))
-        if tag == "table" and node is not root:
-            for line in _table(node, hide, on):
+        if tag == "table":
+            for line in (done or {}).get(id(node), ()):
                 page.text(line, True)
-                page.end()
+                page.end(force=not line)
             page.end(apart=True)
             continue
         if tag in ("ul", "ol", "menu"):
-            start = str(node.attrs.get("start") or "1")
-            lists.append([tag == "ol", int(start) if start.isdecimal() else 1])
+            lists.append([tag == "ol", _number(node.attrs.get("start"), 1)])
         pre = pre or tag in ("pre", "textarea")
         if tag == "li":
             before = page.prefix
+            if lists and lists[-1][0]:
+                lists[-1][1] = _number(node.attrs.get("value"), lists[-1][1])
             ordered, number = lists[-1] if lists else (False, 1)
             mark = f"{number}. " if ordered else "- "
             if lists:
@@ -292,14 +355,19 @@ def page_text(html: str | None) -> str:
     builder = Builder()
     builder.feed(html or "")
     builder.close()
-    return layout(builder.root, builder.hide)
+    done: dict[int, list[str]] = {}
+    for table, on in reversed(_tables(builder.root, builder.hide)):
+        done[id(table)] = _table(table, builder.hide, on, done)
+    return layout(builder.root, builder.hide, True, done)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id and ``text``.
 
     A null or empty page gives an empty text; text without any tag comes back
-    with its white space collapsed; unclosed and unknown tags are tolerated.
+    with its white space collapsed; unclosed and unknown tags, marked sections
+    and numbers of any length are tolerated.  A page of any length is read whole,
+    alone in memory.
     Pages are independent, so there is no shuffle.  Repeated rows and null ids
     are kept; an empty table gives an empty result."""
     def run(batches):

@@ -61,17 +61,22 @@ def _sessions(events: DataFrame, date_from: str, date_to: str, lobby: str, metri
         metrics={name: _rollup_metric(*metric) for name, metric in metrics.items()})
 
 
-def lobby_session_baseline(events: DataFrame, date_from: str, date_to: str,
-                           locale: str = "tr", section: str = "casino",
-                           accuracy: int = 10000) -> DataFrame:
-    """Q07: session KPI baseline (gameplay, promo, discovery, deposit guardrails,
-    median and p75 time to first game) by user type and OS."""
-    sess = _sessions(events, date_from, date_to, "any", {
+def baseline_sessions(events: DataFrame, date_from: str, date_to: str, locale: str = "tr", section: str = "casino") -> DataFrame:
+    """The lobby sessions of Q07."""
+    return _sessions(events, date_from, date_to, "any", {
         "first_gameplay_ts": ("first", "gameplay"), "gameplay_events": ("count", "gameplay"), "has_gameplay": ("has", "gameplay"),
         "promo_click_events": ("count", "promo"), "has_promo_click": ("has", "promo"),
         "has_search_window": ("has", "search"), "has_scroll": ("has", "scroll"),
         "has_deposit_window_opened": ("has", "deposit_window"), "has_deposit_success": ("has", "deposit_success"),
     }, locale=locale, section=section)
+
+
+def lobby_session_baseline(events: DataFrame, date_from: str, date_to: str,
+                           locale: str = "tr", section: str = "casino",
+                           accuracy: int = 10000) -> DataFrame:
+    """Q07: session KPI baseline (gameplay, promo, discovery, deposit guardrails,
+    median and p75 time to first game) by user type and OS."""
+    sess = baseline_sessions(events, date_from, date_to, locale, section)
     ttf = secs_between("first_gameplay_ts", "lobby_first_ts")
     q = F.percentile_approx(ttf, [0.5, 0.75], accuracy)
     out = sess.groupBy(user_type_by_session_number().alias("user_type"), "operating_system").agg(

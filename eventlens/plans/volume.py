@@ -33,17 +33,27 @@ def _sessions_and_users(ev: DataFrame, keys: list[str], rsd: float | None) -> Da
                                        F.count("user_id").alias("users"))
 
 
+#: Grouping columns of the volume analyses; ``*_rows`` give these, the shard
+#: date, the user and the session of each event that counts.
+HOST_PLATFORM = ["host", "platform"]
+DEVICE = ["host", "brand", "platform", "device_category", "operating_system"]
+URL_VARIANT = ["host", "brand", "lobby_path_variant", "operating_system"]
+
+
+def host_platform_rows(events: DataFrame, date_from: str, date_to: str, lobby_path: str = "/tr/casino") -> DataFrame:
+    ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
+              ["user_id", "event_name", "platform", "event_date"])
+    ev = ev.filter((F.col("event_name") == PAGE_VIEW) & F.col("session_id").isNotNull()
+                   & lobby_root("page_location", lobby_path))
+    return ev.select("event_date", "user_id", "session_id", "platform", host_of("page_location").alias("host"))
+
+
 def lobby_volume_by_host_platform(events: DataFrame, date_from: str, date_to: str,
                                   lobby_path: str = "/tr/casino",
                                   approx_rsd: float | None = None) -> DataFrame:
     """Q01: lobby-root sessions and users per host and platform."""
-    ev = scan(events, date_from, date_to, ["ga_session_id", "page_location"],
-              ["user_id", "event_name", "platform"])
-    ev = ev.filter((F.col("event_name") == PAGE_VIEW) & F.col("session_id").isNotNull()
-                   & lobby_root("page_location", lobby_path))
-    ev = ev.select("user_id", "session_id", "platform", host_of("page_location").alias("host"))
-    out = _sessions_and_users(ev, ["host", "platform"], approx_rsd)
-    return out.orderBy(F.desc("sessions"), "host", "platform")
+    out = _sessions_and_users(host_platform_rows(events, date_from, date_to, lobby_path), HOST_PLATFORM, approx_rsd)
+    return out.orderBy(F.desc("sessions"), *HOST_PLATFORM)
 
 
 def param_inventory_in_lobby_sessions(events: DataFrame, date_from: str, date_to: str,
@@ -81,16 +91,19 @@ def param_inventory_in_lobby_sessions(events: DataFrame, date_from: str, date_to
     return out.orderBy(F.desc("occurrences"), "param_key")
 
 
-def lobby_volume_by_device(events: DataFrame, date_from: str, date_to: str,
-                           lobby_path: str = "/tr/casino", approx_rsd: float | None = None) -> DataFrame:
-    """Q03: lobby-root sessions by host, brand, platform, device category and OS."""
+def device_rows(events: DataFrame, date_from: str, date_to: str, lobby_path: str = "/tr/casino") -> DataFrame:
     ev = scan(events, date_from, date_to, ["ga_session_id", "brand", "page_location"],
-              ["user_id", "event_name", "platform", "device_category", "operating_system"])
+              ["user_id", "event_name", "platform", "device_category", "operating_system", "event_date"])
     ev = ev.filter((F.col("event_name") == PAGE_VIEW) & F.col("session_id").isNotNull()
                    & lobby_root("page_location", lobby_path))
-    keys = ["host", "brand", "platform", "device_category", "operating_system"]
-    out = _sessions_and_users(ev.withColumn("host", host_of("page_location")), keys, approx_rsd)
-    return out.orderBy(F.desc("sessions"), *keys)
+    return ev.withColumn("host", host_of("page_location")).select("event_date", "user_id", "session_id", *DEVICE)
+
+
+def lobby_volume_by_device(events: DataFrame, date_from: str, date_to: str,
+                           lobby_path: str = "/tr/casino", approx_rsd: float | None = None) -> DataFrame:
+    """Q03: lobby-root sessions by host, brand, platform, device category and OS."""
+    out = _sessions_and_users(device_rows(events, date_from, date_to, lobby_path), DEVICE, approx_rsd)
+    return out.orderBy(F.desc("sessions"), *DEVICE)
 
 
 def lobby_event_inventory(events: DataFrame, date_from: str, date_to: str,
@@ -124,20 +137,23 @@ def banner_combination_topk(events: DataFrame, date_from: str, date_to: str,
     return out.orderBy(F.desc("events"), *[F.asc_nulls_first(c) for c in BANNER_KEYS]).limit(k)
 
 
-def lobby_sessions_by_url_variant(events: DataFrame, date_from: str, date_to: str,
-                                  locale: str = "tr", section: str = "casino",
-                                  approx_rsd: float | None = None) -> DataFrame:
-    """Q06: mobile lobby sessions by URL variant (with or without locale), brand, host, OS."""
+def url_variant_rows(events: DataFrame, date_from: str, date_to: str, locale: str = "tr", section: str = "casino") -> DataFrame:
     ev = scan(events, date_from, date_to, ["ga_session_id", "brand", "page_location"],
-              ["user_id", "event_name", "device_category", "operating_system"])
+              ["user_id", "event_name", "device_category", "operating_system", "event_date"])
     ev = ev.filter((F.col("event_name") == PAGE_VIEW) & mobile_or_tablet("device_category")
                    & F.col("session_id").isNotNull()
                    & lobby_root_any_locale("page_location", locale, section))
-    keys = ["host", "brand", "lobby_path_variant", "operating_system"]
     ev = ev.withColumn("host", host_of("page_location")) \
            .withColumn("lobby_path_variant", lobby_path_variant("page_location", locale, section))
-    out = _sessions_and_users(ev, keys, approx_rsd)
-    return out.orderBy(F.desc("sessions"), *keys)
+    return ev.select("event_date", "user_id", "session_id", *URL_VARIANT)
+
+
+def lobby_sessions_by_url_variant(events: DataFrame, date_from: str, date_to: str,
+                                  locale: str = "tr", section: str = "casino",
+                                  approx_rsd: float | None = None) -> DataFrame:
+    """Q06: mobile lobby sessions by URL variant (with or without locale), brand, host, OS."""
+    out = _sessions_and_users(url_variant_rows(events, date_from, date_to, locale, section), URL_VARIANT, approx_rsd)
+    return out.orderBy(F.desc("sessions"), *URL_VARIANT)
 
 
 def multi_host_exposure(events: DataFrame, date_from: str, date_to: str,

@@ -252,3 +252,30 @@ def load_bucketed(spark: SparkSession, sf_dir: str, buckets: int = 8) -> DataFra
         if not exists(spark, f"{path}/_SUCCESS"):
             bucketed.add_bucketed_events(events, table, buckets)
     return bucketed.read_bucketed_events(spark, table)
+
+
+def load_distinct_states(spark: SparkSession, sf_dir: str, rows, keys: list[str]) -> DataFrame:
+    """Daily bitmaps of the adapted events for one volume analysis (``rows`` of
+    ``plans.volume``), written once with the numbers they need."""
+    from eventlens.plans import distinct_states, volume
+    path = _store(spark, sf_dir, rows.__name__, inspect.getsource(distinct_states) + inspect.getsource(volume))
+    events, _ = load_fixture(spark, sf_dir)
+    with _LOCK:
+        if not exists(spark, f"{path}/states/_SUCCESS"):
+            some = rows(events, "00000000", "99999999")
+            numbers = distinct_states.numbered(distinct_states.keys_of(some), distinct_states.read_numbers(spark, f"{path}/none"))
+            _publish(spark, numbers, f"{path}/numbers")
+            states = distinct_states.distinct_states(some, keys, distinct_states.read_numbers(spark, f"{path}/numbers"))
+            _publish(spark, states.hint("rebalance", "event_date"), f"{path}/states", "event_date")
+    return distinct_states.read_distinct_states(spark, f"{path}/states", keys)
+
+
+def load_time_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sketches of the time to the first game, written once from the states."""
+    from eventlens.plans import quantile_states, session_states
+    path = _store(spark, sf_dir, "sketches", inspect.getsource(quantile_states) + inspect.getsource(session_states))
+    states = load_states(spark, sf_dir)
+    with _LOCK:
+        if not exists(spark, f"{path}/_SUCCESS"):
+            _publish(spark, quantile_states.time_to_game_sketches(states, "00000000", "99999999"), path)
+    return spark.read.parquet(path)

@@ -7,9 +7,10 @@ conversation whose last prefix hash is an inner prefix of another is a snapshot;
 of equal ones the smallest id stays.  Anti-joins drop both kinds; what is left
 is rendered.
 
-A conversation may be of any length: turns are numbered by (conversation, piece
-of ``PIECE`` turn values), pieces are chained by their totals, and the rendering
-returns one row per ``PIECE`` turns.
+A conversation may be of any length, and any number of its rows may share a
+turn: rows are sorted by range over all tasks and numbered from the sizes of the
+runs, cut into pieces of ``PIECE`` rows, and pieces are chained by their totals.
+The rendering returns one row per piece.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import exclude, stage
+from .common import exclude, skew_join, stage
 
-#: Turn values per piece.
+#: Rows per piece.
 PIECE = 1024
 _NO_ID = 2**63 - 1
 
@@ -34,14 +35,18 @@ def numbered(turns: DataFrame) -> DataFrame:
     from 0 and the prefix hashes up to them."""
     rows = turns.select(
         F.coalesce(F.col("conv").cast("long"), F.lit(_NO_ID)).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(_NO_ID)).alias("turn"),
-        "role", "text").distinct().withColumn("piece", F.floor(F.col("turn") / PIECE))
-    in_piece = Window.partitionBy("conv", "piece").orderBy("turn", "role", "text")
-    rows = rows.withColumn("i", F.row_number().over(in_piece) - 1)
-    sizes = rows.groupBy("conv", "piece").agg(F.count("*").alias("size"))
+        "role", "text").distinct()
+    # Distinct rows have no ties, so a partition's order is the same when it is made again.
+    order = ["conv", "turn", "role", "text"]
+    rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    runs = rows.groupBy("conv", "part").agg(F.min("at").alias("low"), F.count("*").alias("size"))
+    earlier = F.sum("size").over(Window.partitionBy("conv").orderBy("part")) - F.col("size")
+    runs = runs.select("conv", "part", (earlier - F.col("low")).alias("shift"))
     before = Window.partitionBy("conv").orderBy("piece")
-    starts = sizes.select("conv", "piece", (F.sum("size").over(before) - F.col("size")).alias("start"))
-    rows = stage(rows.join(starts, ["conv", "piece"]).withColumn("seq", F.col("start") + F.col("i")).select(
-        "conv", "piece", "seq", "role", "text", F.xxhash64(F.lit(1), "seq", F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias("hx"),
+    rows = stage(rows.join(runs, ["conv", "part"]).withColumn("seq", F.col("at") + F.col("shift")).select(
+        "conv", F.floor(F.col("seq") / PIECE).alias("piece"), "seq", "role", "text",
+        F.xxhash64(F.lit(1), "seq", F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias("hx"),
         F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "role", F.col("role").isNull(), "seq").alias("hy")), "turns")
     totals = rows.groupBy("conv", "piece").agg(F.bit_xor("hx").alias("tx"), F.bit_xor("hy").alias("ty"))
     chain = totals.select("conv", "piece",
@@ -56,8 +61,8 @@ def numbered(turns: DataFrame) -> DataFrame:
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv, n_turns) of the conversations that stay; ``turns`` as returned by
     ``numbered``."""
-    ends = stage(turns.groupBy("conv").agg(F.max("seq").alias("last")), "ends")
-    marked = turns.join(ends, "conv")
+    ends = stage(turns.groupBy("conv").agg(F.max("seq").alias("last"), F.count("*").alias("rows")), "ends")
+    marked = skew_join(turns, ends, ["conv"], "rows")
     inner = marked.filter("seq < last").select("seq", "x", "y").distinct()
     full = marked.filter("seq = last").groupBy("seq", "x", "y").agg(F.min("conv").alias("conv"))
     return full.join(inner, ["seq", "x", "y"], "left_anti").select("conv", (F.col("seq") + 1).alias("n_turns"))

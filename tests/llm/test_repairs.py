@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventlens.llm import common, html_text, substring_dedup
+from eventlens.llm import chat_format, common, html_text, substring_dedup
 
 page = html_text.page_text
 
@@ -121,3 +121,20 @@ def test_pipeline_runs_on_edge_input(spark, tmp_path, case):
     starts = [p for p in pieces if p.start == 0]
     assert len(starts) == want and sorted(map(repr, (p.doc_id for p in starts))) == sorted(map(repr, kept))
     assert all(p.length > 0 for p in pieces)
+
+
+def test_one_turn_value_is_cut_into_pieces(spark, monkeypatch):
+    """A conversation whose rows all share a turn, or have none, and a hot one."""
+    monkeypatch.setattr(chat_format, "PIECE", 50)
+    rows = [(1, None, "user", f"t{i:05d}") for i in range(1200)] + [(2, 7, "user", f"t{i:05d}") for i in range(1200)]
+    rows += [(3, t, "user", f"t{t:05d}") for t in range(2500)] + [(4, t, "user", f"t{t:05d}") for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat_format.numbered(df.select(df.conv_id.alias("conv"), "turn", "role", "text"))
+    assert turns.groupBy("conv", "piece").count().agg(F.max("count")).first()[0] == 50
+    got = chat_format.collapse_and_render(df).orderBy("conv_id", "segment").collect()
+    text = {}
+    for r in got:
+        text[r.conv_id] = text.get(r.conv_id, "") + r.text
+    line = "<|user|>\nt{:05d}\n".format
+    # 2 equals 1 in roles, texts and order; both, and 4, are prefixes of 3
+    assert text == {3: "".join(map(line, range(2500)))} and [r.segment for r in got] == list(range(50))

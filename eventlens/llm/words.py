@@ -1,7 +1,7 @@
 """Vectorised words of Arrow text columns, for use inside Arrow tasks.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D.  Work goes slice by slice
-(2 MB of text), so memory does not grow with the batch; a single text
+(1 MB of text), so memory does not grow with the batch; a single text
 larger than a slice is one slice.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,13 +49,19 @@ class Words:
 
 def slices(text: pa.Array, lower: bool = False) -> Iterator[Words]:
     """``Words`` of consecutive runs of texts; a null text has no words."""
-    text = pa.array([], pa.large_utf8()) if len(text) == 0 else text.cast(pa.large_utf8()).fill_null("")
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     n = len(text)
     if n == 0:
         return
-    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + n + 1]
+    wide = np.int64 if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type) else np.int32
+
+    def offsets(array):     # the batch's own; its bytes are not copied
+        return np.frombuffer(array.buffers()[1], wide)[array.offset:array.offset + n + 1].astype(np.int64)
+    off = offsets(text)
+    if text.null_count and np.diff(off)[text.is_null().to_numpy(zero_copy_only=False)].any():
+        text = text.fill_null("")
+        off = offsets(text)
     raw = text.buffers()[2]
     buf = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     lo = 0
